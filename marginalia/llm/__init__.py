@@ -3,13 +3,17 @@
 from marginalia.llm.bpe import op1_byte_bpe
 from marginalia.llm.ecoc import op10_ecoc_langid
 from marginalia.llm.hilbert import op4_hilbert_shards
+from marginalia.llm.line_quality import OP6_SQL, op6_line_quality
+from marginalia.llm.packing import op8_cutting_stock
 from marginalia.llm.pii import op5_pii_spans
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii_spans": op5_pii_spans,
+    "op6_line_quality": op6_line_quality,
+    "op8_cutting_stock": op8_cutting_stock,
     "op10_ecoc_langid": op10_ecoc_langid,
 }
 #: DuckDB SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_quality": OP6_SQL}
