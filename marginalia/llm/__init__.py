@@ -4,6 +4,7 @@ from marginalia.llm.bpe import op1_byte_bpe
 from marginalia.llm.ecoc import op10_ecoc_langid
 from marginalia.llm.hilbert import op4_hilbert_shards
 from marginalia.llm.line_quality import OP6_SQL, op6_line_quality
+from marginalia.llm.minmax import op9_minmax_dedup
 from marginalia.llm.packing import op8_cutting_stock
 from marginalia.llm.pii import op5_pii_spans
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_pii_spans": op5_pii_spans,
     "op6_line_quality": op6_line_quality,
     "op8_cutting_stock": op8_cutting_stock,
+    "op9_minmax_dedup": op9_minmax_dedup,
     "op10_ecoc_langid": op10_ecoc_langid,
 }
 #: DuckDB SQL of those queries that SQL can express.

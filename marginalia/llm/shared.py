@@ -1,10 +1,14 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage in the folder that driver and executors share, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: What a null doc_id counts as inside operators that join or order by it.
+NULL_ID = -(2**63)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -17,3 +21,27 @@ def settled(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp) of every node in links (a, b): comp is the smallest node that can be reached.
+
+    Large-star and small-star steps in turn: each hangs a node's larger, then its
+    smaller neighbours below the smallest one, until only stars are left. A node's
+    neighbours are met by aggregates and joins, never as a list."""
+    edges = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = settled(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        # stars: nobody hangs below two nodes or below one that hangs itself
+        twice = edges.groupBy("a").count().where("count > 1").select("a")
+        deep = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_semi")
+        if twice.unionByName(deep).isEmpty():
+            break
+    roots = edges.select(F.col("b").alias("node")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
