@@ -7,9 +7,11 @@ from marginalia.llm.line_quality import OP6_SQL, op6_line_quality
 from marginalia.llm.minmax import op9_minmax_dedup
 from marginalia.llm.packing import op8_cutting_stock
 from marginalia.llm.pii import op5_pii_spans
+from marginalia.llm.suffix_dedup import op3_substring_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii_spans": op5_pii_spans,
     "op6_line_quality": op6_line_quality,
