@@ -1,6 +1,7 @@
 """Operations for large training-data pipelines, and their queries."""
 
 from marginalia.llm.bpe import op1_byte_bpe
+from marginalia.llm.cws import op2_weighted_fingerprints
 from marginalia.llm.ecoc import op10_ecoc_langid
 from marginalia.llm.hilbert import op4_hilbert_shards
 from marginalia.llm.line_quality import OP6_SQL, op6_line_quality
@@ -11,6 +12,7 @@ from marginalia.llm.suffix_dedup import op3_substring_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_weighted_fingerprints": op2_weighted_fingerprints,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii_spans": op5_pii_spans,
