@@ -8,6 +8,7 @@ from marginalia.llm.line_quality import OP6_SQL, op6_line_quality
 from marginalia.llm.minmax import op9_minmax_dedup
 from marginalia.llm.packing import op8_cutting_stock
 from marginalia.llm.pii import op5_pii_spans
+from marginalia.llm.pitman_yor import op7_pitman_yor
 from marginalia.llm.suffix_dedup import op3_substring_dedup
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii_spans": op5_pii_spans,
     "op6_line_quality": op6_line_quality,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_cutting_stock": op8_cutting_stock,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_ecoc_langid": op10_ecoc_langid,
