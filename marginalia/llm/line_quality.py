@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.shared import NULL_ID
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 BREAKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -65,8 +67,12 @@ def base_measures(docs: DataFrame) -> DataFrame:
     ).drop("_words", "_lines", "_hashes", "_windows", "_sorted", "_at")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+
+
 def depleted(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
-    """(doc_id, digest) of documents whose lines are mostly removed; needs (doc_id, host, digest, text)."""
+    """(doc_id, host, digest) of documents whose lines are mostly removed; needs (doc_id, host, digest, text)."""
     lines = docs.select("doc_id", "host", "digest", F.explode(lines_of(F.col("text"))).alias("line"))
     lines = lines.select("doc_id", "host", "digest", F.xxhash64(normal_line(F.col("line"))).alias("line"), F.size(words_of(F.col("line"))).alias("n"))
     seen = lines.groupBy("host", "line", "digest").agg(F.min("doc_id").alias("first"))
@@ -82,19 +88,22 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = M
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
     measured = base_measures(rows).drop("text")
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
+    key = lambda c: F.coalesce(F.col(c), F.lit(NULL_ID))
     bad = depleted(rows.withColumn("doc_id", key("doc_id")), max_documents, min_left).withColumn("depleted", F.lit(True)).withColumnRenamed("doc_id", "_id")
     out = measured.withColumn("_id", key("doc_id")).join(bad, ["_id", "host", "digest"], "left")
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("depleted").isNull())
+    out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("depleted").isNull())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "digest")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose verdict is ``kept``, with all their columns."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("digest").alias("_digest")).distinct()
-    mine = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_digest"))
-    return docs.join(good, mine, "left_semi")
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    keys = ["doc_id", "host", "digest"]
+    # an aggregate, which no filter passes: a filter below would compute the measures over and over
+    failed = base_measures(rows.drop("_row")).groupBy(*keys).agg(F.max(base_failed()).alias("failed")).where("failed").drop("failed")
+    bad = failed.unionByName(depleted(rows.drop("_row"))).distinct()
+    return rows.join(bad, keys, "left_anti").select("_row.*")
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
