@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one kernel call works on; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 SPACE = np.zeros(256, dtype=bool)
@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i mod 2**64 for i up to n."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(1024, 1 << int(n + 1).bit_length())
+        size = max(1024, n + n // 4)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, dtype=U64)

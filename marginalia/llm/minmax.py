@@ -9,9 +9,10 @@ similarity s share a band with probability s**5, and miss all 44 bands at the
 threshold 0.75 seven times in a million.
 
 Equal sets are one class from the start. In every bucket (band value) members
-are first compared with the bucket's smallest id only; links so found are joined
-to components, and only members that are still apart are compared with each
-other, in buckets split by further bands where they are large. So a group of
+are first compared with its hub only, the one that shares most buckets; links so
+found are joined to components, and only members that are still apart are
+compared with each other: members of large buckets by an exact join on rare
+shingles. So a group of
 copies costs a few comparisons a member, and no link between components is lost.
 Every link is confirmed on both whole texts.
 
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import kernel
-from marginalia.llm.shared import NULL_ID, components, settled
+from marginalia.llm.shared import NULL_ID, components, settled, small_batches
 
 SHINGLE, PERCENT = 5, 75
 BANDS, BAND_MIN, BAND_MAX = 44, 3, 2
 PERMUTATIONS = BANDS * max(BAND_MIN, BAND_MAX)
-#: Members of a bucket beyond which a further band must be shared before pairs are formed.
-LARGE_BUCKET = 32
+#: Members of a bucket beyond which pairs are found by rare shingles.
+LARGE_BUCKET = 8
+#: Counters of shingle frequencies.
+COUNTERS = 1 << 18
 _random = np.random.default_rng(20240229)
 _MULTIPLY = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * kernel.U64(2) + kernel.U64(1)
 _ADD = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -135,46 +138,101 @@ def sizes_allow(a: str, b: str) -> F.Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * PERCENT)
 
 
-def cross_pairs(members: DataFrame, banded: DataFrame) -> DataFrame:
-    """Pairs of bucket members in different components: members is (bucket, node, n, comp).
-
-    Pairs of a large bucket must share another band too, which a pair at the
-    threshold that shares one misses nine times in a million."""
-    counted = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-    apart = members.join(counted.select("bucket", "m"), "bucket")
-    small = apart.where(F.col("m") <= LARGE_BUCKET).select("bucket", "node", "n", "comp")
-    further = apart.where(F.col("m") > LARGE_BUCKET).join(banded.select("node", F.col("bucket").alias("other")), "node").where("bucket <> other")
-    # one key for both orders of the two bands
-    further = further.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "node", "n", "comp").distinct()
-    keys = further.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-    rows = small.unionByName(further.join(keys, "bucket"))
-    other = rows.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    met = rows.join(other, "bucket").where((F.col("a") < F.col("node")) & (F.col("comp") != F.col("comp_a")) & sizes_allow("n", "n_a"))
+def cross_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of bucket members in different components: members is (bucket, node, n, m, comp), m the bucket's size.
+
+    Members of small buckets are paired. A crowd of texts that are alike but not
+    alike enough would make too many pairs in large ones, so their members are
+    joined exactly by prefixes: ordered from the rarest shingle to the most
+    frequent, two sets at the threshold share one of the first
+    n - ceil(0.75 n) + 1. Frequencies come from counters of a fixed number; any
+    order finds all pairs, a better one fewer others."""
+    apart = members.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
+    mixed = members.join(apart, "bucket")
+    crowd = mixed.where(F.col("m") > LARGE_BUCKET).select(F.col("node").alias("doc_id"), "n", "comp").distinct()
+    crowd = settled(texts.join(crowd, "doc_id"))
+    rare = rare_shingles(crowd, shingle_counters(crowd))
+    rare = rare.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "bucket"))
+    shared = rare.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
+    rows = mixed.where(F.col("m") <= LARGE_BUCKET).select("node", "n", "comp", F.lit(0).alias("pos"), "bucket").unionByName(rare.join(shared, "bucket"))
+    other = rows.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("pos").alias("pos_a"))
+    # at the first shingle that two sets share, no more than what follows in either can be shared
+    most = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
+    room = most * (100 + PERCENT) >= (F.col("n") + F.col("n_a")) * PERCENT
+    met = rows.join(other, "bucket").where((F.col("a") < F.col("node")) & (F.col("comp") != F.col("comp_a")) & sizes_allow("n", "n_a") & room)
     return met.select("a", F.col("node").alias("b")).distinct()
 
 
+def shingle_counters(texts: DataFrame) -> np.ndarray:
+    """How many sets have a shingle that falls to each of ``COUNTERS`` counters."""
+    step = COUNTERS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, dtype=np.int64)
+        for _, chunk in kernel.chunks(batches, lower=True):
+            sums += np.bincount((shingles(chunk)[0] & kernel.U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        if sums.any():
+            yield pa.record_batch([pa.array(range(64), pa.int32()), pa.array([sums[i * step : (i + 1) * step].tobytes() for i in range(64)], pa.binary())], names=["part", "sums"])
+
+    def total(table: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(b, dtype=np.int64) for b in table.column("sums").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    rows = texts.select("text").mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(total, "part int, sums binary").collect()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    for part, sums in rows:
+        out[part * step : (part + 1) * step] = np.frombuffer(sums, dtype=np.int64)
+    return out
+
+
+def rare_shingles(crowd: DataFrame, counters: np.ndarray) -> DataFrame:
+    """(node, n, comp, prefix) of rows (doc_id, text, n, comp): each set's rarest shingles."""
+    sent = crowd.sparkSession.sparkContext.broadcast(counters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, chunk in kernel.chunks(batches, lower=True):
+            grams, first = shingles(chunk)
+            sizes = np.diff(first)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((grams, sent.value[(grams & kernel.U64(COUNTERS - 1)).astype(np.int64)], doc))
+            keep = sizes - -(-PERCENT * sizes // 100) + 1
+            place = np.arange(len(grams)) - first[doc]
+            taken = grams[order][place < keep[doc]]
+            edges = np.concatenate([[0], np.cumsum(np.minimum(keep, sizes))])
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(kernel.signed(taken)))
+            yield pa.record_batch([part.column("doc_id"), part.column("n"), part.column("comp"), lists], names=["node", "n", "comp", "prefix"])
+
+    return crowd.select("doc_id", "text", "n", "comp").mapInArrow(run, "node long, n long, comp long, prefix array<long>")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    small_batches(docs)
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settled(signatures(rows))
     classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = settled(classes)
     banded = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("last")).where("pivot.node <> last")
-    members = settled(banded.join(shared.select("bucket", "pivot"), "bucket").select("bucket", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("bucket", "m")
+    members = settled(banded.join(shared, "bucket").select("bucket", "node", "n", "m"))
     texts = settled(rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    stars = members.where((F.col("pivot") != F.col("node")) & sizes_allow("n", "pivot_n")).groupBy("pivot", "node").agg(F.first("n").alias("n"))
-    # first the smallest pivot of each member, then other pivots of what is still apart, then members among themselves
-    links = settled(confirmed(stars.groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b")), texts))
+    # a hub shares more buckets, and larger ones, than the copies made from it
+    fame = members.groupBy("node").agg(F.sum("m").alias("fame"))
+    known = members.join(fame, "node")
+    hubs = known.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("order"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"))
+    stars = members.join(hubs.select("bucket", "h.fame", "h.hub", "h.hub_n"), "bucket").where((F.col("hub") != F.col("node")) & sizes_allow("n", "hub_n"))
+    stars = settled(stars.groupBy("hub", "node").agg(F.first("fame").alias("fame")))
+    # first the greatest hub of each member, then other hubs of what is still apart, then members among themselves
+    tried = stars.groupBy("node").agg(F.max(F.struct("fame", "hub")).alias("h")).select("node", F.col("h.hub").alias("tried"))
+    links = settled(confirmed(tried.select(F.col("tried").alias("a"), F.col("node").alias("b")), texts))
     labels = components(links)
     label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
-    tried = stars.groupBy("node").agg(F.min("pivot").alias("tried"))
-    rest = label(label(stars.select("pivot", "node"), "node"), "pivot").where("comp_node <> comp_pivot").join(tried, "node").where("pivot <> tried")
-    links = settled(links.unionByName(confirmed(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")), texts)))
+    rest = label(label(stars.select("hub", "node"), "node"), "hub").where("comp_node <> comp_hub").join(tried, "node").where("hub <> tried")
+    links = settled(links.unionByName(confirmed(rest.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts)))
     labels = components(links)
-    placed = label(members.select("bucket", "node", "n"), "node").withColumnRenamed("comp_node", "comp")
-    done = stars.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    more = cross_pairs(placed, members.select("node", "bucket")).join(done, ["a", "b"], "left_anti")
+    placed = label(members, "node").withColumnRenamed("comp_node", "comp")
+    done = stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    more = cross_pairs(placed, texts).join(done, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(more, texts))
     # documents of one id but different sets are one node already
     labels = components(links)
