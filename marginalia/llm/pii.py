@@ -99,8 +99,10 @@ _ODD = re.compile("[" + re.escape("".join(_CHARS)) + "]")
 _OPEN, _SHUT = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _NUMBER = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_NUMBER}|[0-9])(?:[\x20,.-]{{1,2}}(?:{_NUMBER}|[0-9])){{6,}})(?![A-Za-z0-9])", re.I)
+# Endings that a bare ``at … dot …`` must have.
+_ENDING = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|de|fr|es|it|nl|eu|us|ca|au|jp|cn|br|ru|ch|at|be|pl|se"
 _NUMBER_WORD = re.compile(_NUMBER, re.I)
-_AT = re.compile(rf"\s{{0,3}}{_OPEN}at{_SHUT}\s{{0,3}}|\s{{0,3}}{_OPEN}@{_SHUT}\s{{0,3}}|\x20at\x20(?=[A-Za-z0-9-]+(?:\x20dot\x20|\s{{0,3}}{_OPEN}(?:dot|\.){_SHUT}))|(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9])", re.I)
+_AT = re.compile(rf"\s{{0,3}}{_OPEN}at{_SHUT}\s{{0,3}}|\s{{0,3}}{_OPEN}@{_SHUT}\s{{0,3}}|\x20at\x20(?=[A-Za-z0-9-]+(?:(?:\x20dot\x20[A-Za-z0-9-]+){{0,4}}\x20dot\x20(?:{_ENDING})(?![A-Za-z0-9-])|\s{{0,3}}{_OPEN}(?:dot|\.){_SHUT}))|(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9])", re.I)
 _DOT = re.compile(rf"\s{{0,3}}{_OPEN}(?:dot|\.){_SHUT}\s{{0,3}}|\x20dot\x20", re.I)
 #: What a text must hold for any transducer to change it in a way that can matter.
 _TRIGGER = re.compile(rf"{_OPEN}(?:at|dot|@|\.){_SHUT}|\x20at\x20[A-Za-z0-9-]+\x20dot\x20|\x20@\x20|\x20dot\x20|(?:{_NUMBER})[\x20,.-]{{1,2}}(?:{_NUMBER})", re.I)
