@@ -55,7 +55,7 @@ def display_names(parts: Column) -> tuple[Column, Column]:
 
 def plain_name(df: DataFrame, people: DataFrame, git_map: DataFrame, column: str = "git_name") -> DataFrame:
     """Add ``display``: a person's print name by their git name, else that name itself."""
-    known = git_map.join(people.select("dh_id", display_names(F.col("name"))[0].alias("_print")), "dh_id").select("git_name", "_print")
+    known = git_map.join(people.select("person_id", display_names(F.col("name"))[0].alias("_print")), "person_id").select("git_name", "_print")
     return df.join(known, df[column] == known["git_name"], "left").drop(known["git_name"]).withColumn("display", F.coalesce("_print", F.col(column))).drop("_print")
 
 
@@ -63,7 +63,7 @@ def merge_contributors(df: DataFrame, people: DataFrame, placeholder: str = "")
     """(doc_id, ids, names) from (doc_id, pre, id, name): each person once, in order of appearance.
 
     A placeholder id counts as none; a name without an id takes the id it has elsewhere in the document."""
-    names = people.select(F.col("dh_id").alias("id"), display_names(F.col("name"))[0].alias("canonical"))
+    names = people.select(F.col("person_id").alias("id"), display_names(F.col("name"))[0].alias("canonical"))
     rows = df.withColumn("id", F.nullif("id", F.lit(placeholder))).join(names, "id", "left").withColumn("name", F.coalesce("canonical", "name"))
     rows = rows.withColumn("id", F.coalesce("id", F.max("id").over(Window.partitionBy("doc_id", "name"))))
     once = rows.groupBy("doc_id", F.coalesce("id", "name").alias("who")).agg(F.min(F.struct("pre", "id", "name")).alias("x"))
@@ -77,7 +77,7 @@ def min_severity(df: DataFrame, level: int) -> DataFrame:
 def by_owner(df: DataFrame, owners: DataFrame, git_map: DataFrame, owner: str) -> DataFrame:
     """Documents of one owner: a person's id, or ``!name`` for a git name that no person has."""
     mapped = owners.join(git_map, "git_name", "left")
-    mine = mapped.where((F.col("git_name") == owner[1:]) & F.col("dh_id").isNull()) if owner.startswith("!") else mapped.where(F.col("dh_id") == owner)
+    mine = mapped.where((F.col("git_name") == owner[1:]) & F.col("person_id").isNull()) if owner.startswith("!") else mapped.where(F.col("person_id") == owner)
     return df.join(mine.select("name").distinct(), "name", "left_semi")
 
 

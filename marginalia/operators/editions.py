@@ -232,7 +232,7 @@ def division_headings(nodes: DataFrame, langs: DataFrame, people: DataFrame) ->
     divs = nodes.where("tag = 'div'").select("doc_id", "pre", attr(F.col("attrs"), "type").alias("type"), attr(F.col("attrs"), "lang").alias("code"), F.split(attr(F.col("attrs"), "resp"), r"\s+").alias("resp"))
     head = nodes.where("tag = 'head'").select("doc_id", F.col("pre").alias("_pre"), F.col("parent").alias("pre"))
     own = text_of(nodes, "head").withColumnRenamed("pre", "_pre").join(head, ["doc_id", "_pre"]).groupBy("doc_id", "pre").agg(F.min_by("content", "_pre").alias("own"))
-    names = divs.select("doc_id", "pre", F.posexplode("resp").alias("i", "r")).withColumn("dh_id", F.regexp_replace("r", "^part:", "")).join(people.select("dh_id", display_names(F.col("name"))[0].alias("print")), "dh_id").groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "print"))), lambda x: x["print"]), ", ").alias("by"))
+    names = divs.select("doc_id", "pre", F.posexplode("resp").alias("i", "r")).withColumn("person_id", F.regexp_replace("r", "^part:", "")).join(people.select("person_id", display_names(F.col("name"))[0].alias("print")), "person_id").groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "print"))), lambda x: x["print"]), ", ").alias("by"))
     out = divs.join(own, ["doc_id", "pre"], "left").join(names, ["doc_id", "pre"], "left").join(langs.select("code", F.col("name").alias("lang_name")), "code", "left")
     translation = F.concat_ws(" ", F.lit("Translation"), F.concat(F.lit("into "), F.col("lang_name")), F.concat(F.lit("by "), F.regexp_replace("by", r", ([^,]*)$", " and $1")))
     return out.select("doc_id", "pre", "type", F.coalesce(F.nullif(squeeze(F.col("own")), F.lit("")), F.when(F.col("type") == "translation", translation).otherwise(F.initcap("type"))).alias("heading"))

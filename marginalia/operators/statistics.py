@@ -94,7 +94,7 @@ def repo_profile(repos: DataFrame, docs: DataFrame, people: DataFrame, langs: Da
 def person_profile(people: DataFrame, docs: DataFrame, langs: DataFrame, repos: DataFrame) -> DataFrame:
     out = people
     for other in (docs, langs, repos):
-        out = out.join(other, "dh_id", "left")
+        out = out.join(other, "person_id", "left")
     return out
 
 

@@ -157,16 +157,16 @@ def repo_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey AS dh_id, o.orders, o.latest, l.parts FROM customer
+SELECT c_custkey AS person_id, o.orders, o.latest, l.parts FROM customer
 LEFT JOIN (SELECT o_custkey, count(*) AS orders, max(o_orderkey) AS latest FROM orders GROUP BY 1) o ON o_custkey = c_custkey
 LEFT JOIN (SELECT o_custkey AS k, count(DISTINCT l_partkey) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) l ON l.k = c_custkey
 """)
 def person_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "dh_id")
-    by = orders.groupBy("dh_id")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "person_id")
+    by = orders.groupBy("person_id")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dh_id"))
-    return statistics.person_profile(people, by.agg(F.count("*").alias("orders")), orders.join(lines, "o_orderkey").groupBy("dh_id").agg(F.countDistinct("l_partkey").alias("parts")), by.agg(F.max("o_orderkey").alias("latest")))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"))
+    return statistics.person_profile(people, by.agg(F.count("*").alias("orders")), orders.join(lines, "o_orderkey").groupBy("person_id").agg(F.countDistinct("l_partkey").alias("parts")), by.agg(F.max("o_orderkey").alias("latest")))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,11 +85,11 @@ def read_xml_records(spark: SparkSession, path: str, row_tag: str, schema: Struc
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
-    """(dh_id, name array, …) of a list of people with one or two name parts."""
+    """(person_id, name array, …) of a list of people with one or two name parts."""
     person = "`_xml:id` string, `@xml:id` string, idno array<struct<_type:string,_VALUE:string>>, persName struct<forename:string,surname:string,name:string>"
     rows = read_xml_records(spark, path, "person", person)
     names = F.filter(F.array("persName.forename", "persName.surname", "persName.name"), lambda x: x.isNotNull())
-    return rows.select(F.coalesce("`_xml:id`", "`@xml:id`").alias("dh_id"), names.alias("name"), F.map_from_entries(F.transform("idno", lambda i: F.struct(i["_type"], i["_VALUE"]))).alias("ids"))
+    return rows.select(F.coalesce("`_xml:id`", "`@xml:id`").alias("person_id"), names.alias("name"), F.map_from_entries(F.transform("idno", lambda i: F.struct(i["_type"], i["_VALUE"]))).alias("ids"))
 
 
 def script_tree(nodes: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def survey_identifiers(df: DataFrame) -> DataFrame:
     """(…, identifier, in_order): header state carried on, an identifier from it, and whether pages do not fall."""
     filled = carry_header_state(df, ["doc_id"], ["pos"], ["volume", "years", "page"])
     before = F.lag("page").over(Window.partitionBy("doc_id", "volume").orderBy("pos"))
-    return filled.withColumns({"identifier": F.concat_ws("/", F.lit("ARIE"), "years", "volume", "n"), "in_order": F.coalesce(before <= F.col("page"), F.lit(True))})
+    return filled.withColumns({"identifier": F.concat_ws("/", "years", "volume", "n"), "in_order": F.coalesce(before <= F.col("page"), F.lit(True))})
 
 
 TSV_REPOSITORIES = StructType([StructField("name", StringType()), StructField("textual", StringType()), StructField("title", StringType())])

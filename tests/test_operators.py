@@ -54,7 +54,7 @@ def test_editions(spark):
     assert [(r.label, r.text) for r in editions.padas(n).orderBy("pre").collect()] == [("a", "-rama"), ("b", "sitam")]
     assert editions.searchable_text(n).first().text.startswith("kara good lost\n")
     assert [(r.label, r["item"]) for r in editions.list_pairs(n).orderBy("n").collect()] == [("k", "v"), ("", "w")]
-    heads = {r.type: r.heading for r in editions.division_headings(n, spark.createDataFrame([("eng", "English")], "code string, name string"), spark.createDataFrame([("p1", ["Jo", "Do"])], "dh_id string, name array<string>")).collect()}
+    heads = {r.type: r.heading for r in editions.division_headings(n, spark.createDataFrame([("eng", "English")], "code string, name string"), spark.createDataFrame([("p1", ["Jo", "Do"])], "person_id string, name array<string>")).collect()}
     assert heads == {"edition": "Edition", "translation": "Head"}
     assert {r.kind for r in editions.segment_blocks(n).collect()} == {"p", "lg", "head"}
     assert {r.level for r in editions.outline(n).collect()} == {1}
@@ -86,8 +86,8 @@ def test_search_offsets(spark):
 
 
 def test_catalog_joins(spark):
-    people = spark.createDataFrame([("p1", ["Ann", "Lee"]), ("p2", ["Solo"])], "dh_id string, name array<string>")
-    git = spark.createDataFrame([("al", "p1")], "git_name string, dh_id string")
+    people = spark.createDataFrame([("p1", ["Ann", "Lee"]), ("p2", ["Solo"])], "person_id string, name array<string>")
+    git = spark.createDataFrame([("al", "p1")], "git_name string, person_id string")
     owners = spark.createDataFrame([("f1", "al"), ("f1", "zz"), ("f2", "zz")], "name string, git_name string")
     docs = spark.createDataFrame([("f1", 1), ("f2", 3)], "name string, status int")
     assert {r.display for r in catalog.plain_name(owners, people, git).collect()} == {"Ann Lee", "zz"}
@@ -163,10 +163,10 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_files(spark, tmp_path):
     (tmp_path / "c/.git").mkdir(parents=True)
-    for name in ("DHARMA_INSx.xml", "DHARMA_template.xml", "other.xml", ".git/DHARMA_INSy.xml", "DHARMA_INSz.XML"):
+    for name in ("ED_INSx.xml", "ED_template.xml", "other.xml", ".git/ED_INSy.xml", "ED_INSz.XML"):
         (tmp_path / "c" / name).write_text("<a/>")
-    scan = files.with_file_facts(files.scan_corpus(spark, str(tmp_path / "c"), ["DHARMA_INS"]))
-    assert {r.name for r in scan.collect()} == {"DHARMA_INSx", "DHARMA_INSz"}
+    scan = files.with_file_facts(files.scan_corpus(spark, str(tmp_path / "c"), ["ED_INS"]))
+    assert {r.name for r in scan.collect()} == {"ED_INSx", "ED_INSz"}
     (tmp_path / "s.tsv").write_text("names\ttext\tdescription\tsearch\na b\tX\t\t\nc\tY\td\ts\n")
     assert {tuple(r) for r in files.read_symbols(spark, str(tmp_path / "s.tsv")).collect()} == {("a", "X", "a", "X"), ("b", "X", "b", "X"), ("c", "Y", "d", "s")}
     pages = spark.createDataFrame([("u", "x\nBEGIN 1\na\nb\nEND\nz\nBEGIN 2\nc\nEND")], "url string, data string")
