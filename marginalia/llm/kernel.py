@@ -136,6 +136,7 @@ def slices(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTES)
         last = min(max(last, first + 1), batch.num_rows)
         yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+    release()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], name: str = "text", lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
@@ -144,6 +145,11 @@ def chunks(batches: Iterator[pa.RecordBatch], name: str = "text", lower: bool =
             yield part, Chunk(data, at, lower)
 
 
+def release() -> None:
+    """Give Arrow's unused memory back, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

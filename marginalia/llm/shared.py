@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let the session send whole texts in batches of ``TEXT_BATCH`` rows, unless it has a setting of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":  # Spark's default
+        conf.set(key, str(TEXT_BATCH))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once by checkpoint(), to be read often without computing it again.
 

@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import kernel
-from marginalia.llm.shared import NULL_ID, settled
+from marginalia.llm.shared import NULL_ID, settled, small_batches
 
 WINDOW, PREFIX = 50, 20
 #: Suffixes of one prefix that are sorted in one task; more get longer prefixes.
 GROUP_LIMIT = 512
 #: Text of groups that are sorted together.
-TREE_BYTES = 4 << 20
+TREE_BYTES = 1 << 20
 
 
 def windows(chunk: kernel.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,42 +82,45 @@ def profile(rows: DataFrame) -> DataFrame:
                 raw = chunk.data.tobytes()
                 digests = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True)]
                 seq = [pa.array(kernel.signed(chunk.whole(words, s))) for s in (1, 2)]
+                kernel.release()
                 yield pa.record_batch([part.column("doc_id"), part.column("digest"), pa.array(chunk.counts(), pa.int64()), *seq, pa.array(digests, pa.string()), lists], names=names)
 
     return rows.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest long, n_words long, seq_a long, seq_b long, sha256 string, prefixes array<long>")
 
 
+def marked(part: pa.RecordBatch, chunk: kernel.Chunk, large: bool) -> tuple[np.ndarray, ...]:
+    """Word hashes, and for each place that a shared prefix of small or large groups marks: the prefix, its document and its first and last window."""
+    words, prefixes, at, marks = windows(chunk)
+    first, last = runs(marks)
+    found = part.column("found").flatten()
+    known, where = np.unique(found.field("prefix").to_numpy(zero_copy_only=False), return_index=True)
+    hashes = kernel.signed(prefixes[marks[first]])
+    if not len(known) or not len(first):
+        return words, hashes[:0], first[:0], first[:0], first[:0]
+    size = found.field("large").to_numpy(zero_copy_only=False)[where]
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    keep = (known[place] == hashes) & (size[place] == large)
+    doc = np.searchsorted(chunk.word_at, marks[first[keep]], side="right") - 1
+    return words, hashes[keep], doc, at[first[keep]], at[last[keep]]
+
+
 def slices_of(texts: DataFrame) -> DataFrame:
-    """Suffixes under shared prefixes, one row for all windows that a prefix marks at one place.
+    """Suffixes under prefixes of small groups, one row for all windows that a prefix marks at one place.
 
-    (prefix, large, doc_id, seq_a, at, words): the windows start at word ``at`` of
-    the text and are all those of 50 words inside ``words``."""
+    (prefix, doc_id, seq_a, at, words): the windows start at word ``at`` of the
+    text and are all those of 50 words inside ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["prefix", "large", "doc_id", "seq_a", "at", "words"]
-        for batch in batches:
-            for part, chunk in kernel.chunks(iter([batch])):
-                words, prefixes, at, marks = windows(chunk)
-                first, last = runs(marks)
-                if not len(first):
-                    continue
-                doc = np.searchsorted(chunk.word_at, marks[first], side="right") - 1
-                seq = kernel.signed(chunk.whole(words))
-                ids = part.column("doc_id").to_pylist()
-                sets = [({x["prefix"]: x["large"] for x in found}) for found in part.column("found").to_pylist()]
-                hashes = kernel.signed(prefixes[marks[first]]).tolist()
+        for part, chunk in kernel.chunks(batches):
+            words, prefix, doc, first, last = marked(part, chunk, False)
+            if len(doc):
                 raw = chunk.data.tobytes()
-                rows = []
-                for d, h, a, b in zip(doc.tolist(), hashes, at[first].tolist(), at[last].tolist(), strict=True):
-                    large = sets[d].get(h)
-                    if large is not None:
-                        piece = b" ".join(raw[chunk.starts[a] : chunk.ends[b + WINDOW - 1]].split())
-                        rows.append((h, large, ids[d], int(seq[d]), a - int(chunk.word_at[d]), piece.decode("utf-8", "replace")))
-                if rows:
-                    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                pieces = [b" ".join(raw[a:b].split()).decode("utf-8", "replace") for a, b in zip(chunk.starts[first].tolist(), chunk.ends[last + WINDOW - 1].tolist(), strict=True)]
+                seq = kernel.signed(chunk.whole(words))[doc]
+                yield pa.record_batch([pa.array(prefix), part.column("doc_id").take(pa.array(doc)), pa.array(seq), pa.array(first - chunk.word_at[doc], pa.int32()), pa.array(pieces, pa.string())], names=["prefix", "doc_id", "seq_a", "at", "words"])
+            kernel.release()
 
-    return texts.mapInArrow(run, "prefix long, large boolean, doc_id long, seq_a long, at int, words string")
+    return texts.select("doc_id", "text", "found").mapInArrow(run, "prefix long, doc_id long, seq_a long, at int, words string")
 
 
 def deep_nodes(part: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -180,20 +183,22 @@ def subtrees(slices: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, seq_a long, starts array<int>")
 
 
-def whole_prefixes(slices: DataFrame) -> DataFrame:
+def whole_prefixes(texts: DataFrame) -> DataFrame:
     """(doc_id, seq_a, starts) of repeated windows in large groups: the prefix is the whole window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, chunk in kernel.chunks(iter([batch]), "words"):
-                words, at = chunk.words(), chunk.inside(WINDOW)
-                row = np.searchsorted(chunk.word_at, at, side="right") - 1
-                start = part.column("at").to_numpy()[row] + at - chunk.word_at[row]
-                keys = [pa.array(kernel.signed(chunk.grams(words, WINDOW, s)[at])) for s in (1, 2)]
-                take = pa.array(row)
-                yield pa.record_batch([*keys, part.column("doc_id").take(take), part.column("seq_a").take(take), pa.array(start, pa.int32())], names=["one", "two", "doc_id", "seq_a", "start"])
-
-    leaves = slices.select("doc_id", "seq_a", "at", "words").mapInArrow(run, "one long, two long, doc_id long, seq_a long, start int")
+        for part, chunk in kernel.chunks(batches):
+            words, _, doc, first, last = marked(part, chunk, True)
+            if len(doc):
+                n = last - first + 1
+                start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                row = np.repeat(doc, n)
+                keys = [pa.array(kernel.signed(chunk.grams(words, WINDOW, s)[start])) for s in (1, 2)]
+                seq = kernel.signed(chunk.whole(words))[row]
+                yield pa.record_batch([*keys, part.column("doc_id").take(pa.array(row)), pa.array(seq), pa.array(start - chunk.word_at[row], pa.int32())], names=["one", "two", "doc_id", "seq_a", "start"])
+            kernel.release()
+
+    leaves = texts.select("doc_id", "text", "found").mapInArrow(run, "one long, two long, doc_id long, seq_a long, start int")
     nodes = leaves.groupBy("one", "two").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").drop("largest")
     later = leaves.join(nodes, ["one", "two"]).where("doc_id > smallest")
     return later.groupBy("doc_id", "seq_a").agg(F.collect_list("start").alias("starts"))
@@ -209,6 +214,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Returns the profile of every row with ``whole`` (its word sequence is that of a
     smaller document); the texts under repeated prefixes; and (doc_id, seq_a,
     starts) of their repeated windows. A null doc_id is NULL_ID."""
+    small_batches(docs)
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("digest", text_digest("text"))
     profiled = settled(profile(rows))
@@ -219,8 +225,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = suffixes.join(shared.select("prefix", (F.col("n") > GROUP_LIMIT).alias("large")), "prefix")
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "large")).alias("found"))
     texts = settled(rows.join(found, "doc_id"))
-    slices = slices_of(texts)
-    starts = subtrees(slices.where("not large").drop("large")).unionByName(whole_prefixes(slices.where("large")))
+    starts = subtrees(slices_of(texts)).unionByName(whole_prefixes(texts.where(F.exists("found", lambda x: x["large"]))))
     starts = starts.groupBy("doc_id", "seq_a").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     firsts = sequences.select("seq_a", "seq_b", F.col("doc_id").alias("first"))
     whole = profiled.drop("prefixes").join(firsts, ["seq_a", "seq_b"], "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
