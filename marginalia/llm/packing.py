@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,50 +26,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm import kernel
 from marginalia.llm.hilbert import SALTS, with_rank
+from marginalia.llm.shared import settled, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, QUANTUM, END_ID = 4096, 16, 2
-#: Words that a worker remembers with their ids before it starts anew.
-MEMO_WORDS = 300_000
-_STOPS = b".,!?;:"
+#: Words that a worker remembers with their ids; as many more are those of the turn before.
+MEMO_WORDS = 250_000
+_STOPS = ".,!?;:"
+#: Characters below need no normalisation, and their lower case does not depend on their neighbours.
+_PLAIN = "\u0180"
 
 
 class Memo(dict):
-    """Ids, as little-endian 16- or 32-bit bytes, of words without white space.
+    """Ids, as unsigned little-endian 32-bit integers, of words without white space.
 
     The vocabulary's own rules split at white space, lower the case and separate
     letters from stops, so a word's ids are those of its lower-case core and of a
-    single stop after it; only cores are encoded."""
+    single stop after it. Cores of letters alone are encoded many at a time: each
+    ends at the only token of it that carries the word-end mark."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        lower = word.lower() if word.isascii() else word
-        if b"<" in word:
-            ids = self.encode(word)
-        elif lower != word:
-            ids = self[lower]
-        elif len(word) > 1 and word[-1] in _STOPS and word[-2:-1].isalnum():
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = self.encode(word)
-        self[word] = ids
-        return ids
-
-    def encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        """Ids of a whole text as unsigned little-endian 32-bit integers."""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Add words that are not yet known."""
+        parts = {w: self.core(w.decode("utf-8", "replace")) for w in words}
+        cores = {core for core, _ in parts.values()}
+        found = self.encode_all([c for c in cores if c.isalpha() and (c.isascii() or max(c) < _PLAIN)])
+        found |= {c: self.encode(c) for c in cores if c not in found}
+        stops = {stop: self.encode(stop) if stop else b"" for stop in {stop for _, stop in parts.values()}}
+        self.update({w: found[core] + stops[stop] for w, (core, stop) in parts.items()})
+
+    @staticmethod
+    def core(word: str) -> tuple[str, str]:
+        """A word's core, in lower case where that is sure to be the vocabulary's, and a single stop after it."""
+        if "<" in word or not word.isascii() and (max(word) >= _PLAIN or "\u0130" in word):
+            return word, ""
+        word = word.lower()
+        if word[-1] in _STOPS and word[-2:-1].isalpha():
+            return word[:-1], word[-1]
+        return word, ""
+
+    def encode_all(self, cores: list[str], step: int = 2048) -> dict[str, bytes]:
+        out = {}
+        for i in range(0, len(cores), step):
+            some = cores[i : i + step]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                out |= {c: ids[a:b].tobytes() for c, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+        return out
+
+    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Ids of whole texts, given as UTF-8."""
         if len(self) > MEMO_WORDS:
+            # words met since the last turn stay for one more, so frequent ones are never learnt again
+            self.old = dict(self)
             self.clear()
-        return b"".join([self[w] for w in text.encode().split()]) if text else b""
+        split = [t.split() if t else [] for t in texts]
+        new = set(chain.from_iterable(split)) - self.keys()
+        again = new & self.old.keys()
+        self.update({w: self.old[w] for w in again})
+        self.learn(new - again)
+        for words in split:
+            yield b"".join(map(self.__getitem__, words))
 
 
 _memos: dict[str, Memo] = {}
@@ -82,19 +116,21 @@ def memo(path: str) -> Memo:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of every document's pieces: full sequences, then the rest."""
+    small_batches(docs)
     path = path or public_tokenizers.path(VOCABULARY)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = memo(path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = known.ids(text) + end
-                total = len(raw) // 4
-                rows += [(doc_id, at, min(capacity, total - at), zlib.crc32(raw[4 * at : 4 * (at + capacity)]), total) for at in range(0, total, capacity)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
+        for whole in batches:
+            for batch, _, _ in kernel.slices(whole, limit=1 << 20):
+                rows = []
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), known.ids(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
+                    raw = ids + end
+                    total = len(raw) // 4
+                    rows += [(doc_id, at, min(capacity, total - at), zlib.crc32(raw[4 * at : 4 * (at + capacity)]), total) for at in range(0, total, capacity)]
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -211,8 +247,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
 
     The pieces are written once to the shared checkpoint folder, as encoding costs most."""
-    from marginalia.llm.shared import settled
-
     return pack(settled(pieces(docs, capacity, path)), capacity)
 
 
