@@ -89,6 +89,13 @@ def parallel_counts(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     return df.join(counts, df[id_col] == counts["id"], "left").drop(counts["id"]).withColumn("parallels", F.coalesce("parallels", F.lit(0)))
 
 
+def file_counts(df: DataFrame, pairs: DataFrame, id_col: str, file: str, kind: str = "kind") -> DataFrame:
+    """(file, verses, half_verses, lines) of every file: how many of its passages of each kind have parallels. Ids differ between kinds."""
+    some = F.col("parallels") > 0
+    counts = [F.count_if(some & (F.col(kind) == k)).alias(name) for k, name in zip(KINDS, ("verses", "half_verses", "lines"), strict=True)]
+    return parallel_counts(df, pairs, id_col).groupBy(file).agg(*counts)
+
+
 def parallels_of(pairs: DataFrame, df: DataFrame, id_col: str, one: int) -> DataFrame:
     """(id2, coeff, contents) of one passage's parallels."""
     mine = mirror(pairs).where(F.col("id") == one)

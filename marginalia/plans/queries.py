@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import bibliography as bib
@@ -299,6 +299,76 @@ def parallels_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_to(comparable(spark, sf_dir), ASKED, "id", "grams").select("id", F.round("coeff", 9).alias("coeff"))
 
 
+# the same over passages of all three kinds at the reference's threshold; too many pairs for SQL, tested against brute force
+
+
+def verse_passages(lines: DataFrame) -> DataFrame:
+    """(id, kind, part, contents, grams) of all passages of lines (part, line, text); ids differ between kinds."""
+    found = similarity.passages(lines, "part").withColumn("grams", text.trigrams(F.col("normalized")))
+    return found.select(F.struct("kind", "part", "first").alias("id"), "kind", "part", "contents", "grams")
+
+
+def lines_in(df: DataFrame, name: str, id_col: str) -> DataFrame:
+    """The lines with a letter of a table's texts; each row is a verse."""
+    lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"\p{L}"))
+    return df.select(F.struct(F.lit(name).alias("table"), F.col(id_col).alias("key")).alias("part"), F.posexplode(lines).alias("line", "text"))
+
+
+def spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the lines of conversations, and the lines of benchmark items."""
+    turns = table(spark, sf_dir, "conversations").select(F.struct(F.lit("conversations").alias("table"), F.col("conv_id").alias("key")).alias("part"), F.col("turn").cast("int").alias("line"), "text")
+    return turns.unionByName(lines_in(table(spark, sf_dir, "benchmark"), "benchmark", "item_id"))
+
+
+def passage_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = verse_passages(spoken_lines(spark, sf_dir))
+    return rows, similarity.similar_pairs(rows, "id", "grams", "kind")
+
+
+def flat(name: str) -> list[Column]:
+    """A passage's id as columns."""
+    return [F.col(f"{name}.part.table").alias(f"{name}_table"), F.col(f"{name}.part.key").alias(f"{name}_key"), F.col(f"{name}.first").alias(f"{name}_first")]
+
+
+@query()
+def passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parallels of at least MIN_COEFF, each kind of passage by itself."""
+    return passage_links(spark, sf_dir)[1].select("kind", *flat("id"), *flat("id2"), F.round("coeff", 9).alias("coeff"))
+
+
+@query()
+def passage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages with the number of their parallels."""
+    rows, pairs = passage_links(spark, sf_dir)
+    return similarity.parallel_counts(rows.withColumnRenamed("id", "pid"), pairs, "pid").select("kind", *flat("pid"), "parallels")
+
+
+@query()
+def passage_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many passages of each kind have parallels, for every conversation and item."""
+    rows, pairs = passage_links(spark, sf_dir)
+    return similarity.file_counts(rows.withColumnRenamed("id", "pid"), pairs, "pid", "part").select("part.table", "part.key", "verses", "half_verses", "lines")
+
+
+@query()
+def passage_parallels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parallels of all passages, with their contents."""
+    rows, pairs = passage_links(spark, sf_dir)
+    found = similarity.mirror(pairs).join(rows.select(F.col("id").alias("id2"), "kind", "contents"), "id2")
+    return found.select("kind", *flat("id"), *flat("id2"), F.round("coeff", 9).alias("coeff"), F.md5("contents").alias("contents"))
+
+
+@query()
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each kind most like a text, in conversations, items and documents."""
+    rows = verse_passages(spoken_lines(spark, sf_dir).unionByName(lines_in(documents(spark, sf_dir), "documents", "doc_id")))
+    out = None
+    for kind in similarity.KINDS:
+        some = similarity.similar_to(rows.where(F.col("kind") == kind), ASKED, "id", "grams").select(F.lit(kind).alias("kind"), *flat("id"), F.round("coeff", 9).alias("coeff"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 # windows
 
 
