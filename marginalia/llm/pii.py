@@ -5,7 +5,8 @@ small transducers that keep, for every character they write, the span of source
 characters it stands for: homoglyphs and full-width forms become ASCII, spelled
 digits become digits, and at/dot disguises become ``@`` and ``.``. The same
 detectors run on the normalised text and their matches are mapped back; those
-that do not touch a base span of their kind are added.
+that no base span of their kind holds whole are added, beside a base span that
+is only the undisguised part of one.
 Offsets are code points of the source text, ends exclusive. Null and empty texts
 have no spans; rows are independent of each other, whatever their ids.
 """
@@ -149,7 +150,7 @@ def undo_at_dot(t: Traced) -> None:
     t.replace([(m.start(), m.end(), "@") for m in _AT.finditer(t.text)])
     edits, at = [], -1
     for m in _DOT.finditer(t.text):
-        bare = m[0] == m[0].strip() or m[0].strip().isalpha()
+        bare = m[0].strip().isalpha()
         if bare:
             at = t.text.rfind("@", max(0, m.start() - 64), m.start())
             if at < 0 or not re.fullmatch(r"@[A-Za-z0-9.-]+(?:\x20dot\x20[A-Za-z0-9-]+)*", t.text[at : m.start()], re.I):
@@ -158,8 +159,8 @@ def undo_at_dot(t: Traced) -> None:
     t.replace(edits)
 
 
-def touches(span: Span, others: list[Span]) -> bool:
-    return any(a < span[1] and span[0] < b for a, b in others)
+def inside(span: Span, others: list[Span]) -> bool:
+    return any(a <= span[0] and span[1] <= b for a, b in others)
 
 
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
@@ -178,7 +179,7 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     for kind, spans in detect(t.text).items():
         out[kind] = []
         for span in map(t.source, spans):
-            if not touches(span, base[kind]) and not touches(span, out[kind]):
+            if not inside(span, base[kind]) and not inside(span, out[kind]):
                 out[kind].append(span)
     return out
 
