@@ -3,7 +3,8 @@
 Base detectors read the text as it is. The method then passes the text through
 small transducers that keep, for every character they write, the span of source
 characters it stands for: homoglyphs and full-width forms become ASCII, spelled
-digits become digits, and at/dot disguises become ``@`` and ``.``. The same
+digits become digits in runs of any length, and at/dot disguises become ``@`` and
+``.``. A number word that follows an identifier counts as its last digit. The same
 detectors run on the normalised text and their matches are mapped back; those
 that no base span of their kind holds whole are added, beside a base span that
 is only the undisguised part of one.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -98,15 +100,24 @@ for _c in [*range(0xFF01, 0xFF5F), *range(0x2460, 0x2469), *range(0x0660, 0x066A
 _ODD = re.compile("[" + re.escape("".join(_CHARS)) + "]")
 
 _OPEN, _SHUT = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
-_NUMBER = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_NUMBER}|[0-9])(?:[\x20,.-]{{1,2}}(?:{_NUMBER}|[0-9])){{6,}})(?![A-Za-z0-9])", re.I)
-# Endings that a bare ``at … dot …`` must have.
-_ENDING = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|de|fr|es|it|nl|eu|us|ca|au|jp|cn|br|ru|ch|at|be|pl|se"
-_NUMBER_WORD = re.compile(_NUMBER, re.I)
-_AT = re.compile(rf"\s{{0,3}}{_OPEN}at{_SHUT}\s{{0,3}}|\s{{0,3}}{_OPEN}@{_SHUT}\s{{0,3}}|\x20at\x20(?=[A-Za-z0-9-]+(?:(?:\x20dot\x20[A-Za-z0-9-]+){{0,4}}\x20dot\x20(?:{_ENDING})(?![A-Za-z0-9-])|\s{{0,3}}{_OPEN}(?:dot|\.){_SHUT}))|(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9])", re.I)
-_DOT = re.compile(rf"\s{{0,3}}{_OPEN}(?:dot|\.){_SHUT}\s{{0,3}}|\x20dot\x20", re.I)
-#: What a text must hold for any transducer to change it in a way that can matter.
-_TRIGGER = re.compile(rf"{_OPEN}(?:at|dot|@|\.){_SHUT}|\x20at\x20[A-Za-z0-9-]+\x20dot\x20|\x20@\x20|\x20dot\x20|(?:{_NUMBER})[\x20,.-]{{1,2}}(?:{_NUMBER})", re.I)
+# a number word as a word of its own: a set of first letters lets the search skip quickly
+_NUMBER = "[" + "".join(sorted({w[0] + w[0].upper() for w in DIGIT_WORDS})) + "](?<![A-Za-z0-9].)(?:" + "|".join(f"(?<=[{w[0]}{w[0].upper()}])(?i:{w[1:]})" for w in DIGIT_WORDS) + ")(?![A-Za-z0-9])"
+_NUMBER_WORD = re.compile(_NUMBER, re.S)
+_DIGIT = frozenset("0123456789")
+#: What may stand between two items of a spelled run; the detectors read the first three.
+_GAP = re.compile(r"[\x20.-]|[\x20,.-]{2}|,")
+_AT = re.compile(rf"(?i:\s{{0,3}}{_OPEN}(?:at|@){_SHUT}\s{{0,3}}|(?<=[A-Za-z0-9._%+-])\x20at\x20(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9]))")
+_DOT_FORM = rf"(?i:\s{{0,3}}{_OPEN}(?:dot|\.){_SHUT}\s{{0,3}}|\x20dot\x20)"
+_DOT = re.compile(_DOT_FORM)
+#: A domain whose dots are partly words or in brackets.
+_SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT_FORM})[A-Za-z0-9-]++)++")
+#: Words and signs of addresses that dots connect; it is entered at its start only.
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+@-]++(?:{_DOT_FORM}[A-Za-z0-9._%+@-]++)++")
+# Words that go on in a sentence after " dot "; none is a top-level domain.
+_NO_ENDING = frozenset("the and that this these those with from was were are not but then than they she his her its our their there who when where what which had has have into some any".split())
+#: What a text must hold for any transducer to change it in a way that can matter: a bracketed or bare
+#: at or dot, or a number word with a digit, a plus sign or another number word beside it.
+_TRIGGERS = [re.compile(rf"{_OPEN}(?i:at|dot|@|\.){_SHUT}"), re.compile(r"\x20(?:@|[Dd][Oo][Tt])\x20"), re.compile(rf"{_NUMBER}[\x20().,-]++(?:[0-9]|{_NUMBER})", re.S), re.compile(rf"[0-9+][\x20().,-]*+{_NUMBER}", re.S)]
 
 
 class Traced:
@@ -117,6 +128,8 @@ class Traced:
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Put texts in place of spans, in order; every new character stands for the whole span."""
+        if not edits:
+            return
         out, first, last, at = [], [], [], 0
         for a, b, new in edits:
             out += [self.text[at:a], new]
@@ -136,37 +149,75 @@ def unfold(t: Traced) -> None:
 
 
 def undo_digits(t: Traced) -> None:
-    """Runs of seven or more spelled digits."""
-    edits = []
-    for run in _SPELLED.finditer(t.text):
-        words = list(_NUMBER_WORD.finditer(t.text, run.start(), run.end()))
-        if len(words) >= 3:
-            edits += [(w.start(), w.end(), DIGIT_WORDS[w[0].lower()]) for w in words]
-    t.replace(edits)
+    """Number words become digits, those of one run side by side; whether that makes an identifier is for the detectors."""
+    edits: list[tuple[int, int, str]] = []
+    words = [m.span() for m in _NUMBER_WORD.finditer(t.text)]
+    for i, (a, b) in enumerate(words):
+        gap = ""
+        if i and (m := _GAP.fullmatch(t.text, words[i - 1][1], a)):
+            # a separator that no detector reads is a space; a dot stays, as it may part an address
+            gap = "." if m[0] == "." else "" if m[0] in ("\x20", "-") else "\x20"
+            edits.append((words[i - 1][1], a, gap))
+        elif (x := _before(t.text, a)) < a and (not i or words[i - 1][1] < x):
+            edits.append((x, a, "\x20"))
+        edits.append((a, b, DIGIT_WORDS[t.text[a:b].lower()]))
+        if (x := _after(t.text, b)) > b:
+            edits.append((b, x, "\x20"))
+    t.replace([e for e in edits if t.text[e[0] : e[1]] != e[2]])
+
+
+def _before(text: str, a: int) -> int:
+    """Where a separator that no detector reads begins, between a digit and a number word at ``a``."""
+    for n in (2, 1):
+        if a > n and text[a - n - 1] in _DIGIT and _GAP.fullmatch(text, a - n, a) and text[a - n : a] not in ("\x20", ".", "-"):
+            return a - n
+    return a
+
+
+def _after(text: str, b: int) -> int:
+    """Where such a separator ends, between a number word that ends at ``b`` and a digit."""
+    for n in (2, 1):
+        if text[b + n : b + n + 1] in _DIGIT and _GAP.fullmatch(text, b, b + n) and text[b : b + n] not in ("\x20", ".", "-"):
+            return b + n
+    return b
+
+
+def _addressed(text: str, at: int) -> bool:
+    """Whether a domain with a disguised dot begins here, whose ending is of two letters or more and no common word."""
+    m = _SPELLED_DOMAIN.match(text, at)
+    if not m or not _DOT.search(m[0]):
+        return False
+    labels = _DOT.sub(".", m[0]).split(".")
+    while labels and labels[-1].lower() in _NO_ENDING:
+        labels.pop()
+    return len(labels) > 1 and (len(labels[-1]) > 1 and labels[-1].isalpha() or labels[-1].lower().startswith("xn--"))
 
 
 def undo_at_dot(t: Traced) -> None:
-    """at/dot disguises. A bare `` at `` counts only before `` dot ``, a bare `` dot `` only after an ``@``."""
-    t.replace([(m.start(), m.end(), "@") for m in _AT.finditer(t.text)])
-    edits, at = [], -1
+    """at/dot disguises. A bare `` at `` counts only before a domain with a disguised dot, a bare `` dot ``
+    in a chain of words with an ``@`` or between digits."""
+    t.replace([(m.start(), m.end(), "@") for m in _AT.finditer(t.text) if not m[0].strip().isalpha() or _addressed(t.text, m.end())])
+    linked = [m.span() for m in _CHAIN.finditer(t.text) if "@" in m[0]]
+    edits, k = [], 0
     for m in _DOT.finditer(t.text):
-        bare = m[0].strip().isalpha()
-        if bare:
-            at = t.text.rfind("@", max(0, m.start() - 64), m.start())
-            if at < 0 or not re.fullmatch(r"@[A-Za-z0-9.-]+(?:\x20dot\x20[A-Za-z0-9-]+)*", t.text[at : m.start()], re.I):
-                continue
-        edits.append((m.start(), m.end(), "."))
+        a, b = m.span()
+        while k < len(linked) and linked[k][1] < b:
+            k += 1
+        if not m[0].strip().isalpha() or k < len(linked) and linked[k][0] < a or t.text[a - 1 : a] in _DIGIT and t.text[b : b + 1] in _DIGIT:
+            edits.append((a, b, "."))
     t.replace(edits)
 
 
 def inside(span: Span, others: list[Span]) -> bool:
-    return any(a <= span[0] and span[1] <= b for a, b in others)
+    """Whether one of the others, which are in order and do not overlap, holds the span whole."""
+    i = bisect_right(others, span[0], key=lambda x: x[0])
+    return i > 0 and span[1] <= others[i - 1][1]
 
 
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the normalised text shows."""
     odd = not text.isascii() and _ODD.search(text) is not None
-    if not odd and _TRIGGER.search(text) is None:
+    if not odd and not any(x.search(text) for x in _TRIGGERS):
         return {k: [] for k in KINDS}
     t = Traced(text)
     if odd:

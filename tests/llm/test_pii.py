@@ -14,3 +14,37 @@ def test_partly_disguised(part):
     text = f"write to {part}, please"
     assert found(text) == {"email": [part]} and pii.detect(text)["email"]
     assert pii.mask(text, pii.MASKS) == "write to <EMAIL>, please"
+
+
+@pytest.mark.parametrize(
+    ("kind", "part"),
+    [
+        ("ip", "one.two.three.four"),
+        ("ip", "192.168.one.one"),
+        ("ip", "192 dot 168 dot 0 dot 1"),
+        ("ip", "192.168 dot zero dot 1"),
+        ("ip", "one nine two dot one six eight dot zero dot one"),
+        ("ip", "one[dot]two[dot]three[dot]four"),
+        ("card", "4111 1111 1111 one one one one"),
+        ("card", "four, one, one, one, 1111 1111 1111"),
+        ("phone", "+4 four 2 zero 7 nine 4 six 0 nine"),
+        ("phone", "+44 (two zero) 7946 oh nine five eight"),
+        ("email", "jo at studio dot design"),
+        ("email", "jo dot smith at mail dot example dot org"),
+        ("email", "jo@" + " dot ".join(["part"] * 20) + " dot org"),
+        ("email", "jo at " + " dot ".join(["part"] * 20) + " dot org"),
+    ],
+)
+def test_disguised(kind, part):
+    assert found(f"see {part}, please") == {kind: [part]}
+    assert found(f"sеe {part}, please") == {kind: [part]}, "the same beside a homoglyph"
+
+
+@pytest.mark.parametrize("text", ["meet at noon dot the i", "look at it", "one or two of the three", "dot dot dot", "in 2019 one man, 3 dot 5", "at ten dot ten"])
+def test_prose_stays(text):
+    assert found(text) == {}
+
+
+@pytest.mark.parametrize("part", ["one ", "a dot ", "a at ", " at a dot b", "[dot]", "1 dot ", "(", "+", "- ", "@", "x"])
+def test_linear(part):
+    pii.mask(part * 40_000, pii.MASKS)
