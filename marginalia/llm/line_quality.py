@@ -6,8 +6,9 @@ digits to 0, white space squeezed) and hashed, the distinct texts that hold a
 line are counted for every host (``source``), and a line in more of them than
 ``max_documents`` is removed from all but the host's smallest doc_id that has
 it. A document left with less than ``min_left`` hundredths of the words of its
-lines is rejected. Exact copies of a text count once, so copies alone do not
-make a line boilerplate.
+lines is rejected; ``remove_lines`` and ``keep_good`` give the others back without
+the removed lines. Exact copies of a text count once, so copies alone do not make
+a line boilerplate: they are the business of the search for near duplicates.
 Null text counts as empty (no words: it fails the base rules); null hosts are one
 host; repeated rows get the same verdict; ties are by doc_id, null ids first.
 """
@@ -35,9 +36,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def lines_of(text: Column) -> Column:
     """Lines with a word."""
-    return F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(F.split(text, "\n", -1), has_word)
 
 
 def normal_line(line: Column) -> Column:
@@ -71,16 +76,24 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
 
 
-def depleted(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
-    """(doc_id, host, digest) of documents whose lines are mostly removed; needs (doc_id, host, digest, text)."""
-    lines = docs.select("doc_id", "host", "digest", F.explode(lines_of(F.col("text"))).alias("line"))
-    lines = lines.select("doc_id", "host", "digest", F.xxhash64(normal_line(F.col("line"))).alias("line"), F.size(words_of(F.col("line"))).alias("n"))
+def marked_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(doc_id, host, digest, at, n, gone) of every line with a word; needs (doc_id, host, digest, text). ``at`` counts all lines of the text."""
+    lines = docs.select("doc_id", "host", "digest", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(has_word(F.col("line")))
+    lines = lines.select("doc_id", "host", "digest", "at", F.xxhash64(normal_line(F.col("line"))).alias("line"), F.size(words_of(F.col("line"))).alias("n"))
     seen = lines.groupBy("host", "line", "digest").agg(F.min("doc_id").alias("first"))
     common = seen.groupBy("host", "line").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") > max_documents)
     marked = lines.join(common.select("host", "line", F.col("first"), F.lit(True).alias("common")), ["host", "line"], "left")
-    gone = F.coalesce(F.col("common") & ~F.col("doc_id").eqNullSafe(F.col("first")), F.lit(False))
-    left = marked.groupBy("doc_id", "host", "digest").agg(F.sum("n").alias("all"), F.sum(F.when(gone, 0).otherwise(F.col("n"))).alias("left"))
-    return left.where(F.col("left") * 100 < F.col("all") * min_left).select("doc_id", "host", "digest")
+    return marked.withColumn("gone", F.coalesce(F.col("common") & ~F.col("doc_id").eqNullSafe(F.col("first")), F.lit(False))).drop("line", "first", "common")
+
+
+def is_depleted(min_left: int) -> Column:
+    return F.sum(F.when(F.col("gone"), 0).otherwise(F.col("n"))) * 100 < F.sum("n") * min_left
+
+
+def depleted(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
+    """(doc_id, host, digest) of documents whose lines are mostly removed; needs (doc_id, host, digest, text)."""
+    some = marked_lines(docs, max_documents).groupBy("doc_id", "host", "digest").agg(is_depleted(min_left).alias("bad"))
+    return some.where("bad").drop("bad")
 
 
 def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
@@ -95,15 +108,40 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = M
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "digest")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose verdict is ``kept``, with all their columns."""
+def keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
-    rows = rows.withColumn("digest", F.xxhash64("text"))
-    keys = ["doc_id", "host", "digest"]
+    return rows.withColumn("digest", F.xxhash64("text"))
+
+
+def verdicts(rows: DataFrame, max_documents: int, min_left: int) -> DataFrame:
+    """(doc_id, host, digest, bad, gone) of documents that lose lines; ``gone`` counts lines from 0."""
+    gone = F.collect_set(F.when(F.col("gone"), F.col("at"))).alias("gone")
+    some = marked_lines(rows, max_documents).groupBy("doc_id", "host", "digest").agg(is_depleted(min_left).alias("bad"), gone)
+    return some.where(F.size("gone") > 0)
+
+
+def without(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that are not bad, with all their columns; what ``text`` keeps is in order."""
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    joined = rows.join(found, ["doc_id", "host", "digest"], "left").where(~F.coalesce("bad", F.lit(False)))
+    cut = F.when(F.size("gone") > 0, kept).otherwise(F.col("_row")["text"])
+    return joined.select(*[cut.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns])
+
+
+def remove_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
+    """``docs`` without the lines above the limit and without the documents that they leave depleted."""
+    rows = keyed(docs)
+    return without(rows, verdicts(rows.drop("_row"), max_documents, min_left), docs.columns)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose verdict is ``kept``, with all their columns and without the lines above the limit."""
+    rows = keyed(docs)
     # an aggregate, which no filter passes: a filter below would compute the measures over and over
-    failed = base_measures(rows.drop("_row")).groupBy(*keys).agg(F.max(base_failed()).alias("failed")).where("failed").drop("failed")
-    bad = failed.unionByName(depleted(rows.drop("_row"))).distinct()
-    return rows.join(bad, keys, "left_anti").select("_row.*")
+    failed = base_measures(rows.drop("_row")).groupBy("doc_id", "host", "digest").agg(F.max(base_failed()).alias("bad")).where("bad")
+    both = failed.withColumn("gone", F.array().cast("array<int>")).unionByName(verdicts(rows.drop("_row"), MAX_DOCUMENTS, MIN_LEFT))
+    found = both.groupBy("doc_id", "host", "digest").agg(F.max("bad").alias("bad"), F.flatten(F.collect_list("gone")).alias("gone"))
+    return without(rows, found, docs.columns)
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
