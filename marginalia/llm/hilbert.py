@@ -123,9 +123,18 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Write documents as one folder a shard, in slot order; files keep statistics for pruning."""
-    placed = docs.join(sharded.select("doc_id", "shard", "slot"), "doc_id")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Write documents as one folder a shard, in slot order; files keep statistics for pruning.
+
+    As many rows are written as read: null ids meet too, and the rows of one id,
+    size and digest are numbered on both sides and meet one by one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = {"_id": F.col("doc_id"), "_size": (F.octet_length(text) + 1).cast("long"), "_crc": F.crc32(text.cast("binary"))}
+    left = docs.withColumns(own).withColumn("_nth", F.row_number().over(Window.partitionBy(*own).orderBy(*own)))
+    placed = sharded.select(F.col("doc_id").alias("_id2"), F.col("size").alias("_size2"), F.col("text_crc32").alias("_crc2"), "shard", "slot")
+    placed = placed.withColumn("_nth2", F.row_number().over(Window.partitionBy("_id2", "_size2", "_crc2").orderBy("shard", "slot")))
+    keys = [*own, "_nth"]
+    joined = left.join(placed, [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in keys]).drop(*keys, *[f"{k}2" for k in keys])
+    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
