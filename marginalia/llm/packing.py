@@ -18,11 +18,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,77 +32,125 @@ from marginalia.llm.shared import settled, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, QUANTUM, END_ID = 4096, 16, 2
-#: Words that a worker remembers with their ids; as many more are those of the turn before.
-MEMO_WORDS = 250_000
+#: Words whose ids a worker remembers; beyond, those met in one slice only are forgotten.
+MEMO_WORDS = 400_000
+#: Bytes of text encoded together; a longer text is encoded in parts cut at white space.
+SLICE_BYTES = 1 << 22
 _STOPS = ".,!?;:"
-#: Characters below need no normalisation, and their lower case does not depend on their neighbours.
-_PLAIN = "\u0180"
+#: Letters below U+0180 but for U+0130, and one stop: no normalisation, and a lower case that does not depend on neighbours.
+_PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+[.,!?;:]?$"
+#: A character that is a token by itself between spaces.
+_MARK = "\x01"
 
 
-class Memo(dict):
-    """Ids, as unsigned little-endian 32-bit integers, of words without white space.
+def gathered(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ids[first:first + size] side by side, and where each one begins (one more for the end)."""
+    at = np.concatenate([[0], np.cumsum(size)])
+    return ids[np.arange(at[-1]) + np.repeat(first - at[:-1], size)], at
+
+
+class Memo:
+    """Ids of words without white space.
 
     The vocabulary's own rules split at white space, lower the case and separate
-    letters from stops, so a word's ids are those of its lower-case core and of a
-    single stop after it. Cores of letters alone are encoded many at a time: each
-    ends at the only token of it that carries the word-end mark."""
+    letters from stops, so a word's ids do not depend on its neighbours, and those
+    of letters with a stop are the ids of the lower-case letters and of the stop.
+    Words of letters are encoded many at a time by a tokenizer of the same merges
+    that splits at spaces only; all others by the whole tokenizer."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.old: dict[bytes, bytes] = {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Add words that are not yet known."""
-        parts = {w: self.core(w.decode("utf-8", "replace")) for w in words}
-        cores = {core for core, _ in parts.values()}
-        found = self.encode_all([c for c in cores if c.isalpha() and (c.isascii() or max(c) < _PLAIN)])
-        found |= {c: self.encode(c) for c in cores if c not in found}
-        stops = {stop: self.encode(stop) if stop else b"" for stop in {stop for _, stop in parts.values()}}
-        self.update({w: found[core] + stops[stop] for w, (core, stop) in parts.items()})
+        self.stops = np.zeros(256, dtype="<u4")
+        self.stops[[ord(c) for c in _STOPS]] = [self.encode(self.whole, c)[0] for c in _STOPS]
+        (self.mark,) = self.encode(self.whole, _MARK)
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(0, dtype="<u4")
+        self.first = self.size = self.met = np.zeros(0, dtype=np.int64)
 
     @staticmethod
-    def core(word: str) -> tuple[str, str]:
-        """A word's core, in lower case where that is sure to be the vocabulary's, and a single stop after it."""
-        if "<" in word or not word.isascii() and (max(word) >= _PLAIN or "\u0130" in word):
-            return word, ""
-        word = word.lower()
-        if word[-1] in _STOPS and word[-2:-1].isalpha():
-            return word[:-1], word[-1]
-        return word, ""
-
-    def encode_all(self, cores: list[str], step: int = 2048) -> dict[str, bytes]:
-        out = {}
-        for i in range(0, len(cores), step):
-            some = cores[i : i + step]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                out |= {c: ids[a:b].tobytes() for c, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
-        return out
-
-    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Ids of whole texts, given as UTF-8."""
-        if len(self) > MEMO_WORDS:
-            # words met since the last turn stay for one more, so frequent ones are never learnt again
-            self.old = dict(self)
-            self.clear()
-        split = [t.split() if t else [] for t in texts]
-        new = set(chain.from_iterable(split)) - self.keys()
-        again = new & self.old.keys()
-        self.update({w: self.old[w] for w in again})
-        self.learn(new - again)
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
+    def encode(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def encode_letters(self, cores: list[str], step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Ids side by side and their number for words of lower-case letters; each ends at its only token with the word-end mark."""
+        parts = [self.encode(self.letters, " ".join(cores[i : i + step])) for i in range(0, len(cores), step)]
+        ids = np.concatenate([*parts, np.zeros(0, dtype="<u4")])
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def encode_others(self, words: list[str], step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words: a mark before each tells them apart, unless one of them holds it."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), step):
+            some = words[i : i + step]
+            if any(_MARK in w for w in some):
+                out += [self.encode(self.whole, w) for w in some]
+            else:
+                ids = self.encode(self.whole, f" {_MARK} ".join(["", *some]))
+                out += [x[1:] for x in np.split(ids, np.flatnonzero(ids == self.mark))[1:]]
+        return np.concatenate([*out, np.zeros(0, dtype="<u4")]), np.array([len(x) for x in out], dtype=np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Add words that are not yet known."""
+        array = pa.array(words, pa.string())
+        plain = pc.match_substring_regex(array, _PLAIN).to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(array.filter(pa.array(plain)))
+        core = pc.utf8_rtrim(low, characters=_STOPS)
+        data, at = kernel.text_bytes(low)
+        stopped = np.diff(at) > np.diff(kernel.text_bytes(core)[1])
+        cores = core.dictionary_encode()
+        ids, size = self.encode_letters(cores.dictionary.to_numpy(zero_copy_only=False).tolist())
+        code = cores.indices.to_numpy()
+        last = self.stops[data[at[1:][stopped] - 1]]
+        # a stop is one more id behind those of the core
+        first = (np.cumsum(size) - size)[code]
+        n = size[code]
+        source = np.concatenate([ids, last])
+        begin = np.stack([first, np.where(stopped, len(ids) + np.cumsum(stopped) - 1, 0)], 1).ravel()
+        letters, _ = gathered(source, begin, np.stack([n, stopped.astype(np.int64)], 1).ravel())
+        others, m = self.encode_others(array.filter(pa.array(~plain)).to_pylist())
+        sizes = np.concatenate([n + stopped, m])
+        known = len(self.place)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.met = np.concatenate([self.met, np.zeros(len(sizes), dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, letters, others])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]).tolist()
+        self.place.update({words[i]: known + k for k, i in enumerate(order)})
+
+    def forget(self) -> None:
+        """Keep the words that were met in several slices; counts are halved, so that words of old days go too."""
+        keep = np.flatnonzero(self.met > 1)
+        words = list(self.place)
+        self.ids, at = gathered(self.ids, self.first[keep], self.size[keep])
+        self.first, self.size, self.met = at[:-1], self.size[keep], self.met[keep] // 2
+        self.place = {words[i]: k for k, i in enumerate(keep.tolist())}
+
+    def encode_texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, each with the end id behind it, side by side, and where each text's begin."""
+        if len(self.place) > MEMO_WORDS:
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            self.learn(new)
+        code = np.fromiter(map(self.place.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.met[code] += 1
+        # the end id stands behind all known ids, as one more word
+        first, size = np.append(self.first[code], len(self.ids)), np.append(self.size[code], 1)
+        every = np.insert(words.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(code))
+        ids, at = gathered(np.append(self.ids, np.uint32(end_id)), first[every], size[every])
+        return ids, at[bounds - bounds[0] + np.arange(len(bounds))]
 
 
 _memos: dict[str, Memo] = {}
@@ -114,6 +162,29 @@ def memo(path: str) -> Memo:
     return _memos[path]
 
 
+def cut_at_space(data: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+    """A long text in parts of about ``limit`` bytes that begin with white space; a word longer than that stays whole."""
+    first, spaces = 0, np.flatnonzero(kernel.SPACE[data])
+    while len(data) - first > limit:
+        i = np.searchsorted(spaces, first + limit)
+        if i == len(spaces):
+            break
+        yield data[first : spaces[i]]
+        first = int(spaces[i])
+    yield data[first:]
+
+
+def encoded(batch: pa.RecordBatch, known: Memo, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with the ids of their texts and where each text's begin."""
+    for part, data, at in kernel.slices(batch, limit=SLICE_BYTES):
+        if len(data) <= SLICE_BYTES:
+            yield part, *known.encode_texts(part.column("text"), end_id)
+        else:
+            ids = [known.encode_texts(pa.array([x.tobytes()], pa.binary()).cast(pa.string()), end_id)[0][:-1] for x in cut_at_space(data)]
+            whole = np.concatenate([*ids, np.array([end_id], dtype="<u4")])
+            yield part, whole, np.array([0, len(whole)])
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of every document's pieces: full sequences, then the rest."""
     small_batches(docs)
@@ -121,16 +192,18 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = memo(path), np.array([end_id], dtype="<u4").tobytes()
-        for whole in batches:
-            for batch, _, _ in kernel.slices(whole, limit=1 << 20):
-                rows = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), known.ids(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
-                    raw = ids + end
-                    total = len(raw) // 4
-                    rows += [(doc_id, at, min(capacity, total - at), zlib.crc32(raw[4 * at : 4 * (at + capacity)]), total) for at in range(0, total, capacity)]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
+        known = memo(path)
+        for batch in batches:
+            for part, ids, first in encoded(batch, known, end_id):
+                total = np.diff(first)
+                n = -(-total // capacity)
+                doc = np.repeat(np.arange(len(n)), n)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+                length = np.minimum(capacity, total[doc] - start)
+                crc = [zlib.crc32(ids[a : a + m]) for a, m in zip((first[doc] + start).tolist(), length.tolist(), strict=True)]
+                columns = [part.column("doc_id").take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (start, length, crc, total[doc]))]
+                yield pa.record_batch(columns, names=names)
+            kernel.release()
 
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
