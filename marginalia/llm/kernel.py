@@ -52,13 +52,18 @@ def avalanche(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Chunk:
+class Texts:
+    """Documents as bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
+
+
+class Chunk(Texts):
     """Documents as bytes, with the spans of their words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.data = LOWER[data] if lower else data
-        self.offsets = offsets
-        self.n = len(offsets) - 1
+        super().__init__(LOWER[data] if lower else data, offsets)
         word = ~SPACE[data]
         before = np.zeros(len(data), dtype=bool)
         before[1:] = word[:-1]
@@ -104,6 +109,13 @@ class Chunk:
         h = (sums[self.word_at[1:]] - sums[self.word_at[:-1]]) * down[self.word_at[:-1]]
         return avalanche(h + self.counts().astype(U64) * U64(BASES[3]))
 
+    def spans(self, words: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+        """Hashes of the words from each ``first`` up to each ``end``."""
+        up, down = powers(BASES[seed] ^ 0x5555555555555554, len(words) + 1)
+        sums = np.zeros(len(words) + 1, dtype=U64)
+        np.cumsum(words * up[: len(words)], out=sums[1:])
+        return avalanche((sums[end] - sums[first]) * down[first] + (end - first).astype(U64) * U64(BASES[3]))
+
     def inside(self, k: int) -> np.ndarray:
         """Word positions at which k words of one document start."""
         m = len(self.starts) - k + 1

@@ -22,18 +22,39 @@ def small_batches(df: DataFrame) -> None:
         conf.set(key, str(TEXT_BATCH))
 
 
+def shared_folder(df: DataFrame) -> str:
+    """spark.checkpoint.dir of the session; only where that is unset and Spark runs in this process alone, as in tests, a temporary folder."""
+    spark = df.sparkSession
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once by checkpoint(), to be read often without computing it again.
-
-    The folder is spark.checkpoint.dir of the session; only where that is unset,
-    as in tests on one machine, a temporary folder takes its place."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    """``df`` written once by checkpoint() in the shared folder, to be read often without computing it again.
+
+    Spark deletes it when nothing refers to it any more, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df)
     return df.checkpoint()
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a frame of ``settled`` that nothing reads any more."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in links (a, b): comp is the smallest node that can be reached.
 
