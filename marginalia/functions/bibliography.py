@@ -62,18 +62,16 @@ def fix_record(df: DataFrame) -> DataFrame:
     return out.withColumns({"shorthand": extra_field(F.col("extra"), "shorthand"), "original_date": extra_field(F.col("extra"), "original ?date")})
 
 
-def name_first_last(x: Column) -> Column:
-    first, last = x["firstName"], x["lastName"]
-    return F.when(_some(first) & _some(last), F.concat_ws(" ", first, last)).when(_some(last), last).when(_some(first), F.concat_ws(" ", first, F.lit(ANONYMOUS))).otherwise(_name(x))
+def person(x: Column, order: str) -> Column:
+    """A creator's name: ``index`` with the last name in front, ``natural``, or ``short``, the last name alone.
 
-
-def name_last_first(x: Column) -> Column:
-    first, last = x["firstName"], x["lastName"]
-    return F.when(_some(first) & _some(last), F.concat_ws(", ", last, first)).when(_some(last), last).when(_some(first), F.concat_ws(", ", F.lit(ANONYMOUS), first)).otherwise(_name(x))
-
-
-def name_last(x: Column) -> Column:
-    return F.when(_some(x["lastName"]), x["lastName"]).otherwise(_name(x))
+    A first name without a last one stands beside "Anonymous"; without either the single name counts."""
+    first, last = (F.nullif(x[c], F.lit("")) for c in ("firstName", "lastName"))
+    if order == "short":
+        return F.coalesce(last, _name(x))
+    known = F.coalesce(last, F.when(first.isNotNull(), F.lit(ANONYMOUS)))
+    both = F.concat_ws(", ", known, first) if order == "index" else F.concat_ws(" ", first, known)
+    return F.when(known.isNotNull(), both).otherwise(_name(x))
 
 
 def _some(c: Column) -> Column:
@@ -95,9 +93,9 @@ def creators_text(creators: Column, style: str = "front") -> Column:
     """Names in a row: ``front`` puts the first one's last name in front, ``back`` none; anonymous where there is none."""
     creators = F.coalesce(creators, F.array().cast(f"array<{CREATOR}>"))
     if style == "front":
-        names = F.transform(creators, lambda x, i: F.when(i == 0, name_last_first(x)).otherwise(name_first_last(x)))
+        names = F.transform(creators, lambda x, i: F.when(i == 0, person(x, "index")).otherwise(person(x, "natural")))
     else:
-        names = F.transform(creators, name_first_last)
+        names = F.transform(creators, lambda x: person(x, "natural"))
     return F.coalesce(with_and(names), F.lit(ANONYMOUS))
 
 
@@ -115,17 +113,20 @@ def short_reference(df: DataFrame, name: str = "reference") -> DataFrame:
     """A 2001; A and B 2001; A et al. 2001. Parts of a book or journal are not named after its editors."""
     part = F.col("itemType").isin("bookSection", "journalArticle")
     who = F.when(part, of_types(F.col("creators"), "author")).otherwise(of_types(F.col("creators"), "author", "editor", "bookAuthor"))
-    names = F.transform(who, name_last)
+    names = F.transform(who, lambda x: person(x, "short"))
     n = F.size(names)
     text = F.when(n == 0, F.lit(ANONYMOUS)).when(n == 1, names[0]).when(n == 2, F.concat_ws(" and ", names[0], names[1])).otherwise(F.concat(names[0], F.lit(" et al.")))
     return df.withColumn(name, F.concat_ws(" ", text, shown_date(F.col("date"), F.col("original_date"))))
 
 
 def sort_key(df: DataFrame, name: str = "sort_key") -> DataFrame:
-    """Shorthand, or the first eligible creator and the date, then the key; null for unsupported types."""
-    who = of_types(F.col("creators"), "author", "editor", "bookAuthor")
-    first = F.when(F.size(who) > 0, name_last_first(who[0])).otherwise(F.lit(ANONYMOUS))
-    key = F.concat_ws(" ", F.coalesce(F.col("shorthand"), F.concat_ws(" ", first, F.coalesce("date", F.lit("")))), F.col("key"))
+    """Shorthand, or the first creator's last or single name and the date, then the key; null for unsupported types.
+
+    Parts of books and articles are not sorted by their editors or the book's authors."""
+    part = F.col("itemType").isin("bookSection", "journalArticle")
+    who = F.filter(F.coalesce(F.col("creators"), F.array().cast(f"array<{CREATOR}>")), lambda x: ~(part & x["creatorType"].isin("editor", "bookAuthor")))
+    first = F.when(F.size(who) > 0, F.concat_ws(" ", F.coalesce(F.nullif(who[0]["lastName"], F.lit("")), who[0]["name"], F.lit("")), F.coalesce("date", F.lit(""))))
+    key = F.concat_ws(" ", F.coalesce(F.col("shorthand"), first, F.lit("")), F.col("key"))
     return df.withColumn(name, F.when(F.col("itemType").isin(*ITEM_TYPES), key))
 
 
@@ -171,7 +172,7 @@ def _field(df: DataFrame, name: str) -> Column:
 def entry_text(df: DataFrame, name: str = "entry") -> DataFrame:
     """The full entry of each record by its type; null for unsupported types."""
     f = lambda n: _field(df, n)
-    quoted = F.concat(F.lit("“"), f("title"), F.lit("”"))
+    quoted = F.coalesce(F.concat(F.lit("“"), period(f("title")), F.lit("”")), F.lit("Untitled."))
     creators = F.col("creators")
     front = F.when(f("shorthand").isNotNull(), period(f("shorthand"))).otherwise(
         F.concat_ws(" ", period(creators_text(of_types(creators, "author", "editor", "bookAuthor"))), period(shown_date(F.col("date"), F.col("original_date"))))
@@ -187,19 +188,19 @@ def entry_text(df: DataFrame, name: str = "entry") -> DataFrame:
     edition = F.when(ordinal_edition(f("edition")).isNotNull(), period(ordinal_edition(f("edition"))))
     ident = F.when(doi(f("DOI")).isNotNull(), F.concat(F.lit("DOI: "), doi(f("DOI")), F.lit(".")))
     links = F.when(f("url").isNotNull(), F.concat(F.lit("URL: "), F.array_join(F.transform(F.split(f("url"), r"\s+"), lambda u: F.rtrim(u, F.lit(";"))), "; "), F.lit(".")))
-    title, tail = period(f("title")), F.concat_ws(" ", ident, links)
+    title, tail = period(F.coalesce(f("title"), F.lit("Untitled"))), F.concat_ws(" ", ident, links)
     inside = lambda where: period(F.concat_ws(", ", F.concat(F.lit("In: "), where), volume))
     journal = period(F.concat_ws(", ", F.concat_ws(" ", f("publicationTitle"), f("volume"), issue), pages))
     layouts = {
         "book": (front, title, credit("bookAuthor", "By"), volume, series, edition, published),
-        "journalArticle": (authors_only, period(quoted), journal),
-        "newspaperArticle": (authors_only, period(quoted), journal),
-        "bookSection": (authors_only, period(quoted), inside(f("bookTitle")), credit("bookAuthor", "By"), credit("editor", "Edited by"), series, edition, published),
-        "conferencePaper": (authors_only, period(quoted), inside(F.coalesce(f("proceedingsTitle"), f("title"))), credit("editor", "Edited by"), series, published),
+        "journalArticle": (authors_only, quoted, journal),
+        "newspaperArticle": (authors_only, quoted, journal),
+        "bookSection": (authors_only, quoted, inside(f("bookTitle")), credit("bookAuthor", "By"), credit("editor", "Edited by"), series, edition, published),
+        "conferencePaper": (authors_only, quoted, inside(F.coalesce(f("proceedingsTitle"), f("title"))), credit("editor", "Edited by"), series, published),
         "report": (front, title, period(F.concat_ws(", ", f("reportType"), f("institution"), f("place")))),
         "thesis": (front, title, period(F.concat_ws(", ", F.coalesce(f("thesisType"), F.lit("Thesis")), f("university"), f("place")))),
-        "webpage": (front, period(quoted), period(F.coalesce(f("websiteTitle"), F.lit("Web page")))),
-        "blogPost": (front, period(quoted), period(F.coalesce(f("blogTitle"), F.lit("Blog")))),
+        "webpage": (front, quoted, period(F.coalesce(f("websiteTitle"), F.lit("Web page")))),
+        "blogPost": (front, quoted, period(F.coalesce(f("blogTitle"), F.lit("Blog")))),
         "document": (front, title, period(F.coalesce(f("publisher"), F.lit("Document")))),
         "dataset": (front, title, period(F.coalesce(f("repository"), F.lit("Dataset")))),
     }
@@ -217,7 +218,3 @@ def unnest_creators(df: DataFrame) -> DataFrame:
 def unnest_tags(df: DataFrame) -> DataFrame:
     """(key, tag): one row for each tag."""
     return df.select("key", F.explode("tags.tag").alias("tag"))
-
-
-def capitalised_ranges(ranges: Column) -> Column:
-    return sentence_case(cited_ranges(ranges))

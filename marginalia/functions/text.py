@@ -101,11 +101,15 @@ def normalize_passage(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.replace(c, F.lit("’"), F.lit("a")), r"[^\s\p{L}\p{M}]", ""))
 
 
+# Marks that leave passages, inside the brackets of a regular expression.
+PASSAGE_MARKS = r'◉◆“”.+\\,|/"॥।*!'
+
+
 def clean_passage(c: Column) -> Column:
     """Drop editorial numbers and marks, unify schwa, quotes and white space."""
     c = F.replace(F.regexp_replace(nfc(c), r"\[\d+.*?\]", ""), F.lit("[]"), F.lit(""))
     c = F.translate(c, "ә_", "ə ")
-    c = F.regexp_replace(c, r'[◉◆“”.+\\,|/"॥।*!]', "")
+    c = F.regexp_replace(c, f"[{PASSAGE_MARKS}]", "")
     return squeeze(F.translate(c, "'ʼ", "’’"))
 
 
@@ -222,14 +226,15 @@ def tamil_to_latin(c: Column) -> Column:
 
 
 # Fractions with a character of their own.
-FRACTIONS = {"1/4": "¼", "1/2": "½", "3/4": "¾", "1/7": "⅐", "1/9": "⅑", "1/10": "⅒", "1/3": "⅓", "2/3": "⅔", "1/5": "⅕", "2/5": "⅖", "3/5": "⅗", "4/5": "⅘", "1/6": "⅙", "5/6": "⅚", "1/8": "⅛", "3/8": "⅜", "5/8": "⅝", "7/8": "⅞"}
+FRACTIONS = {"0/3": "↉", "1/4": "¼", "1/2": "½", "3/4": "¾", "1/7": "⅐", "1/9": "⅑", "1/10": "⅒", "1/3": "⅓", "2/3": "⅔", "1/5": "⅕", "2/5": "⅖", "3/5": "⅗", "4/5": "⅘", "1/6": "⅙", "5/6": "⅚", "1/8": "⅛", "3/8": "⅜", "5/8": "⅝", "7/8": "⅞"}
 
 
 def fraction(c: Column) -> Column:
-    """n/d as one character, or with a fraction slash; other text as it is."""
+    """What begins with n/d or n⁄d as one character, or with a fraction slash; other text as it is."""
     table = F.create_map(*[F.lit(x) for pair in FRACTIONS.items() for x in pair])
-    bare = F.regexp_replace(c, r"\s", "")
-    return F.when(bare.rlike(r"^[0-9]+/[0-9]+$"), F.coalesce(F.try_element_at(table, bare), F.replace(bare, F.lit("/"), F.lit("⁄")))).otherwise(c)
+    part = lambda i: F.regexp_extract(c, "^([0-9]+)[/⁄]([0-9]+)", i).cast("long").cast("string")
+    shown = F.coalesce(F.try_element_at(table, F.concat(part(1), F.lit("/"), part(2))), F.concat(part(1), F.lit("⁄"), part(2)))
+    return F.when(c.rlike("^[0-9]+[/⁄][0-9]+"), shown).otherwise(c)
 
 
 def markup_text(c: Column) -> Column:
@@ -260,22 +265,36 @@ def rewrite_ref(c: Column, own_hosts: Sequence[str], prefix: str = "") -> Column
     return F.when((host == "") | host.isin(list(own_hosts)), inner).otherwise(c)
 
 
-def gap_text(reason: Column, quantity: Column, unit: Column, precision: Column, physical: bool = False) -> Column:
-    """How a gap is shown: [3+] lost, [3×] illegible, [3*] undefined, dots for components, […] without a count, ca. for a low precision.
-
-    The physical view repeats the sign instead of counting."""
-    sign = F.when(reason == "lost", "+").when(reason == "illegible", "×").otherwise("*")
-    n = quantity.cast("int")
-    sign = F.when(unit == "component", ".").otherwise(sign)
-    about = F.when(precision == "low", "ca. ").otherwise("")
-    counted = F.repeat(sign, n) if physical else F.when(unit == "component", F.repeat(sign, n)).otherwise(F.concat(about, n.cast("string"), sign))
-    return F.when(n.isNull(), "[…]").otherwise(F.concat(F.lit("["), counted, F.lit("]")))
-
-
-def numeral_note(value: Column, at_least: Column, at_most: Column, certainty: Column) -> Column:
-    """A numeral's note: its value or range, and whether it is doubtful."""
-    shown = F.when(value.isNotNull(), value).when(at_least.isNotNull() & at_most.isNotNull(), F.concat_ws("–", at_least, at_most)).when(at_least.isNotNull(), F.concat(F.lit("≥ "), at_least)).when(at_most.isNotNull(), F.concat(F.lit("≤ "), at_most))
-    return F.when((certainty == "low") & shown.isNotNull(), F.concat(shown, F.lit(" (?)"))).otherwise(shown)
+def gap_text(reason: Column, quantity: Column, unit: Column, precision: Column, physical: bool = False, doubtful: Column | None = None) -> Column:
+    """How a gap is shown: [3+] lost, [3×] illegible, [3*] neither or both, a dot for each component of a character,
+    [3 lost lines] of other units, […] without a count, an ellipsis by itself. ``ca.`` marks a low precision.
+
+    The physical view has a star for each character, counted or not by a low precision. Empty texts are nulls."""
+    some = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    why, what = some(reason, "undefined"), some(unit, "character")
+    n = F.when(quantity.rlike("^[0-9]+$"), quantity.cast("int"))
+    said = F.when(why == "undefined", "lost or illegible").otherwise(why)
+    if doubtful is not None:
+        said = F.when(doubtful, F.concat(F.lit("possibly "), said)).otherwise(said)
+    noun = F.when(what == "component", "character component").otherwise(what)
+    about = (F.coalesce(precision, F.lit("")) == "low") & (F.lit(not physical) | (what != "character"))
+    sign = F.when(said == "lost", "+").when(said == "illegible", "×").otherwise("*")
+    one = F.repeat(F.lit("*"), n) if physical else F.concat(n.cast("string"), sign)
+    body = F.when(what == "character", one).when(what == "component", F.repeat(F.lit("."), n)).otherwise(F.concat_ws(" ", n.cast("string"), said, plural(noun, n)))
+    counted = F.concat(F.lit("["), F.when(about, "ca. ").otherwise(""), body, F.lit("]"))
+    unknown = F.when(what == "character", "[…]").otherwise(F.concat_ws(" ", F.lit("[unknown number of"), said, F.concat(plural(noun, F.lit(2)), F.lit("]"))))
+    return F.when(why == "ellipsis", "…").when(n.isNotNull(), counted).otherwise(unknown)
+
+
+def numeral_note(value: Column, at_least: Column, at_most: Column, certainty: Column, text: Column) -> Column:
+    """A numeral's note: its value or range, and whether it is doubtful; null where the text itself says as much. Empty texts are nulls."""
+    value, low, high = (F.nullif(c, F.lit("")) for c in (value, at_least, at_most))
+    doubtful = F.coalesce(certainty, F.lit("")) == "low"
+    range_ = F.when(low.isNotNull() & high.isNotNull(), F.concat(F.lit("Numeral between "), low, F.lit(" and "), high, F.lit(" inclusive")))
+    range_ = range_.when(low.isNotNull(), F.concat(F.lit("Numeral greater than or equal to "), low)).when(high.isNotNull(), F.concat(F.lit("Numeral smaller than or equal to "), high))
+    note = F.when(value.isNotNull(), F.concat(F.lit("Numeral "), value)).otherwise(F.coalesce(range_, F.lit("Numeral")))
+    plain = F.when(value.isNotNull(), value == text).otherwise(range_.isNull() & text.rlike("^[0-9]+$"))
+    return F.when(doubtful, F.concat(note, F.lit(" (low certainty)"))).when(~plain, note)
 
 
 def plural(word: Column, n: Column, irregular: dict[str, str] | None = None) -> Column:

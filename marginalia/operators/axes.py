@@ -1,8 +1,9 @@
 """Structural joins over the node table, and facts about nodes.
 
-Ancestors and descendants follow from pre and post numbers inside one document,
-children, parents and siblings from the parent's number; no axis leaves a
-document, so all are equi-joins on doc_id with a range beside it at most.
+Ancestors come from a node's path and children, parents and siblings from the parent's
+number, so all these axes are equi-joins on a document and a node, as many rows as
+nodes times their depth; only ``following`` and ``preceding`` compare ranges. No axis
+leaves a document.
 """
 
 from __future__ import annotations
@@ -20,28 +21,37 @@ def attr(attrs: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(attrs, F.lit(name)), F.lit(""))
 
 
+def around(nodes: DataFrame, name: str = "up", itself: bool = False) -> DataFrame:
+    """A row for each element around each node, and for the node itself if asked for: adds its number."""
+    return nodes.withColumn(name, F.explode(F.array_append("path", F.col("pre")) if itself else F.col("path")))
+
+
 def axis(nodes: DataFrame, context: DataFrame, name: str) -> DataFrame:
-    """(context, nodes…): the nodes on an axis of each context node (doc_id, pre, post, parent)."""
-    c = context.select("doc_id", F.col("pre").alias("context"), F.col("post").alias("_post"), F.col("parent").alias("_parent"))
-    n = nodes
-    pre, post, parent = F.col("pre"), F.col("post"), F.col("parent")
-    below = (pre > F.col("context")) & (post < F.col("_post"))
-    above = (pre < F.col("context")) & (post > F.col("_post"))
-    same = F.col("_parent").eqNullSafe(parent)
-    tests = {
-        "self": pre == F.col("context"),
-        "child": parent == F.col("context"),
-        "parent": pre == F.col("_parent"),
-        "descendant": below,
-        "descendant-or-self": below | (pre == F.col("context")),
-        "ancestor": above,
-        "ancestor-or-self": above | (pre == F.col("context")),
-        "following": (pre > F.col("context")) & (post > F.col("_post")),
-        "preceding": (pre < F.col("context")) & (post < F.col("_post")),
-        "following-sibling": same & (pre > F.col("context")),
-        "preceding-sibling": same & (pre < F.col("context")),
-    }
-    return n.join(c, (n["doc_id"] == c["doc_id"]) & tests[name]).drop(c["doc_id"]).drop("_post", "_parent")
+    """(nodes…, context): the nodes on an axis of each context node (doc_id, pre, post, parent, path)."""
+    itself = name.endswith("-or-self")
+    none = F.lit(-1)
+    c = context.select("doc_id", F.col("pre").alias("context"), F.col("post").alias("_post"), F.coalesce("parent", none).alias("_parent"), "path", "pre")
+    match name.removesuffix("-or-self"):
+        case "self":
+            out = nodes.join(c.select("doc_id", "context", F.col("context").alias("pre")), ["doc_id", "pre"])
+        case "child":
+            out = nodes.withColumn("context", F.col("parent")).join(c.select("doc_id", "context"), ["doc_id", "context"])
+        case "parent":
+            out = nodes.join(c.select("doc_id", "context", F.col("_parent").alias("pre")), ["doc_id", "pre"])
+        case "descendant":
+            out = around(nodes, "context", itself).join(c.select("doc_id", "context"), ["doc_id", "context"])
+        case "ancestor":
+            out = nodes.join(around(c, "_up", itself).select("doc_id", "context", F.col("_up").alias("pre")), ["doc_id", "pre"])
+        case "following-sibling" | "preceding-sibling":
+            later = F.col("pre") > F.col("context") if name.startswith("following") else F.col("pre") < F.col("context")
+            out = nodes.withColumn("_parent", F.coalesce("parent", none)).join(c.select("doc_id", "context", "_parent"), ["doc_id", "_parent"]).where(later)
+        case "following" | "preceding":
+            n, k = nodes, c.select("doc_id", "context", "_post")
+            beside = (F.col("pre") > F.col("context")) & (F.col("post") > F.col("_post")) if name == "following" else (F.col("pre") < F.col("context")) & (F.col("post") < F.col("_post"))
+            out = n.join(k, (n["doc_id"] == k["doc_id"]) & beside).drop(k["doc_id"])
+        case _:
+            raise ValueError(f"no axis {name}")
+    return out.select(*nodes.columns, "context")
 
 
 def _solid(nodes: DataFrame) -> DataFrame:
@@ -67,17 +77,17 @@ def stuck_axis(nodes: DataFrame, context: DataFrame, name: str) -> DataFrame:
 
 def nearest_ancestor(nodes: DataFrame, name: str) -> DataFrame:
     """(doc_id, pre, value): an attribute's value on each element or the nearest one above it that has it."""
-    having = elements(nodes).where(attr(F.col("attrs"), name) != "").select("doc_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), attr(F.col("attrs"), name).alias("value"))
-    pairs = elements(nodes).select("doc_id", "pre", "post").join(having, "doc_id").where((F.col("_pre") <= F.col("pre")) & (F.col("_post") >= F.col("post")))
-    return pairs.groupBy("doc_id", "pre").agg(F.max_by("value", "_depth").alias("value"))
+    having = elements(nodes).where(attr(F.col("attrs"), name) != "").select("doc_id", F.col("pre").alias("up"), attr(F.col("attrs"), name).alias("value"))
+    # a larger number on one path lies deeper
+    return around(elements(nodes).select("doc_id", "pre", "path"), "up", True).join(having, ["doc_id", "up"]).groupBy("doc_id", "pre").agg(F.max_by("value", "up").alias("value"))
 
 
 def hierarchical_number(nodes: DataFrame, tag: str, above: str = "div", missing: str = "?") -> DataFrame:
     """(doc_id, pre, number): an element's ``n`` after those of the ``above`` elements around it, outermost first, joined by points."""
-    mine = nodes.where(F.col("tag") == tag).select("doc_id", "pre", "post", F.coalesce(F.nullif(attr(F.col("attrs"), "n"), F.lit("")), F.lit(missing)).alias("own"))
-    outer = nodes.where((F.col("tag") == above) & (attr(F.col("attrs"), "n") != "")).select("doc_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), attr(F.col("attrs"), "n").alias("_n"))
-    pairs = mine.join(outer, (mine["doc_id"] == outer["doc_id"]) & (F.col("_pre") < F.col("pre")) & (F.col("_post") > F.col("post")), "left").drop(outer["doc_id"])
-    numbers = F.transform(F.sort_array(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("_depth", "_n")))), lambda x: x["_n"])
+    mine = nodes.where(F.col("tag") == tag).select("doc_id", "pre", "path", F.coalesce(F.nullif(attr(F.col("attrs"), "n"), F.lit("")), F.lit(missing)).alias("own"))
+    outer = nodes.where((F.col("tag") == above) & (attr(F.col("attrs"), "n") != "")).select("doc_id", F.col("pre").alias("up"), attr(F.col("attrs"), "n").alias("_n"))
+    pairs = mine.withColumn("up", F.explode_outer("path")).join(outer, ["doc_id", "up"], "left")
+    numbers = F.transform(F.sort_array(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("up", "_n")))), lambda x: x["_n"])
     return pairs.groupBy("doc_id", "pre", "own").agg(numbers.alias("n")).select("doc_id", "pre", F.array_join(F.concat("n", F.array("own")), ".").alias("number"))
 
 
@@ -90,8 +100,7 @@ def node_flags(nodes: DataFrame) -> DataFrame:
 
 def text_of(nodes: DataFrame, tag: str | None = None) -> DataFrame:
     """(doc_id, pre, content): all text below each element, in document order."""
-    outer = elements(nodes) if tag is None else nodes.where(F.col("tag") == tag)
-    outer = outer.select("doc_id", "pre", "post")
-    text = nodes.where("tag = '#text'").select("doc_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"), "text")
-    inside = outer.join(text, "doc_id").where((F.col("_pre") > F.col("pre")) & (F.col("_post") < F.col("post")))
+    outer = (elements(nodes) if tag is None else nodes.where(F.col("tag") == tag)).select("doc_id", "pre")
+    text = around(nodes.where("tag = '#text'").select("doc_id", F.col("pre").alias("_pre"), "path", "text").withColumnRenamed("_pre", "pre"), "_up").select("doc_id", F.col("_up"), F.col("pre").alias("_pre"), "text")
+    inside = text.withColumnRenamed("_up", "pre").join(outer, ["doc_id", "pre"])
     return inside.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pre", "text"))), lambda x: x["text"]), "").alias("content"))

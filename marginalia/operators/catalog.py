@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import normalize_list, normalize_text, search_key
+from marginalia.functions.text import normalize_list, normalize_text, search_key, squeeze
 
 UNKNOWN_LANGUAGE = "und"
 RESERVED = ("AND", "OR", "NOT")
@@ -16,7 +16,9 @@ SHORTEST_TERM = 3
 
 
 def document_record(nodes: DataFrame) -> DataFrame:
-    """(doc_id, title, authors, editors, editors_ids, langs, summary) of each document in a node table; empty lists have defaults."""
+    """(doc_id, title, authors, editors, editors_ids, langs, scripts, summary) of each document in a node table; empty lists have defaults.
+
+    Scripts are the ``class:`` words of divisions' renditions."""
     text = nodes.where("tag = '#text'").select("doc_id", F.col("parent").alias("pre"), F.col("pre").alias("at"), "text")
     content = text.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("content"))
     full = nodes.where(~F.col("tag").startswith("#")).join(content, ["doc_id", "pre"], "left").withColumn("content", F.btrim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " ")))
@@ -27,9 +29,11 @@ def document_record(nodes: DataFrame) -> DataFrame:
         of("editor", F.col("content")).alias("editors"),
         of("editor", F.coalesce(F.col("attrs")["ref"], F.lit(""))).alias("editors_ids"),
         F.array_distinct(of("div", F.coalesce(F.col("attrs")["lang"], F.lit("")))).alias("langs"),
+        F.array_distinct(of("div", F.regexp_extract(F.coalesce(F.col("attrs")["rendition"], F.lit("")), r"(?:^|\s)class:(\S+)", 1))).alias("scripts"),
         F.get(of("summary", F.col("content")), F.lit(0)).alias("summary"),
     )
-    return out.withColumn("langs", F.when(F.size("langs") == 0, F.array(F.lit(UNKNOWN_LANGUAGE))).otherwise(F.col("langs")))
+    default = lambda c: F.when(F.size(c) == 0, F.array(F.lit(UNKNOWN_LANGUAGE))).otherwise(F.col(c))
+    return out.withColumns({"langs": default("langs"), "scripts": default("scripts")})
 
 
 def search_record(df: DataFrame) -> DataFrame:
@@ -42,7 +46,7 @@ def with_fallback_record(scan: DataFrame, records: DataFrame) -> DataFrame:
     out = scan.join(records, "doc_id", "left")
     for c, t in records.dtypes:
         if t == "array<string>":
-            default = F.array(F.lit(UNKNOWN_LANGUAGE)) if c == "langs" else F.array().cast(t)
+            default = F.array(F.lit(UNKNOWN_LANGUAGE)) if c in ("langs", "scripts") else F.array().cast(t)
             out = out.withColumn(c, F.coalesce(c, default))
     return out
 
@@ -62,12 +66,14 @@ def plain_name(df: DataFrame, people: DataFrame, git_map: DataFrame, column: str
 def merge_contributors(df: DataFrame, people: DataFrame, placeholder: str = "") -> DataFrame:
     """(doc_id, ids, names) from (doc_id, pre, id, name): each person once, in order of appearance.
 
-    A placeholder id counts as none; a name without an id takes the id it has elsewhere in the document."""
-    names = people.select(F.col("person_id").alias("id"), display_names(F.col("name"))[0].alias("canonical"))
-    rows = df.withColumn("id", F.nullif("id", F.lit(placeholder))).join(names, "id", "left").withColumn("name", F.coalesce("canonical", "name"))
-    rows = rows.withColumn("id", F.coalesce("id", F.max("id").over(Window.partitionBy("doc_id", "name"))))
-    once = rows.groupBy("doc_id", F.coalesce("id", "name").alias("who")).agg(F.min(F.struct("pre", "id", "name")).alias("x"))
-    return once.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("doc_id", F.transform("x", lambda e: e["id"]).alias("ids"), F.transform("x", lambda e: e["name"]).alias("names"))
+    Ids may have the prefix ``part:``; rows with the placeholder id are left out. A known
+    id gives the name, an unknown one counts as none, so rows of one name are one person,
+    whose id is the first that any of them has."""
+    known = people.select(F.col("person_id").alias("id"), display_names(F.col("name"))[0].alias("canonical"))
+    rows = df.withColumn("id", F.regexp_replace(F.coalesce("id", F.lit("")), "^part:", "")).where(F.col("id") != placeholder if placeholder else F.lit(True))
+    rows = rows.join(known, "id", "left").select("doc_id", "pre", F.when(F.col("canonical").isNotNull(), F.col("id")).alias("id"), F.coalesce("canonical", squeeze(F.col("name"))).alias("name")).where("name <> ''")
+    once = rows.groupBy("doc_id", "name").agg(F.min("pre").alias("pre"), F.min(F.when(F.col("id").isNotNull(), F.struct("pre", "id")))["id"].alias("id"))
+    return once.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pre", "id", "name"))).alias("x")).select("doc_id", F.transform("x", lambda e: e["id"]).alias("ids"), F.transform("x", lambda e: e["name"]).alias("names"))
 
 
 def min_severity(df: DataFrame, level: int) -> DataFrame:
@@ -142,24 +148,32 @@ def language_clause(df: DataFrame, langs: DataFrame, codes: DataFrame, text: str
 
 
 def match_offsets(df: DataFrame, column: str, needle: str) -> DataFrame:
-    """One row for each occurrence, left to right without overlaps: adds ``start`` from 0 and ``length``."""
-    parts = F.split(F.col(column), F.lit("\\Q" + needle + "\\E"), -1)
-    ends = F.transform(parts, lambda p: F.length(p))
-    starts = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: F.aggregate(F.slice(ends, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + i * len(needle))
-    return df.withColumn("start", F.explode(starts)).withColumn("length", F.lit(len(needle)))
+    """One row for each occurrence, left to right without overlaps: adds ``start`` from 0 and ``length``.
+
+    The pieces between occurrences are exploded and a window sums their lengths."""
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    parts = keyed.select("*", F.posexplode(F.split(F.col(column), F.lit("\\Q" + needle + "\\E"), -1)).alias("_at", "_part"))
+    before = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("start", (F.sum(F.length("_part")).over(before) + F.col("_at") * len(needle)).cast("int")).withColumn("_last", F.lead("_at").over(Window.partitionBy("_row").orderBy("_at")).isNull())
+    return placed.where("NOT _last").drop("_row", "_at", "_part", "_last").withColumn("length", F.lit(len(needle)))
 
 
 def to_display_offsets(df: DataFrame, column: str, start: str = "start", length: str = "length") -> DataFrame:
     """Spans of folded text as spans of the text itself: adds ``display_start`` and ``display_length``.
 
     A span that touches a part of what a character folds to takes the whole
-    character; spans that would begin inside the one before are dropped."""
-    widths = F.transform(F.split(F.col(column), ""), lambda ch: F.when(ch.isin("ß", "œ", "æ", "Œ", "Æ", "ẞ"), 2).otherwise(F.length(ch)))
-    out = df.withColumn("_ends", F.transform(F.sequence(F.lit(1), F.size(widths)), lambda i: F.aggregate(F.slice(widths, F.lit(1), i), F.lit(0), lambda a, b: a + b)))
-    first = F.size(F.filter("_ends", lambda e: e <= F.col(start)))
-    last = F.size(F.filter("_ends", lambda e: e < F.col(start) + F.col(length)))
-    out = out.withColumn("display_start", first).withColumn("display_length", last - first + 1).drop("_ends")
-    before = F.max(F.col("display_start") + F.col("display_length")).over(Window.partitionBy("doc_id").orderBy(start).rowsBetween(Window.unboundedPreceding, -1))
+    character; spans that would begin inside the one before are dropped. Only
+    characters that fold to two shift what follows: their second halves are counted
+    between one span and the next, and a window sums them."""
+    half = "\u0002"
+    marked = F.regexp_replace(F.col(column), "[ßœæŒÆẞ]", f"\u0001{half}")
+    halves = lambda c: F.length(c) - F.length(F.replace(c, F.lit(half), F.lit("")))
+    order = Window.partitionBy("doc_id").orderBy(start)
+    out = df.withColumn("_m", marked).withColumn("_p", F.coalesce(F.lag(start).over(order), F.lit(-1)))
+    out = out.withColumn("_n", F.sum(halves(F.substring(F.col("_m"), F.col("_p") + 2, F.col(start) - F.col("_p")))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = halves(F.substring(F.col("_m"), F.col(start) + 2, F.col(length) - 1))
+    out = out.withColumn("display_start", (F.col(start) - F.col("_n")).cast("int")).withColumn("display_length", (F.col(length) - inside).cast("int")).drop("_m", "_n", "_p")
+    before = F.max(F.col("display_start") + F.col("display_length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return out.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("display_start") >= F.col("_b"))).drop("_b")
 
 

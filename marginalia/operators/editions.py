@@ -1,32 +1,44 @@
 """Editions: languages, the three views of a text, blocks, lines, lists and notes.
 
 Views come from a rule table (tag, physical, logical, full): ``show`` keeps an
-element's text, ``drop`` removes its subtree, ``open|close`` puts marks around it.
+element's text, ``drop`` removes its subtree, ``open|close`` puts marks around it,
+``gap``, ``space``, ``symbol`` and ``fraction`` write a text in its place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import squeeze
-from marginalia.operators.axes import attr, elements, nearest_ancestor, text_of
+from marginalia.functions.bibliography import ITEM_TYPES
+from marginalia.functions.text import clean_passage, fraction, gap_text, is_meter, meter_pattern, squeeze, to_boolean
+from marginalia.operators.axes import around, attr, axis, elements, nearest_ancestor, text_of
+from marginalia.operators.catalog import display_names, resolve_code, resolve_reference
+from marginalia.operators.similarity import in_sequence
 from marginalia.operators.windows import break_from_previous, page_line_cell
 
-# Elements whose language matters, those that start out in the source language, and block elements.
-SENSITIVE = ("TEI", "edition", "div", "lg", "l", "p", "ab", "foreign", "lem", "rdg", "note", "head", "title")
-SOURCE_TAGS = ("edition", "foreign", "lem", "rdg")
+# Elements whose language matters, those that are in some source language, and block elements.
+SENSITIVE = ("div", "note", "p", "ab", "lg", "q", "head", "quote", "label", "foreign", "seg", "lem", "rdg")
+SOURCE_TAGS = ("foreign", "lem", "rdg")
 BLOCKS = ("p", "ab", "lg", "l", "list", "item", "head", "div")
 MILESTONES = ("pb", "lb", "milestone", "fw")
-# How each view shows a tag. ``a|b`` stands for marks around the text.
+# Language and script of a text, and those that stand for any source language or script.
+DEFAULT_LANGUAGE, DEFAULT_SCRIPT, SOURCE_OTHER = "eng", "latin", "source_other"
+# How each view shows a tag, or one inside a choice. ``a|b`` stands for marks around the text.
 RULES = [
-    ("sic", "show", "drop", "¿|?"), ("corr", "drop", "show", "⟨|⟩"), ("orig", "show", "drop", "¡|!"), ("reg", "drop", "show", "⟨|⟩"),
+    ("sic", "¿|?", "¿|?", "¿|?"), ("corr", "⟨|⟩", "⟨|⟩", "⟨|⟩"), ("orig", "¡|!", "¡|!", "¡|!"), ("reg", "⟨|⟩", "⟨|⟩", "⟨|⟩"),
+    ("choice/sic", "¿|?", "drop", "¿|?"), ("choice/corr", "drop", "⟨|⟩", "⟨|⟩"), ("choice/orig", "¡|!", "drop", "¡|!"), ("choice/reg", "drop", "⟨|⟩", "⟨|⟩"),
     ("unclear", "(|)", "(|)", "(|)"), ("supplied", "[|]", "[|]", "[|]"), ("add", "⟨⟨|⟩⟩", "⟨⟨|⟩⟩", "⟨⟨|⟩⟩"), ("del", "⟦|⟧", "⟦|⟧", "⟦|⟧"),
     ("surplus", "{|}", "{|}", "{|}"), ("ex", "(|)", "(|)", "(|)"), ("q", "“|”", "“|”", "“|”"), ("quote", "“|”", "“|”", "“|”"),
-    ("note", "drop", "drop", "drop"), ("app", "drop", "drop", "drop"), ("listApp", "drop", "drop", "drop"), ("head", "show", "show", "show"),
+    ("gap", "gap", "gap", "gap"), ("space", "space", "space", "space"), ("g", "symbol", "symbol", "symbol"), ("num", "show", "show", "show"),
+    ("seg", "show", "show", "show"), ("subst", "show", "show", "show"), ("abbr", "show", "show", "show"), ("am", "show", "show", "show"), ("foreign", "show", "show", "show"), ("cit", "show", "show", "show"),
+    ("note", "drop", "drop", "drop"), ("app", "drop", "drop", "drop"), ("listApp", "drop", "drop", "drop"), ("head", "show", "show", "show"), ("bibl", "drop", "drop", "drop"),
     ("teiHeader", "drop", "drop", "drop"), ("editionStmt", "drop", "drop", "drop"), ("facsimile", "drop", "drop", "drop"), ("handShift", "drop", "drop", "drop"),
     ("publicationStmt", "drop", "drop", "drop"), ("msIdentifier", "drop", "drop", "drop"), ("encodingDesc", "drop", "drop", "drop"), ("revisionDesc", "drop", "drop", "drop"), ("fw", "drop", "drop", "drop"),
 ]
+# What stands for a space of each type; types with a count show one sign for each character.
+SPACES = {"semantic": "_", "binding-hole": "◯", "descender": "⊔", "ascender": "⊓", "defect": "□", "feature": "_", "vacat": "_", "unclassified": "_"}
+COUNTED_SPACES = ("semantic", "vacat", "unclassified")
 #: What a search goes through: the editor's readings, without notes and headings.
 SEARCH_DROPS = ("note", "head", "app", "listApp", "teiHeader", "sic", "orig", "fw", "display", "milestone", "pb", "lb")
 PADA_DROPS = ("rdg", "note", "milestone", "pb", "lb", "gap", "del", "label", "sic", "orig")
@@ -36,33 +48,61 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "tag string, physical string, logical string, full string")
 
 
-def assign_language(nodes: DataFrame, langs: DataFrame) -> DataFrame:
-    """(doc_id, pre, lang, script) of language-sensitive elements.
-
-    The part of ``lang`` before a hyphen, by its alias (code, id) or as it is;
-    else that of the nearest element above; source elements fall back to
-    source_other, all others to English in Latin script. A ``class:`` token of
-    ``rendition`` gives the script."""
-    own = F.regexp_extract(attr(F.col("attrs"), "lang"), r"^[^-]*", 0)
-    script = F.regexp_extract(attr(F.col("attrs"), "rendition"), r"class:(\S+)", 1)
-    start = F.when(F.col("tag").isin(*SOURCE_TAGS), "source_other").otherwise("")
-    marked = nodes.withColumn("attrs", F.map_from_arrays(F.array(F.lit("lang"), F.lit("script")), F.array(F.when(own != "", own).otherwise(start), script)))
-    lang = nearest_ancestor(marked, "lang").join(langs.select(F.col("code").alias("value"), "id"), "value", "left").select("doc_id", "pre", F.coalesce("id", "value").alias("lang"))
-    scripts = nearest_ancestor(marked, "script").select("doc_id", "pre", F.col("value").alias("script"))
-    out = elements(nodes).where(F.col("tag").isin(*SENSITIVE)).select("doc_id", "pre", "tag").join(lang, ["doc_id", "pre"], "left").join(scripts, ["doc_id", "pre"], "left")
-    return out.select("doc_id", "pre", "tag", F.coalesce("lang", F.lit("eng")).alias("lang"), F.coalesce("script", F.when(F.col("lang").isNull(), "latin")).alias("script"))
+def assign_language(nodes: DataFrame, langs: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pre, tag, lang, script, source) of language-sensitive elements.
+
+    ``langs`` and ``scripts`` are (code, id, source): what stands before the hyphen of
+    ``lang``, or the last ``class:`` word of ``rendition``, is looked up as a code or
+    as code_other, and counts for nothing if it is unknown. foreign, lem, rdg and
+    edition divisions are in a source language: their own if it is one, else any; the
+    same holds for their scripts. All others have their own, else what is above them;
+    one that has a language but no script takes the default script when it turns from a
+    source language to a study one, and any source script when it turns back."""
+    spark = nodes.sparkSession
+    scripts = scripts if scripts is not None else spark.createDataFrame([], "code string, id string, source boolean")
+    source_of = lambda df: df.select("id", F.coalesce("source", F.lit(False)).alias("source")).groupBy("id").agg(F.max("source").alias("source"))
+
+    def found(df: DataFrame, code: Column, known: DataFrame, name: str) -> DataFrame:
+        coded = resolve_code(df.withColumn("code", code), known.select("code", "id")).withColumnRenamed("id", name)
+        return coded.join(source_of(known).withColumnsRenamed({"id": name, "source": f"{name}_source"}), name, "left").drop("code")
+
+    own = elements(nodes).select("doc_id", "pre", "parent", "path", "tag", "attrs")
+    own = found(own, F.regexp_extract(attr(F.col("attrs"), "lang"), "^[^-]*", 0), langs, "lang")
+    last_class = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(attr(F.col("attrs"), "rendition"), F.lit(r"(?:^|\s)class:(\S+)"), 1)), -1)
+    own = found(own, F.nullif(last_class, F.lit("undetermined")), scripts, "script")
+    always = F.col("tag").isin(*SOURCE_TAGS) | ((F.col("tag") == "div") & (attr(F.col("attrs"), "type") == "edition"))
+    either = F.col("lang").isNotNull() | F.col("script").isNotNull()
+    kept = lambda c: F.when(always, F.when(F.coalesce(F.col(f"{c}_source"), F.lit(False)), F.col(c)).otherwise(F.lit(SOURCE_OTHER))).when(F.col("tag").isin(*SENSITIVE), F.col(c))
+    own = own.withColumns({"always": always, "lang": kept("lang"), "script": kept("script"), "source": F.when(always, True).when(F.col("tag").isin(*SENSITIVE) & either & F.col("lang").isNotNull(), F.coalesce("lang_source", F.lit(False)))})
+    own = own.select("doc_id", "pre", "parent", "path", "tag", "always", "lang", "script", "source")
+    # what holds at an element is what the deepest element on its path that says so says
+    says = own.where("lang IS NOT NULL").select("doc_id", F.col("pre").alias("up"), F.struct("lang", "source").alias("said"))
+    near = around(own.select("doc_id", "pre", "path"), "up", True).join(says, ["doc_id", "up"]).groupBy("doc_id", "pre").agg(F.max_by("said", "up").alias("said"))
+    placed = own.drop("source").withColumnRenamed("lang", "own_lang").join(near, ["doc_id", "pre"], "left")
+    placed = placed.select("doc_id", "pre", "parent", "path", "tag", "always", "own_lang", "script", F.coalesce("said.lang", F.lit(DEFAULT_LANGUAGE)).alias("lang"), F.coalesce("said.source", F.lit(False)).alias("source"))
+    above = placed.select("doc_id", F.col("pre").alias("parent"), F.col("source").alias("source_above"))
+    placed = placed.join(above, ["doc_id", "parent"], "left").withColumn("source_above", F.coalesce("source_above", F.lit(False)))
+    turned = F.when(F.col("own_lang").isNotNull() & F.col("source_above") & ~F.col("source"), DEFAULT_SCRIPT).when(F.col("own_lang").isNotNull() & ~F.col("source_above") & F.col("source"), SOURCE_OTHER)
+    placed = placed.withColumn("set", F.coalesce("script", turned))
+    sets = placed.where(F.col("set").isNotNull()).select("doc_id", F.col("pre").alias("up"), "set")
+    near = around(placed.select("doc_id", "pre", "path"), "up", True).join(sets, ["doc_id", "up"]).groupBy("doc_id", "pre").agg(F.max_by("set", "up").alias("near"))
+    out = placed.where(F.col("tag").isin(*SENSITIVE)).join(near, ["doc_id", "pre"], "left")
+    return out.select("doc_id", "pre", "tag", "lang", F.coalesce("near", F.lit(DEFAULT_SCRIPT)).alias("script"), "source")
 
 
 def bubble_up(nodes: DataFrame, langs: DataFrame) -> DataFrame:
-    """(doc_id, pre, lang): an element whose texts below agree on a language has that language.
+    """(doc_id, pre, lang): an element whose texts below, headings aside, agree on a language has that language.
 
     ``langs`` is (doc_id, pre, lang) of elements; a text has its nearest one's."""
-    owner = langs.join(nodes.select("doc_id", "pre", "post", "depth"), ["doc_id", "pre"]).select("doc_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), "lang")
-    text = nodes.where("tag = '#text'").where(F.col("text").rlike(r"\S")).select("doc_id", F.col("pre").alias("at"), F.col("post").alias("end"))
-    spoken = text.join(owner, "doc_id").where((F.col("_pre") < F.col("at")) & (F.col("_post") > F.col("end"))).groupBy("doc_id", "at", "end").agg(F.max_by("lang", "_depth").alias("said"))
-    under = owner.join(spoken, "doc_id").where((F.col("_pre") < F.col("at")) & (F.col("_post") > F.col("end"))).groupBy("doc_id", "_pre").agg(F.min("said").alias("a"), F.max("said").alias("b"), F.first("lang").alias("lang"))
-    agreed = under.select("doc_id", F.col("_pre").alias("pre"), F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("lang")).alias("lang2"))
-    return langs.join(agreed, ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("lang2", "lang").alias("lang"))
+    heads = nodes.where("tag = 'head'").select("doc_id", F.col("pre").alias("up"), F.lit(True).alias("head"))
+    owner = langs.select("doc_id", F.col("pre").alias("up"), "lang")
+    text = nodes.where("tag = '#text'").where(F.col("text").rlike(r"\S")).select("doc_id", "pre", "path")
+    over = around(text).join(owner, ["doc_id", "up"], "left").join(heads, ["doc_id", "up"], "left")
+    said = over.groupBy("doc_id", "pre").agg(F.max_by("lang", F.when(F.col("lang").isNotNull(), F.col("up"))).alias("said"), F.max(F.when(F.col("head"), F.col("up"))).alias("head"))
+    # a heading counts for itself and what is in it, not for what is around it
+    votes = over.select("doc_id", "pre", "up").join(said, ["doc_id", "pre"]).where(F.col("head").isNull() | (F.col("up") >= F.col("head")))
+    under = votes.groupBy("doc_id", F.col("up").alias("pre")).agg(F.min("said").alias("a"), F.max("said").alias("b"))
+    return langs.join(under, ["doc_id", "pre"], "left").select("doc_id", "pre", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("lang")).alias("lang"))
 
 
 def finish_language(nodes: DataFrame, langs: DataFrame) -> DataFrame:
@@ -73,37 +113,58 @@ def finish_language(nodes: DataFrame, langs: DataFrame) -> DataFrame:
 
 
 def without_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes that are neither one of the roots (doc_id, pre, post) nor below one."""
-    r = roots.select(F.col("doc_id").alias("_doc"), F.col("pre").alias("_pre"), F.col("post").alias("_post"))
-    return nodes.join(r, (F.col("doc_id") == F.col("_doc")) & (F.col("_pre") <= F.col("pre")) & (F.col("_post") >= F.col("post")), "left_anti")
+    """Nodes that are neither one of the roots (doc_id, pre) nor below one."""
+    gone = around(nodes.select("doc_id", "pre", "path"), "up", True).join(roots.select("doc_id", F.col("pre").alias("up")), ["doc_id", "up"], "left_semi").select("doc_id", "pre").distinct()
+    return nodes.join(gone, ["doc_id", "pre"], "left_anti").select(*nodes.columns)
 
 
 def block_of(nodes: DataFrame) -> DataFrame:
     """(doc_id, at, block, kind): the innermost block element around each text; loose text is in block 0."""
-    blocks = nodes.where(F.col("tag").isin(*BLOCKS)).select("doc_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), F.col("tag").alias("_tag"))
-    text = nodes.where("tag = '#text'").select("doc_id", F.col("pre").alias("at"), F.col("post").alias("end"))
-    around = text.join(blocks, (text["doc_id"] == blocks["doc_id"]) & (F.col("_pre") < F.col("at")) & (F.col("_post") > F.col("end")), "left").drop(blocks["doc_id"])
-    return around.groupBy("doc_id", "at").agg(F.coalesce(F.max_by("_pre", "_depth"), F.lit(0)).alias("block"), F.coalesce(F.max_by("_tag", "_depth"), F.lit("p")).alias("kind"))
-
-
-def edition_views(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, view, block, kind, text): the physical, logical and full text of each block."""
-    spec = nodes.join(F.broadcast(rules), "tag", "left")
-    blocks = block_of(nodes)
+    blocks = nodes.where(F.col("tag").isin(*BLOCKS)).select("doc_id", F.col("pre").alias("up"), F.col("tag").alias("_tag"))
+    text = nodes.where("tag = '#text'").select("doc_id", F.col("pre").alias("at"), F.explode_outer("path").alias("up"))
+    found = text.join(blocks, ["doc_id", "up"], "left").withColumn("up", F.when(F.col("_tag").isNotNull(), F.col("up")))
+    return found.groupBy("doc_id", "at").agg(F.coalesce(F.max("up"), F.lit(0)).alias("block"), F.coalesce(F.max_by("_tag", "up"), F.lit("p")).alias("kind"))
+
+
+def written_in(view: str, symbols: DataFrame | None) -> Column:
+    """The text that stands for a gap, a space or a symbol in a view."""
+    a = lambda name: attr(F.col("attrs"), name)
+    kind = F.when(a("type").isin(*SPACES), a("type")).otherwise("semantic")
+    signs = F.create_map(*[F.lit(x) for pair in SPACES.items() for x in pair])
+    n = F.when(kind.isin(*COUNTED_SPACES) & a("quantity").rlike("^[0-9]+$"), F.greatest(a("quantity").cast("int"), F.lit(1))).otherwise(1)
+    symbol = F.coalesce(F.nullif(F.col("_shown"), F.lit("")), F.concat(F.lit("<"), a("type"), F.lit(">"))) if symbols is not None else F.concat(F.lit("<"), a("type"), F.lit(">"))
+    return F.when(F.col("tag") == "gap", gap_text(a("reason"), a("quantity"), a("unit"), a("precision"), view == "physical")).when(F.col("tag") == "space", F.repeat(signs[kind], n)).when((F.col("tag") == "g") & (a("type") == "numeral"), fraction(F.coalesce("_inner", F.lit("")))).otherwise(symbol)
+
+
+def edition_views(nodes: DataFrame, rules: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(doc_id, view, block, kind, text): the physical, logical and full text of each block.
+
+    ``symbols`` is (name, text) of what ``g`` elements stand for."""
+    choices = nodes.where("tag = 'choice'").select("doc_id", F.col("pre").alias("parent"), F.lit("choice/").alias("_in"))
+    keyed = nodes.join(choices, ["doc_id", "parent"], "left").withColumn("_key", F.when(F.col("tag").isin("sic", "corr", "orig", "reg"), F.concat(F.coalesce("_in", F.lit("")), "tag")).otherwise(F.col("tag")))
+    spec = keyed.join(rules.withColumnRenamed("tag", "_key"), "_key", "left").drop("_key", "_in")
+    blocks = block_of(nodes.withColumn("tag", F.when(F.col("tag").isin("gap", "space", "g"), "#text").otherwise(F.col("tag"))))
+    inner = text_of(nodes, "g").withColumnRenamed("content", "_inner")
     out = None
     for view in ("physical", "logical", "full"):
         rule = F.coalesce(F.col(view), F.lit("show"))
-        kept = without_subtrees(spec, spec.where(rule == "drop").select("doc_id", "pre", "post"))
-        marked = kept.where(rule.contains("|"))
-        text = kept.where("tag = '#text'").select("doc_id", F.col("pre").alias("at"), F.col("pre").cast("double").alias("place"), "text")
+        kept = without_subtrees(spec, spec.where(rule == "drop").select("doc_id", "pre"))
+        instead = rule.isin("gap", "space", "symbol")
+        written = kept.where(instead).join(inner, ["doc_id", "pre"], "left")
+        if symbols is not None:
+            written = written.join(symbols.select(F.col("name").alias("_name"), F.col("text").alias("_shown")), attr(F.col("attrs"), "type") == F.col("_name"), "left")
+        written = written.select("doc_id", F.col("pre").alias("at"), F.col("pre").cast("double").alias("place"), written_in(view, symbols).alias("text"))
+        # texts inside what is written otherwise do not stand by themselves
+        loose = without_subtrees(kept, kept.where(instead).select("doc_id", "pre"))
+        text = loose.where("tag = '#text'").select("doc_id", F.col("pre").alias("at"), F.col("pre").cast("double").alias("place"), "text")
+        marked = loose.where(rule.contains("|")).select("doc_id", F.col("pre").alias("up"), F.split(rule, r"\|").alias("m"))
         # marks stand just before the first and after the last text of their element
-        inner = marked.select("doc_id", "pre", "post", F.split(rule, r"\|").alias("m")).join(kept.where("tag = '#text'").select("doc_id", F.col("pre").alias("_p"), F.col("post").alias("_q")), "doc_id").where((F.col("_p") > F.col("pre")) & (F.col("_q") < F.col("post")))
-        edges = inner.groupBy("doc_id", "pre").agg(F.min("_p").alias("a"), F.max("_p").alias("b"), F.first("m").alias("m"))
+        solid = text.join(loose.where("tag = '#text'").select("doc_id", F.col("pre").alias("at"), "path"), ["doc_id", "at"])
+        edges = around(solid).join(marked, ["doc_id", "up"]).groupBy("doc_id", "up").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.first("m").alias("m"))
         # outer marks open before inner ones and close after them
-        opens = edges.select("doc_id", F.col("a").alias("at"), (F.col("a") - 1 / (F.col("pre") + 1)).alias("place"), F.col("m")[0].alias("text"))
-        shuts = edges.select("doc_id", F.col("b").alias("at"), (F.col("b") + 1 / (F.col("pre") + 2)).alias("place"), F.col("m")[1].alias("text"))
-        shuts = shuts.withColumn("place", F.col("at") + 1 - (F.col("place") - F.col("at")))
-        rows = text.unionByName(opens).unionByName(shuts).join(blocks, ["doc_id", "at"])
+        opens = edges.select("doc_id", F.col("a").alias("at"), (F.col("a") - 1 / (F.col("up") + 1)).alias("place"), F.col("m")[0].alias("text"))
+        shuts = edges.select("doc_id", F.col("b").alias("at"), (F.col("b") + 1 - 1 / (F.col("up") + 2)).alias("place"), F.col("m")[1].alias("text"))
+        rows = text.unionByName(written).unionByName(opens).unionByName(shuts).join(blocks, ["doc_id", "at"])
         joined = rows.groupBy("doc_id", "block", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "").alias("text"))
         one = normalize_blocks(joined).select("doc_id", F.lit(view).alias("view"), "block", "kind", "text")
         out = one if out is None else out.unionByName(one)
@@ -139,8 +200,9 @@ def physical_lines(nodes: DataFrame) -> DataFrame:
 
 def verse_lines(nodes: DataFrame) -> DataFrame:
     """(doc_id, verse, pre, n, text, break): verse lines; one after an enjambed line continues its word, which ends in a hyphen."""
-    lines = nodes.where("tag = 'l'").select("doc_id", F.col("parent").alias("verse"), "pre", attr(F.col("attrs"), "n").alias("n"), (attr(F.col("attrs"), "enjamb") == "yes").alias("enjamb"))
-    out = break_from_previous(lines, "verse", "pre").join(text_of(nodes, "l"), ["doc_id", "pre"], "left")
+    runs_on = F.coalesce(to_boolean(attr(F.col("attrs"), "enjamb"), False), F.lit(False))
+    lines = nodes.where("tag = 'l'").select("doc_id", F.col("parent").alias("verse"), "pre", attr(F.col("attrs"), "n").alias("n"), runs_on.alias("enjamb"))
+    out = break_from_previous(lines, ("doc_id", "verse"), "pre").join(text_of(nodes, "l"), ["doc_id", "pre"], "left")
     text = squeeze(F.coalesce("content", F.lit("")))
     return out.select("doc_id", "verse", "pre", "n", F.when(F.col("enjamb"), F.concat(text, F.lit("-"))).otherwise(text).alias("text"), "break")
 
@@ -154,10 +216,7 @@ def anchor_milestones(nodes: DataFrame) -> DataFrame:
 
 def padas(nodes: DataFrame) -> DataFrame:
     """(doc_id, verse, pre, label, text): lines of verses whose labels run a, b, c …; editors' readings, no notes, a hyphen before enjambed ones."""
-    from marginalia.functions.text import clean_passage
-    from marginalia.operators.similarity import in_sequence
-
-    kept = without_subtrees(nodes, nodes.where(F.col("tag").isin(*PADA_DROPS)).select("doc_id", "pre", "post"))
+    kept = without_subtrees(nodes, nodes.where(F.col("tag").isin(*PADA_DROPS)).select("doc_id", "pre"))
     spaced = kept.withColumn("text", F.when(F.col("tag") == "space", " ").otherwise(F.col("text"))).withColumn("tag", F.when(F.col("tag") == "space", "#text").otherwise(F.col("tag")))
     lines = nodes.where("tag = 'l'").select("doc_id", F.col("parent").alias("verse"), "pre", F.coalesce(F.nullif(attr(F.col("attrs"), "n"), F.lit("")), F.lit("X")).alias("label"), attr(F.col("attrs"), "enjamb").alias("enjamb"))
     out = lines.join(text_of(spaced, "l"), ["doc_id", "pre"], "left").withColumn("_v", F.concat_ws("/", "doc_id", "verse"))
@@ -170,7 +229,7 @@ def padas(nodes: DataFrame) -> DataFrame:
 
 def searchable_text(nodes: DataFrame) -> DataFrame:
     """(doc_id, text): an edition's text for search: blocks end lines, list items begin with a space, notes and headings are left out."""
-    kept = without_subtrees(nodes, nodes.where(F.col("tag").isin(*SEARCH_DROPS)).select("doc_id", "pre", "post"))
+    kept = without_subtrees(nodes, nodes.where(F.col("tag").isin(*SEARCH_DROPS)).select("doc_id", "pre"))
     text = kept.where("tag = '#text'").select("doc_id", F.col("pre").alias("at"), "text").join(block_of(nodes), ["doc_id", "at"])
     blocks = text.groupBy("doc_id", "block", "kind").agg(squeeze(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")).alias("text"), F.min("at").alias("first")).where("text <> ''")
     shown = F.when(F.col("kind") == "item", F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
@@ -179,10 +238,6 @@ def searchable_text(nodes: DataFrame) -> DataFrame:
 
 def document_bibliography(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_id, pre, target, siglum, listed, entry_key): references in order of appearance, the first one of each target; listed ones stand in a listBibl."""
-    from marginalia.functions.bibliography import ITEM_TYPES
-    from marginalia.operators.axes import axis
-    from marginalia.operators.catalog import resolve_reference
-
     bibl = nodes.where("tag = 'bibl'")
     target = nodes.where("tag = 'ptr'").select("doc_id", F.col("parent").alias("pre"), F.regexp_replace(attr(F.col("attrs"), "target"), "^bib:", "").alias("target"))
     listed = axis(nodes.where("tag = 'listBibl'"), bibl, "ancestor").select("doc_id", F.col("context").alias("pre"), F.lit(True).alias("listed")).distinct()
@@ -209,15 +264,13 @@ def abbreviation_forms(nodes: DataFrame) -> DataFrame:
     roots = nodes.where(F.col("tag").isin("expan", "abbr"))
     forms = []
     for drop in ("ex", "am"):
-        kept = without_subtrees(nodes, nodes.where(F.col("tag") == drop).select("doc_id", "pre", "post"))
+        kept = without_subtrees(nodes, nodes.where(F.col("tag") == drop).select("doc_id", "pre"))
         forms.append(text_of(kept.where("tag = '#text'").unionByName(roots.where(F.col("tag") != drop))).select("doc_id", "pre", squeeze(F.col("content")).alias(f"_{drop}")))
     return roots.select("doc_id", "pre").join(forms[0], ["doc_id", "pre"], "left").join(forms[1], ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("_ex", F.lit("")).alias("contracted"), F.coalesce("_am", F.lit("")).alias("expanded"))
 
 
 def meter_names(nodes: DataFrame, prosody: DataFrame) -> DataFrame:
     """(doc_id, pre, meter, heading): a verse's metre as printed pattern, or its name with the pattern known for it (name, pattern)."""
-    from marginalia.functions.text import is_meter, meter_pattern
-
     verses = nodes.where("tag = 'lg'").select("doc_id", "pre", attr(F.col("attrs"), "met").alias("meter")).where("meter <> ''")
     known = prosody.groupBy(F.col("name").alias("meter")).agg(F.min("pattern").alias("pattern"))
     out = verses.join(known, "meter", "left")
@@ -227,8 +280,6 @@ def meter_names(nodes: DataFrame, prosody: DataFrame) -> DataFrame:
 
 def division_headings(nodes: DataFrame, langs: DataFrame, people: DataFrame) -> DataFrame:
     """(doc_id, pre, type, heading): a division's own heading, or one by its type; a translation says into what and by whom."""
-    from marginalia.operators.catalog import display_names
-
     divs = nodes.where("tag = 'div'").select("doc_id", "pre", attr(F.col("attrs"), "type").alias("type"), attr(F.col("attrs"), "lang").alias("code"), F.split(attr(F.col("attrs"), "resp"), r"\s+").alias("resp"))
     head = nodes.where("tag = 'head'").select("doc_id", F.col("pre").alias("_pre"), F.col("parent").alias("pre"))
     own = text_of(nodes, "head").withColumnRenamed("pre", "_pre").join(head, ["doc_id", "_pre"]).groupBy("doc_id", "pre").agg(F.min_by("content", "_pre").alias("own"))
@@ -239,7 +290,7 @@ def division_headings(nodes: DataFrame, langs: DataFrame, people: DataFrame) ->
 
 
 def outline(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, level): divisions with how many divisions are around them."""
-    divs = nodes.where("tag = 'div'").select("doc_id", "pre", "post")
-    outer = divs.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_pre"), F.col("post").alias("_post"))
-    return divs.join(outer, (F.col("doc_id") == F.col("_d")) & (F.col("_pre") < F.col("pre")) & (F.col("_post") > F.col("post")), "left").groupBy("doc_id", "pre").agg((F.count("_pre") + 1).alias("level"))
+    """(doc_id, pre, level): divisions with how many divisions are around them, and 1."""
+    divs = nodes.where("tag = 'div'").select("doc_id", "pre", "path")
+    outer = divs.select("doc_id", F.col("pre").alias("up"), F.lit(1).alias("_one"))
+    return divs.withColumn("up", F.explode_outer("path")).join(outer, ["doc_id", "up"], "left").groupBy("doc_id", "pre").agg((F.count("_one") + 1).alias("level"))

@@ -7,10 +7,13 @@ is the tag it looks at, ``a`` and ``b`` depend on the kind. Every check returns
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import character_names, clusters
+from marginalia.functions.text import character_names, clusters, nfc
 from marginalia.operators.axes import attr, elements, text_of
 
 OK, WARNING, ERROR, FATAL = 0, 1, 2, 3
@@ -35,25 +38,38 @@ KINDS = {
     "count": "attribute a must hold at most b words",
     "values": "attribute a must be one of the words of b",
 }
-# Scripts whose letters are expected.
-SCRIPTS = ("Latin", "Tamil", "Devanagari", "Grantha", "Khmer", "Javanese", "Balinese")
-#: What is expected, inside brackets of a regular expression: these scripts, what all scripts share, and marks.
-EXPECTED = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + r"\p{IsCommon}\p{IsInherited}"
+# Scripts whose clusters may have several characters, by the first word of their characters' names.
+SCRIPTS = ("TAMIL", "TELUGU", "KHMER", "DEVANAGARI", "GRANTHA", "KANNADA", "BALINESE")
+# Clusters of letters and marks that are expected too, and the one Cyrillic letter that is.
+COMBINATIONS = ("r̥", "L̥", "R̥", "m̃", "ə̄", "l̥", "m̐", "r̥̄", "L̥̄", "R̥̄", "l̥̄", "n̆")
+CYRILLIC_SCHWA = "ә"
+
+
+@cache
+def characters_named(word: str) -> str:
+    """The characters whose names begin with a word, as ranges inside brackets of a regular expression."""
+    codes = [c for c in range(0x80, 0x20000) if unicodedata.name(chr(c), "").startswith(word + " ")]
+    starts = [c for c, before in zip(codes, [-1, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -1], strict=True) if after != c + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
 
 
 def rule_frame(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rules, RULE)
 
 
-def pick_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, rule_id): the rules that apply to a document by its name's prefix; a null prefix applies to all."""
-    return docs.join(F.broadcast(rules.select("rule_id", "prefix")), F.col("prefix").isNull() | F.col("name").startswith(F.col("prefix"))).select("doc_id", "rule_id")
+def applying(violations: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """The violations of rules that apply to their documents by the names' prefixes; a null prefix applies to all."""
+    named = violations.join(rules.select("rule_id", "prefix"), "rule_id")
+    free, bound = named.where("prefix IS NULL"), named.where("prefix IS NOT NULL")
+    kept = bound.join(docs.select("doc_id", "name"), "doc_id").where(F.col("name").startswith(F.col("prefix"))).drop("name")
+    return free.unionByName(kept).select(*violations.columns)
 
 
 def _at(nodes: DataFrame, rules: DataFrame, *kinds: str) -> DataFrame:
     """Elements beside the rules of some kinds that look at them."""
     mine = rules.where(F.col("kind").isin(*kinds))
-    return elements(nodes).join(F.broadcast(mine), F.col("tag") == F.col("context"))
+    return elements(nodes).join(mine, F.col("tag") == F.col("context"))
 
 
 def _report(bad: DataFrame) -> DataFrame:
@@ -76,10 +92,9 @@ def check_cooccurrence(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 def check_context(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     at = _at(nodes, rules, "parent", "not-parent", "ancestor", "not-ancestor")
-    up = elements(nodes).select("doc_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("tag").alias("_tag"))
-    above = F.col("kind").isin("ancestor", "not-ancestor")
-    near = F.when(above, (F.col("_pre") < F.col("pre")) & (F.col("_post") > F.col("post"))).otherwise(F.col("_pre") == F.col("parent"))
-    found = at.join(up, "doc_id").where(near & F.array_contains(_words("a"), F.col("_tag"))).select("doc_id", "rule_id", "pre").distinct().withColumn("_hit", F.lit(True))
+    tags = elements(nodes).select("doc_id", F.col("pre").alias("up"), F.col("tag").alias("_tag"))
+    near = F.when(F.col("kind").isin("ancestor", "not-ancestor"), F.col("path")).otherwise(F.slice("path", -1, 1))
+    found = at.where(F.size("path") > 0).withColumn("up", F.explode(near)).join(tags, ["doc_id", "up"]).where(F.array_contains(_words("a"), F.col("_tag"))).select("doc_id", "rule_id", "pre").distinct().withColumn("_hit", F.lit(True))
     both = at.join(found, ["doc_id", "rule_id", "pre"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
     return _report(both.where(F.col("_hit") == F.col("kind").startswith("not-")))
 
@@ -95,7 +110,7 @@ def check_children(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 def check_order(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "parent").orderBy("pre")
     placed = elements(nodes).withColumns({"_before": F.lag("tag").over(w), "_after": F.lead("tag").over(w)})
-    at = placed.join(F.broadcast(rules.where(F.col("kind").isin("last", "preceded"))), F.col("tag") == F.col("context"))
+    at = placed.join(rules.where(F.col("kind").isin("last", "preceded")), F.col("tag") == F.col("context"))
     return _report(at.where(F.when(F.col("kind") == "last", F.col("_after").isNotNull()).otherwise(~F.col("_before").eqNullSafe(F.col("a")))))
 
 
@@ -136,16 +151,19 @@ def check_text(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 CHECKS = (check_cooccurrence, check_context, check_children, check_order, check_unique, check_targets, check_parent_attribute, check_values, check_text)
 
 
-def grapheme_issues(df: DataFrame, column: str = "text", expected: str = EXPECTED) -> DataFrame:
-    """(doc_id, line, place, cluster, names): grapheme clusters that begin with an unexpected character or a stray mark, once a line.
+def grapheme_issues(df: DataFrame, column: str = "text") -> DataFrame:
+    """(doc_id, line, place, cluster, names): unexpected grapheme clusters of composed text, each time they occur.
 
-    Most lines hold nothing unexpected and are passed over."""
-    lines = df.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(column), F.lit("")), "\n")).alias("line", "_text"))
-    odd = lines.where(F.col("_text").rlike(rf"[^{expected}]|(?:^|\s)\p{{M}}"))
+    A single character is expected unless it is Cyrillic; several are if all are of one
+    script, or form a known combination. A line ends at each line feed or carriage
+    return. ASCII lines are passed over."""
+    lines = df.select("doc_id", F.posexplode(F.split(nfc(F.coalesce(F.col(column), F.lit(""))), "[\r\n]", -1)).alias("line", "_text"))
+    odd = lines.where(F.col("_text").rlike(r"[^\x00-\x7F]"))
     each = odd.select("doc_id", (F.col("line") + 1).alias("line"), F.posexplode(clusters(F.col("_text"))).alias("place", "cluster"))
-    bad = each.where(F.col("cluster").rlike(rf"^[^{expected}]|^\p{{M}}"))
-    once = bad.groupBy("doc_id", "line", "cluster").agg(F.min("place").alias("place"))
-    return once.select("doc_id", "line", "place", "cluster", character_names(F.col("cluster")).alias("names"))
+    single = (F.length("cluster") == 1) & (~F.col("cluster").rlike(f"[{characters_named('CYRILLIC')}]") | (F.col("cluster") == CYRILLIC_SCHWA))
+    several = F.col("cluster").rlike("^(?:" + "|".join(f"[{characters_named(s)}]+" for s in SCRIPTS) + ")$") | F.col("cluster").isin(*COMBINATIONS)
+    bad = each.where(~(single | ((F.length("cluster") > 1) & several)))
+    return bad.select("doc_id", "line", "place", "cluster", character_names(F.col("cluster")).alias("names"))
 
 
 def unicode_report(docs: DataFrame) -> DataFrame:
@@ -154,15 +172,24 @@ def unicode_report(docs: DataFrame) -> DataFrame:
     return issues.select("doc_id", F.lit("unicode").alias("rule_id"), F.lit(None).cast("int").alias("pre"), F.col("line").cast("int").alias("line"), F.col("place").alias("col"), F.lit(WARNING).alias("severity"), F.concat(F.lit("unexpected character: "), "names").alias("message"))
 
 
-def validate(docs: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """All violations: documents that do not parse have that one only; others those of the rules that apply, and of characters."""
+def validate(docs: DataFrame, nodes: DataFrame, rules: DataFrame, structural: DataFrame | None = None) -> DataFrame:
+    """All violations, stage by stage: a document that does not parse has that one only; one that breaks a
+    ``structural`` rule has none of the later stages' but those of its characters, which are looked at last in all that parse."""
     broken = nodes.where("tag = '#error'").select("doc_id", F.lit("parse").alias("rule_id"), "pre", "line", "col", F.lit(FATAL).alias("severity"), F.col("text").alias("message"))
+    early = applying(checked(nodes, structural), docs, structural) if structural is not None else None
+    late = applying(checked(nodes, rules), docs, rules)
+    if early is not None:
+        late = late.join(early.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(early)
+    sound = docs.join(broken.select("doc_id"), "doc_id", "left_anti")
+    return broken.unionByName(late).unionByName(unicode_report(sound))
+
+
+def checked(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """The violations of all rules, whatever documents they apply to."""
     found = CHECKS[0](nodes, rules)
     for check in CHECKS[1:]:
         found = found.unionByName(check(nodes, rules))
-    applied = found.join(pick_rules(docs, rules), ["doc_id", "rule_id"], "left_semi")
-    sound = docs.join(broken.select("doc_id"), "doc_id", "left_anti")
-    return broken.unionByName(applied).unionByName(unicode_report(sound))
+    return found
 
 
 def report(violations: DataFrame) -> DataFrame:

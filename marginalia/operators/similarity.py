@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +98,3 @@ def parallels_of(pairs: DataFrame, df: DataFrame, id_col: str, one: int) -> Data
     """(id2, coeff, contents) of one passage's parallels."""
     mine = mirror(pairs).where(F.col("id") == one)
     return mine.join(df.select(F.col(id_col).alias("id2"), "contents"), "id2").select("id2", "coeff", "contents")
-
-
-def prefix_length(n: int, t: float) -> int:
-    return n - math.ceil(n * t - _EPSILON) + 1

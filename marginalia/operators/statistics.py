@@ -101,16 +101,15 @@ def person_profile(people: DataFrame, docs: DataFrame, langs: DataFrame, repos:
 def closure(df: DataFrame, id_col: str, parent_col: str, deepest: int = 64) -> DataFrame:
     """(id, root, depth): every node below each of its ancestors and itself, from an adjacency list.
 
-    One join a level, until a level is empty; a cycle ends at ``deepest`` with an error."""
+    A recursive query, for hierarchies of vocabularies: a cycle, or a tree deeper than ``deepest``, ends with an error."""
     links = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"))
-    level = links.select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, deepest + 1):
-        level = level.join(links.where("up IS NOT NULL").select(F.col("id").alias("root"), "up"), "root").select("id", F.col("up").alias("root"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"deeper than {deepest}: a cycle?")
+    text = """
+    WITH RECURSIVE below(id, root, up, depth) MAX RECURSION LEVEL %d AS (
+      SELECT id, id AS root, up, 0 AS depth FROM {links}
+      UNION ALL
+      SELECT b.id, b.up AS root, l.up, b.depth + 1 FROM below b JOIN {links} l ON l.id = b.up)
+    SELECT id, root, depth FROM below""" % deepest
+    return df.sparkSession.sql(text, links=links)
 
 
 def children_of(closed: DataFrame, root: object) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +73,3 @@ def stamp(state: DataFrame, batch_id: int, now: F.Column | None = None) -> DataF
     at = (now if now is not None else F.unix_timestamp(F.current_timestamp())).cast("string")
     news = spark.range(1).select(F.explode(F.array(F.struct(F.lit("last_updated").alias("key"), at.alias("value")), F.struct(F.lit("last_batch").alias("key"), F.lit(str(batch_id)).alias("value")))).alias("x")).select("x.*")
     return upsert(state, news, "key")
-
-
-def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.drop(*names)

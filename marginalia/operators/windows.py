@@ -47,13 +47,7 @@ def run_all(df: DataFrame, part: str, order: str, run: str, flag: str) -> DataFr
     return out.withColumn(flag, F.col("_all") | (F.col(run) == first)).drop("_all")
 
 
-def break_from_previous(df: DataFrame, part: str, order: str, flag: str = "enjamb", name: str = "break") -> DataFrame:
-    """Whether a line begins a word: not if the line before runs on."""
-    w = Window.partitionBy(part).orderBy(order)
+def break_from_previous(df: DataFrame, part: str | Sequence[str], order: str, flag: str = "enjamb", name: str = "break") -> DataFrame:
+    """Whether a line begins a word: not if the line before, in the same group, runs on."""
+    w = Window.partitionBy(*([part] if isinstance(part, str) else part)).orderBy(order)
     return df.withColumn(name, ~F.coalesce(F.lag(flag).over(w), F.lit(False)))
-
-
-def fill_forward(df: DataFrame, part: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Nulls take the last value before them."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})

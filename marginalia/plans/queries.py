@@ -578,7 +578,3 @@ SELECT o_custkey AS key, o_orderkey AS latest FROM (SELECT *, row_number() OVER
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.col("o_orderkey").alias("latest"))
     return upserts.upsert_latest(rows.limit(0), rows, "key", "at").select("key", "latest")
-
-
-def places_in_order(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("id")))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from marginalia.functions.bibliography import RECORD
 from marginalia.functions.text import nfc, to_boolean
@@ -152,6 +152,3 @@ def survey_identifiers(df: DataFrame) -> DataFrame:
     filled = carry_header_state(df, ["doc_id"], ["pos"], ["volume", "years", "page"])
     before = F.lag("page").over(Window.partitionBy("doc_id", "volume").orderBy("pos"))
     return filled.withColumns({"identifier": F.concat_ws("/", "years", "volume", "n"), "in_order": F.coalesce(before <= F.col("page"), F.lit(True))})
-
-
-TSV_REPOSITORIES = StructType([StructField("name", StringType()), StructField("textual", StringType()), StructField("title", StringType())])

@@ -42,11 +42,11 @@ def test_nodes_and_axes(spark):
 def test_editions(spark):
     n = nodes(spark, TEI)
     views = {(r.view, r.kind): r.text for r in editions.edition_views(n, editions.rule_table(spark)).where("kind = 'p'").where(F.col("text").contains("ka")).collect()}
-    assert views["physical", "p"] == "kara bad [lost]" and views["logical", "p"] == "kara good [lost]"
-    codes = spark.createDataFrame([("san", "Sanskrit")], "code string, id string")
+    assert views["physical", "p"] == "kara ¿bad? [lost]" and views["logical", "p"] == "kara ⟨good⟩ [lost]"
+    codes = spark.createDataFrame([("san", "Sanskrit", True), ("eng", "eng", False)], "code string, id string, source boolean")
     langs = editions.assign_language(n, codes)
-    got = {(r.tag, r.lang) for r in langs.collect()}
-    assert ("div", "Sanskrit") in got and ("lg", "Sanskrit") in got and ("TEI", "eng") in got
+    got = {(r.tag, r.lang, r.script) for r in langs.collect()}
+    assert {("div", "Sanskrit", "source_other"), ("lg", "Sanskrit", "source_other"), ("div", "eng", "latin"), ("note", "Sanskrit", "source_other")} <= got and "TEI" not in {x[0] for x in got}
     assert editions.bubble_up(n, langs).count() == langs.count()
     assert {r.lang for r in editions.finish_language(n, langs).where("tag = 'lb'").collect()} == {"zxx"}
     verse = editions.verse_lines(n).orderBy("pre").collect()
@@ -77,6 +77,30 @@ def test_rules(spark):
     assert {r.rule_id for r in found.where("doc_id = '1'").collect()} == {"parse"}
     assert {r.doc_id: r.status for r in rules.statuses(docs, found).collect()} == {"0": 2, "1": 3}
     assert rules.unicode_report(docs).first().message == "unexpected character: CYRILLIC SMALL LETTER BE"
+    staged = rules.validate(docs, n, rules.rule_frame(spark, given_rules), rules.rule_frame(spark, [("first", "child", "r", "nothing", "1", "m", 3, None)]))
+    assert {r.rule_id for r in staged.where("doc_id = '0'").collect()} == {"first"}
+
+
+def test_graphemes(spark):
+    df = spark.createDataFrame([(1, "α ಕ್ r\u0325\nq\u0304 б\rә க்ष b\u0308\u0323")], "doc_id long, text string")
+    got = [(r.line, r.cluster) for r in rules.grapheme_issues(df).orderBy("line", "place").collect()]
+    assert got == [(2, "q\u0304"), (2, "б"), (3, "\u1e05\u0308")]
+
+
+def test_two_documents(spark):
+    """State never passes from one document to the next."""
+    n = nodes(spark, "<d><lg><l n='a' enjamb='yes'>x</l><l n='b' enjamb='true'>y</l></lg></d>", "<d><lg><l n='a'>z</l><l n='b'>w</l></lg></d>")
+    assert [(r.doc_id, r["break"]) for r in editions.verse_lines(n).orderBy("doc_id", "pre").collect()] == [("0", True), ("0", False), ("1", True), ("1", True)]
+    n = nodes(spark, "<TEI><div type='edition'><p>x<foreign lang='eng'>y</foreign></p></div><div lang='tam'><p lang='eng'>z</p><p rendition='class:grantha'>u</p></div></TEI>", "<TEI><div><q>v</q></div></TEI>")
+    langs = spark.createDataFrame([("tam", "tam", True), ("eng", "eng", False)], "code string, id string, source boolean")
+    scripts = spark.createDataFrame([("grantha", "grantha", True)], "code string, id string, source boolean")
+    got = [(r.doc_id, r.tag, r.lang, r.script) for r in editions.assign_language(n, langs, scripts).orderBy("doc_id", "pre").collect()]
+    other = "source_other"
+    assert got == [("0", "div", other, other), ("0", "p", other, other), ("0", "foreign", other, other), ("0", "div", "tam", other), ("0", "p", "eng", "latin"), ("0", "p", "tam", "grantha"), ("1", "div", "eng", "latin"), ("1", "q", "eng", "latin")]
+    n = nodes(spark, "<d><p>a<gap quantity='3' reason='lost'/>b<gap/><gap reason='ellipsis'/>c<gap quantity='2' unit='line' reason='illegible' precision='low'/></p></d>", "<d><p>x<space type='vacat' quantity='2'/>y<g type='numeral'>3/4</g><g type='danda'>.</g><choice><sic>s</sic><corr>c</corr></choice><corr>k</corr></p></d>")
+    views = {(r.doc_id, r.view): r.text for r in editions.edition_views(n, editions.rule_table(spark), spark.createDataFrame([("danda", "।")], "name string, text string")).collect()}
+    assert views["0", "full"] == "a[3+]b[…]…c[ca. 2 illegible lines]" and views["0", "physical"] == "a[***]b[…]…c[ca. 2 illegible lines]"
+    assert views["1", "full"] == "x__y¾।¿s?⟨c⟩⟨k⟩" and views["1", "logical"] == "x__y¾।⟨c⟩⟨k⟩" and views["1", "physical"] == "x__y¾।¿s?⟨k⟩"
 
 
 def test_search_offsets(spark):
@@ -92,8 +116,8 @@ def test_catalog_joins(spark):
     docs = spark.createDataFrame([("f1", 1), ("f2", 3)], "name string, status int")
     assert {r.display for r in catalog.plain_name(owners, people, git).collect()} == {"Ann Lee", "zz"}
     assert {r.name for r in catalog.by_owner(docs, owners, git, "!zz").collect()} == {"f1", "f2"} and catalog.by_owner(docs, owners, git, "p1").count() == 1
-    rows = spark.createDataFrame([("d", 1, "", "Ann Lee"), ("d", 2, "p1", "A. L."), ("d", 3, "", "Bo")], "doc_id string, pre int, id string, name string")
-    assert catalog.merge_contributors(rows, people, "").first().names == ["Ann Lee", "Bo"]
+    rows = spark.createDataFrame([("d", 1, "", "Ann Lee"), ("d", 2, "part:p1", "A. L."), ("d", 3, "", "Bo"), ("d", 4, "part:none", "John Doe"), ("d", 5, "part:zz", " Bo "), ("e", 1, "p2", "")], "doc_id string, pre int, id string, name string")
+    assert {(r.doc_id, tuple(r.ids), tuple(r.names)) for r in catalog.merge_contributors(rows, people, "none").collect()} == {("d", ("p1", None), ("Ann Lee", "Bo")), ("e", ("p2",), ("Solo",))}
     refs = spark.createDataFrame([("A",), ("B",), ("",)], "target string")
     entries = spark.createDataFrame([("k", "A", "book"), ("l", "B", "note")], "key string, shortTitle string, itemType string")
     assert {r.target: r.reason for r in catalog.resolve_reference(refs, entries, ["book"]).collect()} == {"A": None, "B": "unsupported type", "": "missing title"}

@@ -57,7 +57,7 @@ def test_bibliography(spark):
     assert out["k1"].shorthand == "XY" and out["k1"].publisher is None and out["k1"].sort_key == "XY k1"
     assert out["k1"].reference == "Lee and Ng 1990–1991" and out["k2"].reference == "Anonymous N.d."
     assert out["k1"].entry.startswith("XY. T. 2nd edition. Rome, 1990–1991.") and "DOI: 10.1/ab." in out["k1"].entry
-    assert out["k2"].entry == "Anonymous. N.d. “Q”. J, pp. 1–2." and out["k3"].entry is None and out["k3"].sort_key is None
+    assert out["k2"].entry == "Anonymous. N.d. “Q.” J, pp. 1–2." and out["k3"].entry is None and out["k3"].sort_key is None
     assert [tuple(r) for r in bib.unnest_tags(df).collect()] == [("k1", "a")]
     assert bib.unnest_creators(df).count() == 2
     ranges = spark.createDataFrame([([("page", "3-4"), ("mixed", "x"), ("note", "1")],)], "r array<struct<unit:string,value:string>>")
