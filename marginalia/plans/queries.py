@@ -458,19 +458,13 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of a page's titles, headings and paragraphs, from the nearest lang attribute."""
     pages = table(spark, sf_dir, "pages")
     nodes = html_nodes(pages, "page_id", "html")
-    codes = documents(spark, sf_dir).select(F.col("lang").alias("code"), F.col("lang").alias("id")).distinct()
+    codes = documents(spark, sf_dir).select(F.col("lang").alias("code"), F.col("lang").alias("id"), F.lit(False).alias("source")).distinct()
     return editions.assign_language(nodes, codes).groupBy("tag", "lang").agg(F.count("*").alias("n"))
 
 
 # quality
 
 
-@query(r"SELECT cluster, count(*) AS n FROM (SELECT DISTINCT doc_id, i, unnest(regexp_extract_all(lines[i], '[^\x00-\x7F]')) AS cluster FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))) GROUP BY cluster")
-def unicode_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters beyond ASCII, by the lines that hold them."""
-    return rules.grapheme_issues(documents(spark, sf_dir), "text", r"\x00-\x7F").groupBy("cluster").agg(F.count("*").alias("n"))
-
-
 @query("""
 WITH v AS (SELECT doc_id, 1 AS s FROM documents WHERE length(text) < 200 UNION ALL SELECT doc_id, 2 FROM documents JOIN labels USING (doc_id) WHERE quality = 0 UNION ALL SELECT doc_id, 3 FROM labels WHERE toxic = 1)
 SELECT doc_id, max(s) AS status FROM v GROUP BY doc_id HAVING max(s) >= 2
@@ -497,7 +491,7 @@ def json_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey::VARCHAR AS key, CASE WHEN p_size % 3 = 0 THEN p_type WHEN p_size % 3 = 1 THEN p_type || ' and ' || p_brand ELSE p_type || ' et al.' END || ' ' || CASE WHEN p_size = 1 THEN 'N.d.' ELSE (1900 + p_size) || '–' || (1901 + p_size) END AS reference,
-  p_type || ', ' || p_brand || ' ' || CASE WHEN p_size = 1 THEN '' ELSE (1900 + p_size) || '-' || (1901 + p_size) END || ' ' || p_partkey AS sort_key
+  p_type || ' ' || CASE WHEN p_size = 1 THEN '' ELSE (1900 + p_size) || '-' || (1901 + p_size) END || ' ' || p_partkey AS sort_key
 FROM part
 """)
 def bib_reference(spark: SparkSession, sf_dir: str) -> DataFrame:

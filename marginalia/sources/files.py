@@ -86,10 +86,10 @@ def read_xml_records(spark: SparkSession, path: str, row_tag: str, schema: Struc
 
 def members(spark: SparkSession, path: str) -> DataFrame:
     """(person_id, name array, …) of a list of people with one or two name parts."""
-    person = "`_xml:id` string, `@xml:id` string, idno array<struct<_type:string,_VALUE:string>>, persName struct<forename:string,surname:string,name:string>"
+    person = "`_xml:id` string, `_id` string, idno array<struct<_type:string,_VALUE:string>>, persName struct<forename:string,surname:string,name:string>"
     rows = read_xml_records(spark, path, "person", person)
     names = F.filter(F.array("persName.forename", "persName.surname", "persName.name"), lambda x: x.isNotNull())
-    return rows.select(F.coalesce("`_xml:id`", "`@xml:id`").alias("person_id"), names.alias("name"), F.map_from_entries(F.transform("idno", lambda i: F.struct(i["_type"], i["_VALUE"]))).alias("ids"))
+    return rows.select(F.coalesce("`_xml:id`", "_id").alias("person_id"), names.alias("name"), F.map_from_entries(F.transform("idno", lambda i: F.struct(i["_type"], i["_VALUE"]))).alias("ids"))
 
 
 def script_tree(nodes: DataFrame) -> DataFrame:
@@ -137,8 +137,8 @@ def marked_segments(df: DataFrame, key: str, text: str, start: str, end: str) ->
 
 
 def page_facts(url: Column) -> tuple[Column, Column]:
-    """Dictionary and page number from a crawled page's URL."""
-    return F.regexp_extract(url, r"https?://[^/]+/(?:.*/)?([^/?]+)/?(?:query\.py|\?|$)", 1), F.nullif(F.regexp_extract(url, r"[?&]page=(\d+)", 1), F.lit("")).cast("int")
+    """Dictionary and page number from a crawled page's URL: what stands before ``_query.py``, and after the last equals sign."""
+    return F.regexp_extract(url, r"/([^/]+)_query\.py", 1), F.nullif(F.regexp_extract(url, r"=(\d+)$", 1), F.lit("")).cast("int")
 
 
 def carry_header_state(df: DataFrame, part: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -39,7 +39,7 @@ class Builder:
         return row
 
     def begin(self, tag: str, attrs: dict[str, str | None]) -> None:
-        self.open.append(self.node(tag.rsplit(":", 1)[-1], {k: " ".join((v or "").split()) for k, v in attrs.items() if not k.startswith("xmlns")}))
+        self.open.append(self.node(tag.rsplit(":", 1)[-1], {k.rsplit(":", 1)[-1]: " ".join((v or "").split()) for k, v in attrs.items() if not k.startswith("xmlns")}))
 
     def leaf(self, tag: str, text: str) -> None:
         last = self.rows[-1] if self.rows else None
