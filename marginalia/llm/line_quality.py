@@ -2,15 +2,17 @@
 
 Each row is measured by itself first; ``base_failed`` follows from that. The
 verdict then looks across documents: lines are normalised (ASCII lower case,
-digits to 0, white space squeezed) and hashed, the distinct texts that hold a
+digits to 0, white space squeezed) and hashed, the distinct documents that hold a
 line are counted for every host (``source``), and a line in more of them than
 ``max_documents`` is removed from all but the host's smallest doc_id that has
 it. A document left with less than ``min_left`` hundredths of the words of its
 lines is rejected; ``remove_lines`` and ``keep_good`` give the others back without
-the removed lines. Exact copies of a text count once, so copies alone do not make
-a line boilerplate: they are the business of the search for near duplicates.
+the removed lines. Rows of one doc_id are one document in these counts.
 Null text counts as empty (no words: it fails the base rules); null hosts are one
-host; repeated rows get the same verdict; ties are by doc_id, null ids first.
+host; repeated rows get the same verdict; ties are by doc_id, null ids first. An
+empty table gives an empty table. A very long text is measured whole, in one task.
+Columns beside doc_id, text and source are carried in a struct, so they may have any
+name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ BREAKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A host's line in more distinct texts than this is boilerplate.
+#: A host's line in more distinct documents than this is boilerplate.
 MAX_DOCUMENTS = 20
 #: Percent of its words that a document must keep.
 MIN_LEFT = 30
@@ -80,8 +82,8 @@ def marked_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFra
     """(doc_id, host, digest, at, n, gone) of every line with a word; needs (doc_id, host, digest, text). ``at`` counts all lines of the text."""
     lines = docs.select("doc_id", "host", "digest", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(has_word(F.col("line")))
     lines = lines.select("doc_id", "host", "digest", "at", F.xxhash64(normal_line(F.col("line"))).alias("line"), F.size(words_of(F.col("line"))).alias("n"))
-    seen = lines.groupBy("host", "line", "digest").agg(F.min("doc_id").alias("first"))
-    common = seen.groupBy("host", "line").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") > max_documents)
+    seen = lines.select("host", "line", "doc_id").distinct()
+    common = seen.groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first")).where(F.col("documents") > max_documents)
     marked = lines.join(common.select("host", "line", F.col("first"), F.lit(True).alias("common")), ["host", "line"], "left")
     return marked.withColumn("gone", F.coalesce(F.col("common") & ~F.col("doc_id").eqNullSafe(F.col("first")), F.lit(False))).drop("line", "first", "common")
 
@@ -163,10 +165,10 @@ base AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
                 coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
          FROM w LEFT JOIN rep USING (doc_id)),
-ln AS (SELECT doc_id, host, text, translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '{UPPER}0123456789', '{LOWER}0000000000') AS line,
+ln AS (SELECT doc_id, host, translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '{UPPER}0123456789', '{LOWER}0000000000') AS line,
               len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
-       FROM (SELECT doc_id, host, text, unnest(lines) AS line FROM w)),
-common AS (SELECT host, line, min(doc_id) AS first FROM ln GROUP BY host, line HAVING count(DISTINCT text) > {MAX_DOCUMENTS}),
+       FROM (SELECT doc_id, host, unnest(lines) AS line FROM w)),
+common AS (SELECT host, line, min(doc_id) AS first FROM ln GROUP BY host, line HAVING count(DISTINCT doc_id) > {MAX_DOCUMENTS}),
 bad AS (SELECT doc_id FROM ln LEFT JOIN common USING (host, line) GROUP BY doc_id
         HAVING 100 * sum(CASE WHEN first IS NOT NULL AND first <> doc_id THEN 0 ELSE n END) < {MIN_LEFT} * sum(n))
 SELECT b.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,

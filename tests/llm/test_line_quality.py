@@ -16,12 +16,14 @@ def test_lines_removed(spark, operator):
     body = lambda i: f"{prose(i, 30)}\n\n  {prose(1000 + i, 15)}"
     many = [(i, f"{notice}\n{body(i)}\n{notice.upper()}\n", "h", "x") for i in range(LIMIT + 5)]
     rows = [*many, many[7], (200, notice + "\n" + prose(5000, 2), "h", "x"), (None, f"{notice}\n{body(900)}", "h", "x"), (201, f"{notice}\n{body(901)}", "other", "x"), (203, f"{notice}\n{body(902)}", None, "x")]
-    # 20 copies of one text are one text
+    # copies are documents too: only the first keeps its lines, and the others are depleted
     rows += [(300 + i, f"again and again\n{body(903)}", "h2", "x") for i in range(LIMIT + 5)]
+    # rows of one id are one document
+    rows += [(400, f"once and for all\n{body(904)}", "h3", "x")] * (LIMIT + 5)
     got = operator(spark.createDataFrame(rows, "doc_id long, text string, source string, gone string"))
     want = Counter()
     for i, text, host, more in rows:
-        if i == 200:
+        if i == 200 or i is not None and 300 < i < 400:
             continue
         if host == "h" and i is not None:  # the null id is the smallest
             text = "\n".join(x for x in text.split("\n") if x.lower() != notice.lower())
