@@ -2,9 +2,9 @@
 
 A document's set holds its distinct shingles of five words (ASCII lower case; a
 shorter text is one shingle as a whole). Every permutation of the hash space
-yields two signature values, the set's minimum and its maximum, so that half as
-many hashes are evaluated as values kept. A band joins minima and maxima of
-different permutations, which makes its values independent: two sets of
+yields two signature values, the set's minimum and its maximum: 110 permutations
+give the 220 values of 44 bands of five, and each is used once. A band joins minima
+and maxima of different permutations, which makes its values independent: two sets of
 similarity s share a band with probability s**5, and miss all 44 bands at the
 threshold 0.75 seven times in a million.
 
@@ -12,13 +12,15 @@ Equal sets are one class from the start. In every bucket (band value) members
 are first compared with its hub only, the one that shares most buckets; links so
 found are joined to components, and only members that are still apart are
 compared with each other: members of large buckets by an exact join on rare
-shingles. So a group of
-copies costs a few comparisons a member, and no link between components is lost.
+shingles, and always across components only. So a group of copies costs a few
+comparisons a member, and no link between components is lost.
 Every link is confirmed on both whole texts.
 
 Null, empty and word-less texts have empty sets, are linked with nothing and kept.
 Rows of one doc_id are one document: its texts count as linked. A null id counts
-as the smallest id and is given back as null. Repeated rows get equal results.
+as the smallest id and is given back as null. Repeated rows and ties get equal results.
+An empty table gives an empty table. A very long text is worked on by itself, in one
+task. Columns beside doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from marginalia.llm import kernel
 from marginalia.llm.shared import NULL_ID, components, settled, small_batches
 
 SHINGLE, PERCENT = 5, 75
-BANDS, BAND_MIN, BAND_MAX = 44, 3, 2
-PERMUTATIONS = BANDS * max(BAND_MIN, BAND_MAX)
+BANDS, BAND_VALUES = 44, 5
+PERMUTATIONS = BANDS * BAND_VALUES // 2
 #: Members of a bucket beyond which pairs are found by rare shingles.
 LARGE_BUCKET = 8
 #: Counters of shingle frequencies.
@@ -43,7 +45,7 @@ COUNTERS = 1 << 18
 _random = np.random.default_rng(20240229)
 _MULTIPLY = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * kernel.U64(2) + kernel.U64(1)
 _ADD = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_MIX = _random.integers(0, 1 << 63, BAND_MIN + BAND_MAX, dtype=np.uint64) * kernel.U64(2) + kernel.U64(1)
+_MIX = _random.integers(0, 1 << 63, BAND_VALUES, dtype=np.uint64) * kernel.U64(2) + kernel.U64(1)
 
 
 def shingles(chunk: kernel.Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,24 +67,32 @@ def shingles(chunk: kernel.Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return grams, np.searchsorted(doc, np.arange(chunk.n + 1))
 
 
+def band_values() -> list[list[tuple[int, int]]]:
+    """(0 for a minimum or 1 for a maximum, permutation) of each value of each band: three of one and two of the other in turn, each value once.
+
+    Maxima run half of all permutations ahead of minima, so no band has both of one permutation."""
+    out, low, high = [], 0, PERMUTATIONS // 2
+    for band in range(BANDS):
+        n = BAND_VALUES // 2 + band % 2
+        out.append([(0, (low + i) % PERMUTATIONS) for i in range(n)] + [(1, (high + i) % PERMUTATIONS) for i in range(BAND_VALUES - n)])
+        low, high = low + n, high + BAND_VALUES - n
+    return out
+
+
 def bands(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Band values of sets that are not empty: one row a set."""
     n = len(first)
-    low = np.empty((PERMUTATIONS, n), dtype=np.uint64)
-    high = np.empty((PERMUTATIONS, n), dtype=np.uint64)
+    values = np.empty((2, PERMUTATIONS, n), dtype=np.uint64)
     for p in range(PERMUTATIONS):
         hashed = (grams + _ADD[p]) * _MULTIPLY[p]
         hashed ^= hashed >> kernel.U64(29)
-        np.minimum.reduceat(hashed, first, out=low[p])
-        np.maximum.reduceat(hashed, first, out=high[p])
+        np.minimum.reduceat(hashed, first, out=values[0, p])
+        np.maximum.reduceat(hashed, first, out=values[1, p])
     out = np.zeros((BANDS, n), dtype=np.uint64)
-    for b in range(BANDS):
+    for b, chosen in enumerate(band_values()):
         total = np.full(n, b + 1, dtype=np.uint64)
-        for i in range(BAND_MIN):
-            total = kernel.avalanche(total * _MIX[i] + low[(b * BAND_MIN + i) % PERMUTATIONS])
-        for i in range(BAND_MAX):
-            # half the permutations away: no band has both values of one permutation
-            total = kernel.avalanche(total * _MIX[BAND_MIN + i] + high[(b * BAND_MIN + i + PERMUTATIONS // 2) % PERMUTATIONS])
+        for mix, (side, p) in zip(_MIX, chosen, strict=True):
+            total = kernel.avalanche(total * mix + values[side, p])
         out[b] = total
     return out.T
 
@@ -244,8 +254,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component; of repeated rows with that id all stay."""
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
-    return docs.join(kept, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("_id"), "left_semi")
+    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")).distinct()
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.struct("*").alias("row"))
+    return rows.join(kept, "id", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
