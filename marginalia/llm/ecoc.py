@@ -2,12 +2,18 @@
 
 Every language has a codeword of +1 and -1; one binary classifier per bit
 weighs hashed byte trigrams by the log odds of the languages on either side of
-that bit. A text's bits are decoded with the logistic loss: the language whose
-codeword costs least wins, and a small gap to the next one flags ambiguity.
+that bit, and its margin is the mean over a text's trigrams in units of the mean that
+texts of those languages have. Bits are decoded with the logistic loss: the language
+whose codeword costs least wins. The gap to the second, as a share of the gap between
+texts that fit their codewords fully, is the lead; a text of two languages or of none
+of them has a small one and is flagged ambiguous. A trigram that training did not meet
+speaks for no language.
 Trigram counts per language are sums over all labelled training rows, so the
 tasks send at most languages x buckets counts each.
 Null texts and texts without a letter are ``und`` with score 0; with no labelled
-row everything is ``und``. Repeated rows count as often as they occur.
+row everything is ``und``. Repeated rows count as often as they occur; of languages
+that cost the same the first by name wins. An empty table gives an empty table. Texts
+of any length are read whole. Columns beside doc_id, text and lang may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +31,10 @@ from marginalia.llm import kernel
 BUCKETS = 1 << 14
 #: Labels beyond so many distinct ones are an error: the model is sent to the driver.
 MAX_LANGUAGES = 1024
-AMBIGUOUS_BELOW = 0.8
+#: Share of all trigrams' probability that is spread evenly, so that unknown ones favour nobody.
+EVEN = 0.02
+#: How steep the loss of a bit is, and the lead below which a text is ambiguous.
+STEEPNESS, AMBIGUOUS_BELOW = 4.0, 0.4
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -93,38 +102,56 @@ class Model:
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.langs = sorted(counts)
-        shares = np.array([(counts[lang] + 0.5) / (counts[lang].sum() + 0.5 * BUCKETS) for lang in self.langs]).reshape(len(self.langs), BUCKETS)
-        self.code = codewords(len(self.langs)) if len(self.langs) > 1 else np.ones((len(self.langs), 0), dtype=np.int8)
-        weights = [np.log(shares[bit > 0].mean(0)) - np.log(shares[bit < 0].mean(0)) for bit in self.code.T]
+        k = len(self.langs)
+        shares = np.array([(1 - EVEN) * counts[lang] / max(counts[lang].sum(), 1) + EVEN / BUCKETS for lang in self.langs]).reshape(k, BUCKETS)
+        self.code = codewords(k) if k > 1 else np.ones((k, 0), dtype=np.int8)
+        weights = []
+        for bit in self.code.T:
+            above, below = shares[bit > 0].mean(0), shares[bit < 0].mean(0)
+            w = np.log(above) - np.log(below)
+            # margins that texts of either side have in the mean are 1 and -1
+            weights.append(w / max(float((above - below) @ w) / 2, 1e-9))
         self.weights = np.array(weights, dtype=np.float32).reshape(-1, BUCKETS)
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The best language's number, its score and its lead over the second for each text."""
-        n = len(offsets) - 1
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The mean weight of each text's trigrams for each bit."""
         buckets, first = trigrams(data, offsets)
-        bits = np.zeros((n, len(self.weights)))
-        some = np.diff(first) > 0
+        n = np.diff(first)
+        some = n > 0
+        out = np.zeros((len(n), len(self.weights)))
         for b, w in enumerate(self.weights):
             if some.any():
-                bits[some, b] = np.add.reduceat(w[buckets].astype(np.float64), first[:-1][some])
-        # margins per trigram would make short and long texts alike; the root keeps evidence growing with length
-        bits /= np.sqrt(np.maximum(np.diff(first), 1))[:, None]
-        loss = np.logaddexp(0, -np.clip(bits, -30, 30)[:, None, :] * self.code[None, :, :]).sum(2)
+                out[some, b] = np.add.reduceat(w[buckets].astype(np.float64), first[:-1][some]) / n[some]
+        return out
+
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best language's number, its score and its lead over the second for each text."""
+        margins = np.clip(self.margins(data, offsets), -2, 2)
+        n, k = len(margins), len(self.langs)
+        loss = np.logaddexp(0, -STEEPNESS * margins[:, None, :] * self.code[None, :, :]).sum(2)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        ranked = np.sort(p, axis=1)
-        lead = ranked[:, -1] - (ranked[:, -2] if p.shape[1] > 1 else 0)
-        return best, p[np.arange(n), best], lead
+        best = loss.argmin(1)
+        if k < 2:
+            return best, p[:, 0], np.ones(n)
+        rest = loss.copy()
+        rest[np.arange(n), best] = np.inf
+        second = rest.argmin(1)
+        differ = (self.code[best] != self.code[second]).sum(1)
+        # a bit that fits costs STEEPNESS less than one that does not
+        return best, p[np.arange(n), best], (rest[np.arange(n), second] - loss[np.arange(n), best]) / (STEEPNESS * differ)
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Fit on all rows with a label and a text."""
+    """Fit on all rows with a label and a text; at most languages x buckets counts come to the driver, as Arrow columns."""
     some = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts: dict[str, np.ndarray] = {}
-    for lang, bucket, n in count_trigrams(some).limit(MAX_LANGUAGES * BUCKETS + 1).collect():
-        counts.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
-    if len(counts) > MAX_LANGUAGES:
+    found = count_trigrams(some).limit(MAX_LANGUAGES * BUCKETS + 1).toArrow()
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    code, bucket, n = langs.indices.to_numpy(), found.column("bucket").to_numpy(), found.column("n").to_numpy()
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        counts[lang] = np.bincount(bucket[code == i], n[code == i], BUCKETS)
+    if len(counts) > MAX_LANGUAGES or len(found) > MAX_LANGUAGES * BUCKETS:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return Model(counts)
 
