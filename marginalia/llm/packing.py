@@ -10,7 +10,9 @@ rounded down and what is left is packed greedily. The patterns go back to Spark
 as ranges of ranks: documents are ranked within their class by counts and
 salted groups, and each rank has its place in a pattern.
 A null or empty text is the end id alone. Repeated rows are documents of their
-own; an empty table gives an empty table.
+own; pieces of one length are ranked by doc_id and start, and equal ones are
+interchangeable. An empty table gives an empty table. A very long text is encoded in
+parts. Columns beside doc_id and text may have any name.
 """
 
 from __future__ import annotations
