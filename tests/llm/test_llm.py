@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, cws, ecoc, hilbert, line_quality, minmax, packing, pii, pitman_yor, suffix_dedup
+from marginalia.llm import bpe, cws, hilbert, line_quality, minmax, packing, pii, suffix_dedup
 
 ASCII_LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS = "amber birch cedar delta ember fjord grove heath inlet juniper knoll lagoon meadow north ocean plain quarry river summit tundra".split()
@@ -92,8 +92,8 @@ def test_substrings(docs, none, monkeypatch):
         w = t.encode().split()
         gone = [any(first[b" ".join(w[j : j + 50])] < i for j in range(max(0, k - 49), min(k, len(w) - 50) + 1)) for k in range(len(w))]
         want[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
-    for limit in (512, 0):
-        monkeypatch.setattr(suffix_dedup, "GROUP_LIMIT", limit)
+    for limit in (1 << 18, 2000, 0):
+        monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", limit)
         got = suffix_dedup.digest(docs).collect()
         assert len(got) == len(ordered) and all(want[-(2**63) if r.doc_id is None else r.doc_id] == (r.n_words, r.n_removed, r.kept_sha256) for r in got)
     assert want[9][1] == 60 and want[3][1] == 200
@@ -146,19 +146,6 @@ def test_line_quality(spark, docs, none):
     assert kept == {0, 99}
 
 
-def test_pitman_yor(docs, none):
-    got = pitman_yor.score_documents(docs, ecoc.held_out_by(F.col("doc_id"), 7, 2)).collect()
-    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
-    split = [(i, [*t.encode().translate(ASCII_LOW).split(), None]) for i, t in texts()]
-    c = Counter(w for i, ws in split if not held(i) for w in ws)
-    want = Counter((i, held(i), len(ws), sum(c[w] > 0 for w in ws), round(sum(np.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in ws), 6)) for i, ws in split)
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert all(r.train_tokens == sum(c.values()) and np.isfinite(r.score) and r.score < 0 for r in got)
-    assert pitman_yor.score_documents(none, F.lit(False)).count() == 0
-    tables = pitman_yor.seat(np.array([0, 1, 500, 5000]), np.array([0.1, 0.1, 5.0, 5.0]), 0.5, np.random.default_rng(1))
-    assert tables[0] == 0 and tables[1] == 1 and 1 < tables[2] < tables[3] < 5000
-
-
 def test_packing(docs, none):
     got = packing.pack_documents(docs).collect()
     from tokenizers import Tokenizer
@@ -219,15 +206,3 @@ def test_minmax(spark, docs, none, monkeypatch):
     monkeypatch.setattr(minmax, "LARGE_BUCKET", 3)
     got = {r.doc_id: r.component_id for r in minmax.near_duplicates(spark.createDataFrame(crowd, "doc_id long, text string")).collect()}
     assert got == components(crowd)
-
-
-def test_ecoc(spark, docs, none):
-    said = {"en": "the of and to in that is was", "de": "der die und das nicht ist sich", "fr": "le la les des est une dans", "es": "el los una que por con para"}
-    rows_ = [(i, " ".join(np.random.default_rng(i).choice(said[lang].split(), 30)), lang) for i, lang in enumerate(list(said) * 25)] + [(500, None, "en"), (501, "123 !!", "en"), (502, "der die das", None)]
-    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
-    out = {r.doc_id: r for r in ecoc.predict(df, ecoc.fit(df.where("doc_id % 5 <> 0 AND doc_id < 500"))).collect()}
-    assert np.mean([out[i].lang_pred == lang for i, _, lang in rows_[:100] if i % 5 == 0]) > 0.95
-    assert out[500].lang_pred == out[501].lang_pred == "und" and out[502].lang_pred == "de" and all(0 <= r.score <= 1 for r in out.values())
-    assert ecoc.predict(none, ecoc.fit(df)).count() == 0 and {r.lang_pred for r in ecoc.predict(docs, ecoc.fit(none)).collect()} == {"und"}
-    code = ecoc.codewords(12)
-    assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 8

@@ -6,7 +6,7 @@ import corpus_pipeline
 
 
 def test_stages(spark, docs):  # noqa: F811
-    kept, seen = docs.drop("shard"), {}
+    kept, seen = docs, {}
     for name, stage in corpus_pipeline.STAGES:
         columns = kept.columns
         kept = stage(spark, kept, "").cache()
@@ -19,7 +19,7 @@ def test_stages(spark, docs):  # noqa: F811
 
 
 def test_empty(spark, docs):  # noqa: F811
-    kept = docs.drop("shard").limit(0)
+    kept = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, kept, "")
         assert kept.count() == 0
