@@ -3,7 +3,9 @@
 quality rejects documents, near_duplicates keeps the smallest id of each group,
 substrings cuts repeated passages, pii masks personal data, packing lays the
 token pieces into sequences. Rows may be repeated and hold nulls; each stage
-gives such rows the result that its operator defines.
+gives such rows the result that its operator defines. An empty table stays empty
+through all stages. Very long texts go through whole. Further columns, whatever their
+names, stay up to the last stage, which returns the columns of packing.
 """
 
 from __future__ import annotations
