@@ -172,7 +172,7 @@ def person_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("world").alias("parent"))
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    root = regions.limit(1).select(F.lit("world").alias("id"), F.lit(None).cast("string").alias("parent"))
+    root = regions.agg(F.lit("world").alias("id"), F.lit(None).cast("string").alias("parent"))
     return root.unionByName(regions).unionByName(nations)
 
 
@@ -449,7 +449,7 @@ def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages checked by rules: how many violations of each, and the worst severity."""
     nodes = html_nodes(table(spark, sf_dir, "pages"), "page_id", "html")
     given = rules.rule_frame(spark, [("img-alt", "requires", "img", "src", "alt", "no alternative text", 1, None), ("li-parent", "parent", "li", "ul ol", None, "item outside a list", 2, None), ("p-text", "text", "p", None, None, "empty paragraph", 1, None), ("one-title", "child", "head", "title", "1", "no title", 2, None), ("href", "pattern", "a", "href", r"^(https?:|/|#|mailto:).*", "odd link", 1, None), ("nested-p", "not-ancestor", "p", "p", None, "paragraph in a paragraph", 1, None)])
-    docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("name"), F.lit("").alias("text"))
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("name"), F.col("html").alias("text"))
     return rules.validate(docs, nodes, given).groupBy("rule_id").agg(F.count("*").alias("n"), F.max("severity").alias("worst"))
 
 
