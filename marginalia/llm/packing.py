@@ -228,15 +228,19 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
 
 
 def solve(demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
-    """Fractional multiplicities of patterns that cover the demand of lengths 1..capacity, within ``gap`` of the optimum."""
+    """Fractional multiplicities of patterns that cover the demand of lengths 1..capacity, within ``gap`` of the optimum.
+
+    Element-wise numpy only: threaded LAPACK and BLAS calls can deadlock inside a Spark driver."""
     used = np.flatnonzero(demand)
     m = len(used)
     if not m:
         return []
-    basis = np.zeros((m, m))
-    basis[np.arange(m), np.arange(m)] = capacity // (used + 1)
-    inverse = np.linalg.inv(basis)
-    amounts = inverse @ demand[used]
+    # at first each length has a pattern of its own, so the basis is diagonal
+    alone = capacity // (used + 1)
+    basis, inverse = np.zeros((m, m)), np.zeros((m, m))
+    basis[np.arange(m), np.arange(m)] = alone
+    inverse[np.arange(m), np.arange(m)] = 1 / alone
+    amounts = demand[used] / alone
     for _ in range(rounds):
         duals = inverse.sum(0)
         values = np.zeros(capacity)
@@ -245,7 +249,7 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 40
         # amounts.sum() / best bounds the optimum from below
         if best <= 1 + gap:
             break
-        column = inverse @ pattern[used]
+        column = (inverse * pattern[used]).sum(1)
         ratio = np.where(column > 1e-9, amounts / np.where(column > 1e-9, column, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = pattern[used]

@@ -206,3 +206,22 @@ def test_minmax(spark, docs, none, monkeypatch):
     monkeypatch.setattr(minmax, "LARGE_BUCKET", 3)
     got = {r.doc_id: r.component_id for r in minmax.near_duplicates(spark.createDataFrame(crowd, "doc_id long, text string")).collect()}
     assert got == components(crowd)
+
+
+def test_many_classes_in_the_driver(spark):
+    """The linear program of 251 length classes ends beside a live JVM, and its patterns cover the demand."""
+    import threading
+
+    demand = np.zeros(256, dtype=np.int64)
+    demand[:251] = np.random.default_rng(8).integers(1, 400, 251)
+    found = []
+    spark.range(10).count()
+    worker = threading.Thread(target=lambda: found.append(packing.solve(demand, 256)), daemon=True)
+    worker.start()
+    worker.join(60)
+    assert found, "solve did not end in 60 s"
+    assert (sum(p * x for p, x in found[0]) >= demand - 1e-3).all() and all((p * np.arange(1, 257)).sum() <= 256 for p, _ in found[0])
+    bound = (demand * np.arange(1, 257)).sum() / 256
+    assert sum(x for _, x in found[0]) <= 1.01 * bound + 1
+    whole = packing.rounded(demand, found[0], 256)
+    assert (sum(p * n for p, n in whole) == demand).all()
