@@ -1,5 +1,6 @@
 """Operations for large training-data pipelines, and their queries."""
 
+from marginalia.llm.alignment import op13_token_alignment
 from marginalia.llm.bpe import op1_byte_bpe
 from marginalia.llm.cws import op2_weighted_fingerprints
 from marginalia.llm.ecoc import op10_ecoc_langid
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_cutting_stock": op8_cutting_stock,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_ecoc_langid": op10_ecoc_langid,
+    "op13_token_alignment": op13_token_alignment,
 }
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {"op6_line_quality": OP6_SQL}
