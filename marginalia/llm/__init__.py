@@ -11,6 +11,7 @@ from marginalia.llm.packing import op8_cutting_stock
 from marginalia.llm.pii import op5_pii_spans
 from marginalia.llm.pitman_yor import op7_pitman_yor
 from marginalia.llm.suffix_dedup import op3_substring_dedup
+from marginalia.llm.warc import op12_warc_chain
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_cutting_stock": op8_cutting_stock,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_ecoc_langid": op10_ecoc_langid,
+    "op12_warc_chain": op12_warc_chain,
     "op13_token_alignment": op13_token_alignment,
 }
 #: DuckDB SQL of those queries that SQL can express.
