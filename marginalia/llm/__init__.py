@@ -7,6 +7,7 @@ from marginalia.llm.ecoc import op10_ecoc_langid
 from marginalia.llm.hilbert import op4_hilbert_shards
 from marginalia.llm.line_quality import OP6_SQL, op6_line_quality
 from marginalia.llm.minmax import op9_minmax_dedup
+from marginalia.llm.negatives import op11_anchor_tree_negatives
 from marginalia.llm.packing import op8_cutting_stock
 from marginalia.llm.pii import op5_pii_spans
 from marginalia.llm.pitman_yor import op7_pitman_yor
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_cutting_stock": op8_cutting_stock,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_ecoc_langid": op10_ecoc_langid,
+    "op11_anchor_tree_negatives": op11_anchor_tree_negatives,
     "op12_warc_chain": op12_warc_chain,
     "op13_token_alignment": op13_token_alignment,
 }
