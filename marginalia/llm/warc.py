@@ -36,6 +36,8 @@ BOUNDARY = BREAK + MAGIC
 LEAST_BYTES = 1000
 #: Groups of equal payloads up to which their table (some 100 bytes each) is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_GROUPS = 50_000
+#: Pieces of cut payloads (some 150 bytes each) up to which their list is broadcast, so that only what they hold is moved.
+BROADCAST_PIECES = 50_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -196,7 +198,8 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> Da
     broken = found.where("kept is null or not whole").withColumn("owner", F.last(F.when(F.col("kept"), F.struct("offset", "next")), ignorenulls=True).over(order))
     more = broken.where("kept is null and offset < owner.next").select("file", "split", "seq", F.col("offset").alias("piece"), F.col("owner.offset").alias("offset"), F.lit(0).alias("skip"), F.lit(0).cast("long").alias("length"))
     whole = records.where("whole").select(*columns)
-    made = blocks(spark, folder, cut.unionByName(more))
+    owned = settled(cut.unionByName(more))
+    made = blocks(spark, folder, F.broadcast(owned) if owned.count() <= BROADCAST_PIECES else owned)
     made = records.drop("payload_bytes", "payload_digest").join(made, ["file", "offset"])
     made = digested(made, F.col("block"))
     if payload:
