@@ -1,8 +1,6 @@
 """Editions: languages, the three views of a text, blocks, lines, lists and notes.
 
-Views come from a rule table (tag, physical, logical, full): ``show`` keeps an
-element's text, ``drop`` removes its subtree, ``open|close`` puts marks around it,
-``gap``, ``space``, ``symbol`` and ``fraction`` write a text in its place.
+Views come from the rule table of ``marks``; blocks and spaces are put in order by ``trees``.
 """
 
 from __future__ import annotations
@@ -11,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.bibliography import ITEM_TYPES
-from marginalia.functions.text import clean_passage, fraction, gap_text, is_meter, meter_pattern, squeeze, to_boolean
+from marginalia.functions.text import clean_passage, is_meter, meter_pattern, squeeze, to_boolean
+from marginalia.operators import marks
 from marginalia.operators.axes import around, attr, axis, elements, nearest_ancestor, text_of
 from marginalia.operators.catalog import display_names, resolve_code, resolve_reference
 from marginalia.operators.similarity import in_sequence
@@ -24,28 +23,14 @@ BLOCKS = ("p", "ab", "lg", "l", "list", "item", "head", "div")
 MILESTONES = ("pb", "lb", "milestone", "fw")
 # Language and script of a text, and those that stand for any source language or script.
 DEFAULT_LANGUAGE, DEFAULT_SCRIPT, SOURCE_OTHER = "eng", "latin", "source_other"
-# How each view shows a tag, or one inside a choice. ``a|b`` stands for marks around the text.
-RULES = [
-    ("sic", "¿|?", "¿|?", "¿|?"), ("corr", "⟨|⟩", "⟨|⟩", "⟨|⟩"), ("orig", "¡|!", "¡|!", "¡|!"), ("reg", "⟨|⟩", "⟨|⟩", "⟨|⟩"),
-    ("choice/sic", "¿|?", "drop", "¿|?"), ("choice/corr", "drop", "⟨|⟩", "⟨|⟩"), ("choice/orig", "¡|!", "drop", "¡|!"), ("choice/reg", "drop", "⟨|⟩", "⟨|⟩"),
-    ("unclear", "(|)", "(|)", "(|)"), ("supplied", "[|]", "[|]", "[|]"), ("add", "⟨⟨|⟩⟩", "⟨⟨|⟩⟩", "⟨⟨|⟩⟩"), ("del", "⟦|⟧", "⟦|⟧", "⟦|⟧"),
-    ("surplus", "{|}", "{|}", "{|}"), ("ex", "(|)", "(|)", "(|)"), ("q", "“|”", "“|”", "“|”"), ("quote", "“|”", "“|”", "“|”"),
-    ("gap", "gap", "gap", "gap"), ("space", "space", "space", "space"), ("g", "symbol", "symbol", "symbol"), ("num", "show", "show", "show"),
-    ("seg", "show", "show", "show"), ("subst", "show", "show", "show"), ("abbr", "show", "show", "show"), ("am", "show", "show", "show"), ("foreign", "show", "show", "show"), ("cit", "show", "show", "show"),
-    ("note", "drop", "drop", "drop"), ("app", "drop", "drop", "drop"), ("listApp", "drop", "drop", "drop"), ("head", "show", "show", "show"), ("bibl", "drop", "drop", "drop"),
-    ("teiHeader", "drop", "drop", "drop"), ("editionStmt", "drop", "drop", "drop"), ("facsimile", "drop", "drop", "drop"), ("handShift", "drop", "drop", "drop"),
-    ("publicationStmt", "drop", "drop", "drop"), ("msIdentifier", "drop", "drop", "drop"), ("encodingDesc", "drop", "drop", "drop"), ("revisionDesc", "drop", "drop", "drop"), ("fw", "drop", "drop", "drop"),
-]
-# What stands for a space of each type; types with a count show one sign for each character.
-SPACES = {"semantic": "_", "binding-hole": "◯", "descender": "⊔", "ascender": "⊓", "defect": "□", "feature": "_", "vacat": "_", "unclassified": "_"}
-COUNTED_SPACES = ("semantic", "vacat", "unclassified")
 #: What a search goes through: the editor's readings, without notes and headings.
 SEARCH_DROPS = ("note", "head", "app", "listApp", "teiHeader", "sic", "orig", "fw", "display", "milestone", "pb", "lb")
 PADA_DROPS = ("rdg", "note", "milestone", "pb", "lb", "gap", "del", "label", "sic", "orig")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "tag string, physical string, logical string, full string")
+    """The rules of views as a table, to be read or extended."""
+    return spark.createDataFrame(marks.RULES, marks.RULE)
 
 
 def assign_language(nodes: DataFrame, langs: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
@@ -126,49 +111,12 @@ def block_of(nodes: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "at").agg(F.coalesce(F.max("up"), F.lit(0)).alias("block"), F.coalesce(F.max_by("_tag", "up"), F.lit("p")).alias("kind"))
 
 
-def written_in(view: str, symbols: DataFrame | None) -> Column:
-    """The text that stands for a gap, a space or a symbol in a view."""
-    a = lambda name: attr(F.col("attrs"), name)
-    kind = F.when(a("type").isin(*SPACES), a("type")).otherwise("semantic")
-    signs = F.create_map(*[F.lit(x) for pair in SPACES.items() for x in pair])
-    n = F.when(kind.isin(*COUNTED_SPACES) & a("quantity").rlike("^[0-9]+$"), F.greatest(a("quantity").cast("int"), F.lit(1))).otherwise(1)
-    symbol = F.coalesce(F.nullif(F.col("_shown"), F.lit("")), F.concat(F.lit("<"), a("type"), F.lit(">"))) if symbols is not None else F.concat(F.lit("<"), a("type"), F.lit(">"))
-    return F.when(F.col("tag") == "gap", gap_text(a("reason"), a("quantity"), a("unit"), a("precision"), view == "physical")).when(F.col("tag") == "space", F.repeat(signs[kind], n)).when((F.col("tag") == "g") & (a("type") == "numeral"), fraction(F.coalesce("_inner", F.lit("")))).otherwise(symbol)
-
-
-def edition_views(nodes: DataFrame, rules: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+def edition_views(nodes: DataFrame, rules: DataFrame | None = None, symbols: DataFrame | None = None, **more) -> DataFrame:
     """(doc_id, view, block, kind, text): the physical, logical and full text of each block.
 
-    ``symbols`` is (name, text) of what ``g`` elements stand for."""
-    choices = nodes.where("tag = 'choice'").select("doc_id", F.col("pre").alias("parent"), F.lit("choice/").alias("_in"))
-    keyed = nodes.join(choices, ["doc_id", "parent"], "left").withColumn("_key", F.when(F.col("tag").isin("sic", "corr", "orig", "reg"), F.concat(F.coalesce("_in", F.lit("")), "tag")).otherwise(F.col("tag")))
-    spec = keyed.join(rules.withColumnRenamed("tag", "_key"), "_key", "left").drop("_key", "_in")
-    blocks = block_of(nodes.withColumn("tag", F.when(F.col("tag").isin("gap", "space", "g"), "#text").otherwise(F.col("tag"))))
-    inner = text_of(nodes, "g").withColumnRenamed("content", "_inner")
-    out = None
-    for view in ("physical", "logical", "full"):
-        rule = F.coalesce(F.col(view), F.lit("show"))
-        kept = without_subtrees(spec, spec.where(rule == "drop").select("doc_id", "pre"))
-        instead = rule.isin("gap", "space", "symbol")
-        written = kept.where(instead).join(inner, ["doc_id", "pre"], "left")
-        if symbols is not None:
-            written = written.join(symbols.select(F.col("name").alias("_name"), F.col("text").alias("_shown")), attr(F.col("attrs"), "type") == F.col("_name"), "left")
-        written = written.select("doc_id", F.col("pre").alias("at"), F.col("pre").cast("double").alias("place"), written_in(view, symbols).alias("text"))
-        # texts inside what is written otherwise do not stand by themselves
-        loose = without_subtrees(kept, kept.where(instead).select("doc_id", "pre"))
-        text = loose.where("tag = '#text'").select("doc_id", F.col("pre").alias("at"), F.col("pre").cast("double").alias("place"), "text")
-        marked = loose.where(rule.contains("|")).select("doc_id", F.col("pre").alias("up"), F.split(rule, r"\|").alias("m"))
-        # marks stand just before the first and after the last text of their element
-        solid = text.join(loose.where("tag = '#text'").select("doc_id", F.col("pre").alias("at"), "path"), ["doc_id", "at"])
-        edges = around(solid).join(marked, ["doc_id", "up"]).groupBy("doc_id", "up").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.first("m").alias("m"))
-        # outer marks open before inner ones and close after them
-        opens = edges.select("doc_id", F.col("a").alias("at"), (F.col("a") - 1 / (F.col("up") + 1)).alias("place"), F.col("m")[0].alias("text"))
-        shuts = edges.select("doc_id", F.col("b").alias("at"), (F.col("b") + 1 - 1 / (F.col("up") + 2)).alias("place"), F.col("m")[1].alias("text"))
-        rows = text.unionByName(written).unionByName(opens).unionByName(shuts).join(blocks, ["doc_id", "at"])
-        joined = rows.groupBy("doc_id", "block", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "").alias("text"))
-        one = normalize_blocks(joined).select("doc_id", F.lit(view).alias("view"), "block", "kind", "text")
-        out = one if out is None else out.unionByName(one)
-    return out
+    ``symbols`` is (name, text) of what ``g`` elements stand for; further arguments are those of ``marks.shown_views``."""
+    # a rule table has as many rows as there are rules, whatever the corpus
+    return marks.shown_views(nodes, [tuple(r) for r in rules.collect()] if rules is not None else None, BLOCKS, symbols, **more)
 
 
 def normalize_blocks(blocks: DataFrame) -> DataFrame:

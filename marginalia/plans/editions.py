@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators import axes, catalog, editions, rules, similarity, windows
+from marginalia.operators import axes, catalog, editions, marks, rules, similarity, trees, windows
 from marginalia.plans.queries import query, table
-from marginalia.plans.tables import scratch
 from marginalia.sources.nodes import parse_failures, xml_nodes
 
 SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -230,12 +229,9 @@ SELECT conv_id::VARCHAR AS doc_id, view, 'p' AS kind, md5({SQUEEZED.format('t')}
 UNION ALL SELECT conv_id::VARCHAR, view, 'l', md5({SQUEEZED.format('text')}) FROM p
 """)
 def views_of_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three views of editions' paragraphs and verses; the nodes are parsed once, as a table."""
-    path = scratch(spark)
-    edition_nodes(spark, sf_dir).write.parquet(path)
-    nodes = spark.read.parquet(path)
-    inside = axes.around(nodes, "up").join(nodes.where("tag = 'div'").where(axes.attr(F.col("attrs"), "type") == "edition").select("doc_id", F.col("pre").alias("up")), ["doc_id", "up"], "left_semi").select(*nodes.columns)
-    found = editions.edition_views(inside, editions.rule_table(spark))
+    """The three views of editions' paragraphs and verses, in one pass over the nodes."""
+    inside = marks.below(edition_nodes(spark, sf_dir), (F.col("tag") == "div") & (axes.attr(F.col("attrs"), "type") == "edition"))
+    found = editions.edition_views(inside)
     return found.select("doc_id", "view", "kind", F.md5("text").alias("text"))
 
 

@@ -1,9 +1,9 @@
 """Markup as a node table: one row for each element, text, comment and instruction.
 
-(doc_id, pre, post, depth, parent, path, tag, attrs, text, line, col): ``pre`` and
+(doc_id, pre, post, depth, parent, path, tag, attrs, text, line, col, names): ``pre`` and
 ``post`` number nodes as they open and close, so that d is below a exactly if
 ``a.pre < d.pre and d.post < a.post``; ``path`` lists the numbers of the elements
-around a node, outermost first. Text has the tag ``#text``. Name spaces
+around a node, outermost first, and ``names`` their tags. Text has the tag ``#text``. Name spaces
 are dropped, attribute values squeezed and adjacent texts merged. A document
 that does not parse gives one ``#error`` row with its message and position.
 """
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "doc_id string, pre int, post int, depth int, parent int, path array<int>, tag string, attrs map<string,string>, text string, line int, col int"
-_KINDS = pa.schema([("doc_id", pa.string()), ("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("parent", pa.int32()), ("path", pa.list_(pa.int32())), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("line", pa.int32()), ("col", pa.int32())])
+NODES = "doc_id string, pre int, post int, depth int, parent int, path array<int>, tag string, attrs map<string,string>, text string, line int, col int, names array<string>"
+_KINDS = pa.schema([("doc_id", pa.string()), ("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("parent", pa.int32()), ("path", pa.list_(pa.int32())), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("names", pa.list_(pa.string()))])
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -34,7 +34,7 @@ class Builder:
 
     def node(self, tag: str, attrs: dict[str, str] | None = None, text: str | None = None) -> dict:
         line, col = self.position()
-        row = {"doc_id": self.doc_id, "pre": len(self.rows) + 1, "post": 0, "depth": len(self.open), "parent": self.open[-1]["pre"] if self.open else None, "path": [x["pre"] for x in self.open], "tag": tag, "attrs": attrs or {}, "text": text, "line": line, "col": col}
+        row = {"doc_id": self.doc_id, "pre": len(self.rows) + 1, "post": 0, "depth": len(self.open), "parent": self.open[-1]["pre"] if self.open else None, "path": [x["pre"] for x in self.open], "tag": tag, "attrs": attrs or {}, "text": text, "line": line, "col": col, "names": [x["tag"] for x in self.open]}
         self.rows.append(row)
         return row
 
@@ -66,7 +66,7 @@ def parse_xml(doc_id: str, data: bytes | str | None) -> list[dict]:
     try:
         parser.Parse(data or "", True)
     except expat.ExpatError as e:
-        return [{"doc_id": doc_id, "pre": 1, "post": 1, "depth": 0, "parent": None, "path": [], "tag": "#error", "attrs": {}, "text": expat.ErrorString(e.code), "line": e.lineno, "col": e.offset}]
+        return [{"doc_id": doc_id, "pre": 1, "post": 1, "depth": 0, "parent": None, "path": [], "tag": "#error", "attrs": {}, "text": expat.ErrorString(e.code), "line": e.lineno, "col": e.offset, "names": []}]
     return b.rows
 
 
