@@ -62,46 +62,55 @@ NOTE, BETWEEN, WITHIN = "\x01", "\x02", "\x03"
 FACTS = ("in", "pair", "nth", "chosen", "first", "inner", "meter", "source")
 
 
-def test_of(condition: str) -> Column:
-    """A rule's condition as a column over attributes and facts."""
-    out = F.lit(True)
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def test_of(tag: str, condition: str) -> str:
+    """When a rule holds, as an expression over tag, attributes and facts."""
+    out = ["true"] if tag == "*" else [f"tag = {quoted(tag)}"]
     for one in condition.split():
         key, sign, value = re.fullmatch(r"([^=!~]+)(!=|=|~)(.*)", one).groups()
-        have = F.col(f"_{key[1:]}") if key.startswith("#") else attr(F.col("attrs"), key)
-        have = F.coalesce(have, F.lit(""))
-        out &= have.isin(value.split("|")) if sign == "=" else have != value if sign == "!=" else F.array_contains(F.split(have, r"\s+"), value)
-    return out
+        have = f"coalesce(_{key[1:]}, '')" if key.startswith("#") else f"coalesce(try_element_at(attrs, {quoted(key)}), '')"
+        values = ", ".join(map(quoted, value.split("|")))
+        out.append(f"{have} IN ({values})" if sign == "=" else f"{have} <> {quoted(value)}" if sign == "!=" else f"array_contains(split({have}, '\\\\s+'), {quoted(value)})")
+    return " AND ".join(out)
 
 
 def with_facts(nodes: DataFrame, symbols: DataFrame | None, prosody: DataFrame | None, sources: DataFrame | None) -> DataFrame:
     """Add the facts that conditions may ask for, and what is needed to write and to move nodes."""
     element = ~F.col("tag").startswith("#")
-    n = nodes.withColumn("_in", F.coalesce(F.try_element_at("names", F.lit(-1)), F.lit(""))).withColumn("_t", 2 * F.col("pre") - 1 - F.col("depth")).withColumn("_end", 2 * F.col("post") + F.col("depth"))
+    within = F.coalesce(F.try_element_at("names", F.lit(-1)), F.lit(""))
     all_, alike = Window.partitionBy("doc_id", "parent"), Window.partitionBy("doc_id", "parent", "tag")
     has = lambda tag: F.coalesce(F.max((F.col("tag") == tag).cast("int")).over(all_) == 1, F.lit(False))
     count = F.count_if(element).over(all_)
     others = F.count_if(element & (F.col("tag") != "unclear")).over(all_)
     choice = F.when((count == 2) & has("sic") & has("corr"), "sic+corr").when((count == 2) & has("orig") & has("reg"), "orig+reg").when((count > 0) & (others == 0), "unclear")
-    n = n.withColumn("_pair", F.when(F.col("_in") == "choice", choice).when((F.col("_in") == "subst") & has("add") & has("del"), "del+add"))
     place, total = F.row_number().over(alike.orderBy("pre")), F.count("*").over(alike)
-    n = n.withColumn("_nth", F.when(total == 1, "only").when(place == 1, "first").when(place == total, "last").otherwise("middle"))
-    n = n.withColumn("_chosen", F.when(F.col("tag").isin("add", "del") & F.col("_nth").isin("only", "first"), "yes").otherwise("no"))
-    edge = lambda tag, c: F.min(F.when((F.col("tag") == tag) & (F.col("_chosen") == "yes"), F.col(c))).over(all_)
-    first = F.struct(edge("add", "_t").alias("add"), edge("add", "_end").alias("add_end"), edge("del", "_t").alias("del"), edge("del", "_end").alias("del_end"))
-    turned = (F.col("_pair") == "del+add") & (F.col("_chosen") == "yes")
-    # an addition before its deletion changes places with it
-    n = n.withColumn("_e", first).withColumn("_shift", F.when(turned & (F.col("_e.add") < F.col("_e.del")), F.when(F.col("tag") == "del", F.col("_e.add") - F.col("_e.del")).otherwise(F.col("_e.del_end") - F.col("_e.del") + 1)).otherwise(0))
     order = Window.partitionBy("doc_id").orderBy("pre")
     child = F.struct("tag", "depth", "text", "post", "attrs")
-    n = n.withColumns({"_c1": F.lead(child, 1).over(order), "_c2": F.lead(child, 2).over(order)})
+    n = nodes.withColumns({
+        "_in": within, "_t": 2 * F.col("pre") - 1 - F.col("depth"), "_end": 2 * F.col("post") + F.col("depth"),
+        "_pair": F.when(within == "choice", choice).when((within == "subst") & has("add") & has("del"), "del+add"),
+        "_nth": F.when(total == 1, "only").when(place == 1, "first").when(place == total, "last").otherwise("middle"),
+        "_chosen": F.when(F.col("tag").isin("add", "del") & (place == 1), "yes").otherwise("no"),
+        "_c1": F.lead(child, 1).over(order), "_c2": F.lead(child, 2).over(order),
+    })
+    edge = lambda tag, c: F.min(F.when((F.col("tag") == tag) & (F.col("_chosen") == "yes"), F.col(c))).over(all_)
+    add, gone, gone_end = edge("add", "_t"), edge("del", "_t"), edge("del", "_end")
+    turned = (F.col("_pair") == "del+add") & (F.col("_chosen") == "yes") & (add < gone)
     inside = lambda c: F.coalesce(F.col(f"{c}.depth") == F.col("depth") + 1, F.lit(False))
     blank = (F.col("_c1.tag") == "#text") & ~F.col("_c1.text").rlike(r"\S")
-    n = n.withColumn("_first", F.when(element & inside("_c1"), F.when(~blank, F.col("_c1.tag")).when(inside("_c2"), F.col("_c2.tag"))))
-    n = n.withColumn("_inner", F.when(element & inside("_c1") & (F.col("_c1.tag") == "#text") & (F.col("_c1.post") == F.col("post") - 1), "text"))
-    n = n.withColumn("_said", F.when(F.col("_inner") == "text", F.col("_c1.text")))
-    n = n.withColumn("_doubtful", F.coalesce(inside("_c1") & (F.col("_c1.tag") == "certainty") & (attr(F.col("_c1.attrs"), "match") == "..") & (attr(F.col("_c1.attrs"), "locus") == "name"), F.lit(False)))
+    alone = element & inside("_c1") & (F.col("_c1.tag") == "#text") & (F.col("_c1.post") == F.col("post") - 1)
     met = attr(F.col("attrs"), "met")
-    n = n.withColumn("_pattern", F.when(is_meter(met), meter_pattern(met)))
+    n = n.withColumns({
+        # an addition before its deletion changes places with it
+        "_shift": F.when(turned, F.when(F.col("tag") == "del", add - gone).otherwise(gone_end - gone + 1)).otherwise(0),
+        "_first": F.when(element & inside("_c1"), F.when(~blank, F.col("_c1.tag")).when(inside("_c2"), F.col("_c2.tag"))),
+        "_inner": F.when(alone, "text"), "_said": F.when(alone, F.col("_c1.text")),
+        "_doubtful": F.coalesce(inside("_c1") & (F.col("_c1.tag") == "certainty") & (attr(F.col("_c1.attrs"), "match") == "..") & (attr(F.col("_c1.attrs"), "locus") == "name"), F.lit(False)),
+        "_pattern": F.when(is_meter(met), meter_pattern(met)),
+    })
     if prosody is not None:
         known = prosody.groupBy(F.col("name").alias("_met")).agg(F.min("pattern").alias("_known"))
         n = n.join(known, (F.col("tag") == "seg") & (met == F.col("_met")), "left").withColumn("_pattern", F.coalesce("_pattern", meter_pattern(F.col("_known"))))
@@ -134,24 +143,15 @@ def written(kind: Column, physical: bool) -> Column:
 def ruled(n: DataFrame, rules: Sequence[Sequence]) -> DataFrame:
     """Add each view's action, marks before and marks after: those of the first rule of each slot that holds."""
     slots = sorted({r[1] for r in rules})
-    found = {}
-    for slot in slots:
-        of = [r for r in rules if r[1] == slot]
-        index = F.lit(None).cast("int")
-        for i, (tag, _, condition, *_) in reversed(list(enumerate(of))):
-            here = test_of(condition) if tag == "*" else (F.col("tag") == tag) & test_of(condition)
-            index = F.when(here, i + 1).otherwise(index)
-        found[f"_rule{slot}"] = index
-    n, said = n.withColumns(found), {}
+    of = {slot: [r for r in rules if r[1] == slot] for slot in slots}
+    cases = {slot: " ".join(f"WHEN {test_of(r[0], r[2])} THEN {i}" for i, r in enumerate(of[slot], 1)) for slot in slots}
+    n, said = n.withColumns({f"_rule{slot}": F.expr(f"CASE {cases[slot]} END") for slot in slots}), {}
     for v, view in enumerate(VIEWS):
-        do, before, after = [], [], []
-        for slot in slots:
-            shown = [r[3 + v] for r in rules if r[1] == slot]
-            at = lambda values: F.try_element_at(F.array(*map(F.lit, values)), F.col(f"_rule{slot}"))  # noqa: E731, B023
-            do.append(F.nullif(at(["" if "|" in x else x for x in shown]), F.lit("")))
-            before.append(F.coalesce(at([x.split("|")[0] if "|" in x else "" for x in shown]), F.lit("")))
-            after.append(F.coalesce(at([x.split("|")[1] if "|" in x else "" for x in shown]), F.lit("")))
-        said |= {f"_do_{view}": F.coalesce(*do, F.lit("show")), f"_a_{view}": F.concat(*before), f"_z_{view}": F.concat(*reversed(after))}
+        at = lambda slot, part: f"coalesce(try_element_at(array({', '.join(quoted(part(r[3 + v])) for r in of[slot])}), _rule{slot}), '')"  # noqa: E731, B023
+        do = ", ".join(f"nullif({at(slot, lambda x: '' if '|' in x else x)}, '')" for slot in slots)
+        before = ", ".join(at(slot, lambda x: x.split("|")[0] if "|" in x else "") for slot in slots)
+        after = ", ".join(at(slot, lambda x: x.split("|")[1] if "|" in x else "") for slot in reversed(slots))
+        said |= {f"_do_{view}": F.expr(f"coalesce({do}, 'show')"), f"_a_{view}": F.expr(f"concat({before})"), f"_z_{view}": F.expr(f"concat({after})")}
     return n.withColumns(said)
 
 
