@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from string import Formatter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import editions, trees
+from marginalia.operators import constraints, editions, trees
 from marginalia.plans.editions import SQUEEZED, per_turn, turns
 from marginalia.plans.queries import query
 from marginalia.sources.nodes import xml_nodes
@@ -94,3 +94,27 @@ def segmented_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.concat(lit("<TEI><div><head>h</head>"), "a", lit("</div><div>first"), "b", lit("</div></TEI>"))
     nodes = xml_nodes(made.select(F.col("conv_id").cast("string").alias("doc_id"), data.alias("data")), "doc_id", "data")
     return trees.markup(trees.segment(nodes)).select("doc_id", F.md5("xml").alias("markup"))
+
+
+# what a turn holds, by (turn + conv_id) % 10, and the rules that it breaks
+BROKEN = [
+    ('<gap quantity="2"/>', "gap-unit"), ("<choice><unclear/><unclear/><unclear/><unclear/></choice>", "choice-unclear"), ('<rs type="season" key="spring"/>', "calendar-season"), ('<lg><l n="a"/><l n="b"/><l n="a"/></lg>', "verse-unique"),
+    ("<app><note/><rdg/></app>", "app-note-last app-lem app-list"), ('<p rend="stanza"/>', "stanza-translation stanza-place"), ('<span to="1 2"/>', "span-from span-single"), ('<milestone type="ref" unit="line" n="1"/>', "milestone-ref"), ("<corr/><reg/>", "in-choice in-choice"), ('<gap quantity="1" unit="line"/>', ""),
+]
+
+
+@query(f"""
+WITH r(k, rule_id) AS (VALUES {', '.join(f"({k}, '{rule}')" for k, (_, rules) in enumerate(BROKEN) for rule in rules.split())})
+SELECT conv_id::VARCHAR AS doc_id, rule_id, count(*) AS n, min(turn)::INTEGER AS first FROM conversations JOIN r ON (turn + conv_id) % 10 = k GROUP BY ALL
+""")
+def markup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each edition breaks each rule of the table, and at which turn first."""
+    rows = turns(spark, sf_dir)
+    held = F.element_at(F.array(*[lit(x) for x, _ in BROKEN]), ((F.col("turn") + F.col("conv_id")) % 10 + 1).cast("int"))
+    nodes = documents_of(rows, lit('<ab n="'), F.col("turn").cast("string"), lit('"/>'), held, before="<TEI><body>", after="</body></TEI>")
+    # a turn's mark is the last one before the element
+    marks = nodes.where("tag = 'ab'").select("doc_id", "pre", F.element_at("attrs", "n").cast("int").alias("turn"))
+    found = constraints.violations(nodes).select("doc_id", "pre", "rule_id").unionByName(marks.select("doc_id", "pre", lit(None).cast("string").alias("rule_id"))).join(marks, ["doc_id", "pre"], "left")
+    w = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    placed = found.withColumn("turn", F.last("turn", ignorenulls=True).over(w)).where("rule_id IS NOT NULL")
+    return placed.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
