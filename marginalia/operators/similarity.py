@@ -38,35 +38,52 @@ def passages(verses: DataFrame, part: str = "verse", order: str = "line", text:
     return out.withColumn("normalized", F.concat(F.lit(" "), squeeze(normalize_passage(F.col("contents"))), F.lit(" ")))
 
 
-def similar_pairs(df: DataFrame, id_col: str, grams: str, part: str, min_coeff: float = MIN_COEFF) -> DataFrame:
-    """(part, id, id2, coeff) of all pairs id < id2 in a part whose gram sets have at least this similarity.
-
-    Exact. Equal sets meet as one representative. Each set's grams are ordered
-    from rare to frequent; two sets at the threshold t share one of the first
-    n - ceil(t n) + 1, and at the first they share, what follows in either set
-    bounds what they can share. Candidates come from an equi-join of those
-    prefixes and are verified on the whole sets."""
+def similar_classes(df: DataFrame, id_col: str, grams: str, part: str, min_coeff: float = MIN_COEFF) -> tuple[DataFrame, DataFrame]:
+    """Links (part, rep, rep2, coeff) between classes of equal gram sets, and members (part, rep, id) of classes.
+
+    Exact, and copies are never paired: a class is one representative, its smallest id. Each set's
+    grams are ordered from rare to frequent; two sets at the threshold t share one of the
+    first n - ceil(t n) + 1, and at the first they share, what follows in either set bounds
+    what they can share. Candidates come from an equi-join of those prefixes, where grams are
+    numbers, and are verified on the whole sets."""
     t = min_coeff
-    sets = df.select(F.col(part).alias("_part"), F.col(id_col).alias("_id"), F.sort_array(F.array_distinct(grams)).alias("_g")).where(F.size("_g") > 0)
-    key = sets.withColumn("_h", F.sha2(F.array_join("_g", "\u0001"), 256))
-    reps = key.groupBy("_part", "_h").agg(F.min("_id").alias("_rep"), F.first("_g").alias("_g"))
-    df_of = reps.select("_part", F.explode("_g").alias("_gram")).groupBy("_part", "_gram").agg(F.count("*").alias("_n"))
-    ranked = reps.select("_part", "_rep", F.explode("_g").alias("_gram")).join(df_of, ["_part", "_gram"]).groupBy("_part", "_rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_gram"))), lambda x: x["_gram"]).alias("_o"))
-    size = F.size("_o")
-    ranked = ranked.withColumn("_size", size).withColumn("_prefix", F.slice("_o", F.lit(1), F.col("_size") - F.ceil(F.col("_size") * t - _EPSILON).cast("int") + 1))
-    tokens = ranked.select("_part", "_rep", "_size", F.posexplode("_prefix").alias("_pos", "_gram"))
-    left, right = (tokens.select("_part", "_gram", F.col("_rep").alias(f"_rep{i}"), F.col("_size").alias(f"_size{i}"), F.col("_pos").alias(f"_pos{i}")) for i in (1, 2))
+    # no more than three characters of at most 21 bits make a gram; its number keeps them apart
+    code = lambda g, i: F.coalesce(F.nullif(F.substring(g, i, 1), F.lit("")), F.lit("\0"))
+    number = lambda g: sum((F.conv(F.hex(F.encode(code(g, i), "UTF-32")), 16, 10).cast("long") * (1 << 21 * (i - 1)) for i in (1, 2, 3)), F.lit(0).cast("long"))
+    key = df.select(F.col(part).alias("_part"), F.col(id_col).alias("_id"), F.array_distinct(grams).alias("_s")).where(F.size("_s") > 0)
+    key = key.withColumn("_h", F.sha2(F.array_join(F.sort_array("_s"), "\u0001"), 256))
+    reps = key.groupBy("_part", "_h").agg(F.min("_id").alias("_rep"), F.first("_s").alias("_s"))
+    # one row for each distinct gram: strings become numbers once
+    named = reps.select("_part", F.explode("_s").alias("_gram")).groupBy("_part", "_gram").agg(F.count("*").alias("_n")).withColumn("_code", number(F.col("_gram")))
+    ranked = reps.select("_part", "_rep", F.explode("_s").alias("_gram")).join(named, ["_part", "_gram"]).groupBy("_part", "_rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_code"))), lambda x: x["_code"]).alias("_o"))
+    ranked = ranked.withColumn("_size", F.size("_o")).withColumn("_prefix", F.slice("_o", F.lit(1), F.col("_size") - F.ceil(F.col("_size") * t - _EPSILON).cast("int") + 1))
+    tokens = ranked.select("_part", "_rep", "_size", F.posexplode("_prefix").alias("_pos", "_code"))
+    left, right = (tokens.select("_part", "_code", F.col("_rep").alias(f"_rep{i}"), F.col("_size").alias(f"_size{i}"), F.col("_pos").alias(f"_pos{i}")) for i in (1, 2))
     fit = (F.least("_size1", "_size2") >= F.greatest("_size1", "_size2") * t - _EPSILON) & (F.least(F.col("_size1") - F.col("_pos1"), F.col("_size2") - F.col("_pos2")) * (1 + t) >= (F.col("_size1") + F.col("_size2")) * t - _EPSILON)
-    pairs = left.join(right, ["_part", "_gram"]).where((F.col("_rep1") < F.col("_rep2")) & fit).select("_part", "_rep1", "_rep2").distinct()
-    whole = lambda i: reps.select("_part", F.col("_rep").alias(f"_rep{i}"), F.col("_g").alias(f"_g{i}"))
-    coeff = set_jaccard(F.col("_g1"), F.col("_g2"))
-    linked = pairs.join(whole(1), ["_part", "_rep1"]).join(whole(2), ["_part", "_rep2"]).select("_part", "_rep1", "_rep2", coeff.alias("coeff")).where(F.col("coeff") >= t)
-    member = key.join(reps.select("_part", "_h", "_rep"), ["_part", "_h"]).select("_part", "_rep", "_id")
-    side = lambda i: member.select("_part", F.col("_rep").alias(f"_rep{i}"), F.col("_id").alias(f"_id{i}"))
-    across = linked.join(side(1), ["_part", "_rep1"]).join(side(2), ["_part", "_rep2"]).select("_part", "_id1", "_id2", "coeff")
-    same = side(1).join(side(2).withColumnRenamed("_rep2", "_rep1"), ["_part", "_rep1"]).where("_id1 < _id2").select("_part", "_id1", "_id2", F.lit(1.0).alias("coeff"))
+    pairs = left.join(right, ["_part", "_code"]).where((F.col("_rep1") < F.col("_rep2")) & fit).select("_part", "_rep1", "_rep2").distinct()
+    whole = lambda i: ranked.select("_part", F.col("_rep").alias(f"_rep{i}"), F.col("_o").alias(f"_g{i}"))
+    linked = pairs.join(whole(1), ["_part", "_rep1"]).join(whole(2), ["_part", "_rep2"]).select(F.col("_part").alias(part), F.col("_rep1").alias("rep"), F.col("_rep2").alias("rep2"), set_jaccard(F.col("_g1"), F.col("_g2")).alias("coeff")).where(F.col("coeff") >= t)
+    members = key.join(reps.select("_part", "_h", "_rep"), ["_part", "_h"]).select(F.col("_part").alias(part), F.col("_rep").alias("rep"), F.col("_id").alias("id"))
+    return linked, members
+
+
+def link_counts(linked: DataFrame, members: DataFrame, part: str) -> DataFrame:
+    """(part, id, rep, parallels) of all members: their class, and with how many others they are linked; no pair of copies is made."""
+    sizes = members.groupBy(part, "rep").agg(F.count("*").alias("_n"))
+    both = linked.select(part, "rep", F.col("rep2").alias("_to")).unionByName(linked.select(part, F.col("rep2").alias("rep"), F.col("rep").alias("_to")))
+    others = both.join(sizes.select(part, F.col("rep").alias("_to"), "_n"), [part, "_to"]).groupBy(part, "rep").agg(F.sum("_n").alias("_others"))
+    classes = sizes.join(others, [part, "rep"], "left").select(part, "rep", (F.col("_n") - 1 + F.coalesce("_others", F.lit(0))).alias("parallels"))
+    return members.join(classes, [part, "rep"]).select(part, "id", "rep", "parallels")
+
+
+def similar_pairs(df: DataFrame, id_col: str, grams: str, part: str, min_coeff: float = MIN_COEFF) -> DataFrame:
+    """(part, id, id2, coeff) of all pairs id < id2 in a part whose gram sets have at least this similarity: the links of ``similar_classes``, copies written out."""
+    linked, members = similar_classes(df, id_col, grams, part, min_coeff)
+    side = lambda i: members.select(part, F.col("rep").alias(f"_rep{i}"), F.col("id").alias(f"_id{i}"))
+    across = linked.withColumnsRenamed({"rep": "_rep1", "rep2": "_rep2"}).join(side(1), [part, "_rep1"]).join(side(2), [part, "_rep2"]).select(part, "_id1", "_id2", "coeff")
+    same = side(1).join(side(2).withColumnRenamed("_rep2", "_rep1"), [part, "_rep1"]).where("_id1 < _id2").select(part, "_id1", "_id2", F.lit(1.0).alias("coeff"))
     both = across.unionByName(same)
-    return both.select(F.col("_part").alias(part), F.least("_id1", "_id2").alias("id"), F.greatest("_id1", "_id2").alias("id2"), "coeff")
+    return both.select(part, F.least("_id1", "_id2").alias("id"), F.greatest("_id1", "_id2").alias("id2"), "coeff")
 
 
 def mirror(pairs: DataFrame) -> DataFrame:
@@ -83,15 +100,20 @@ def similar_to(df: DataFrame, text: str, id_col: str, grams: str, min_coeff: flo
 
 def parallel_counts(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     """All passages with the number of their parallels."""
-    counts = mirror(pairs).groupBy("id").agg(F.count("*").alias("parallels"))
+    return with_parallels(df, mirror(pairs).groupBy("id").agg(F.count("*").alias("parallels")), id_col)
+
+
+def with_parallels(df: DataFrame, counts: DataFrame, id_col: str) -> DataFrame:
+    """All passages with their number in ``counts`` (id, parallels), or 0."""
+    counts = counts.select("id", "parallels")
     return df.join(counts, df[id_col] == counts["id"], "left").drop(counts["id"]).withColumn("parallels", F.coalesce("parallels", F.lit(0)))
 
 
-def file_counts(df: DataFrame, pairs: DataFrame, id_col: str, file: str, kind: str = "kind") -> DataFrame:
-    """(file, verses, half_verses, lines) of every file: how many of its passages of each kind have parallels. Ids differ between kinds."""
+def file_counts(counted: DataFrame, file: str, kind: str = "kind") -> DataFrame:
+    """(file, verses, half_verses, lines) of every file: how many of its passages of each kind have parallels."""
     some = F.col("parallels") > 0
     counts = [F.count_if(some & (F.col(kind) == k)).alias(name) for k, name in zip(KINDS, ("verses", "half_verses", "lines"), strict=True)]
-    return parallel_counts(df, pairs, id_col).groupBy(file).agg(*counts)
+    return counted.groupBy(file).agg(*counts)
 
 
 def parallels_of(pairs: DataFrame, df: DataFrame, id_col: str, one: int) -> DataFrame:

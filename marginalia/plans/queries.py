@@ -330,6 +330,21 @@ def flat(name: str) -> list[Column]:
     return [F.col(f"{name}.part.table").alias(f"{name}_table"), F.col(f"{name}.part.key").alias(f"{name}_key"), F.col(f"{name}.first").alias(f"{name}_first")]
 
 
+def counted_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages with the number of their parallels, counted by classes of equal passages."""
+    rows = verse_passages(spoken_lines(spark, sf_dir))
+    counts = similarity.link_counts(*similarity.similar_classes(rows, "id", "grams", "kind"), "kind")
+    return similarity.with_parallels(rows.withColumnRenamed("id", "pid"), counts, "pid")
+
+
+@query()
+def passage_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage with its class of equal passages and the number of its parallels."""
+    rows = verse_passages(spoken_lines(spark, sf_dir))
+    found = similarity.link_counts(*similarity.similar_classes(rows, "id", "grams", "kind"), "kind")
+    return found.select("kind", *flat("id"), *flat("rep"), "parallels")
+
+
 @query()
 def passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parallels of at least MIN_COEFF, each kind of passage by itself."""
@@ -339,15 +354,13 @@ def passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def passage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages with the number of their parallels."""
-    rows, pairs = passage_links(spark, sf_dir)
-    return similarity.parallel_counts(rows.withColumnRenamed("id", "pid"), pairs, "pid").select("kind", *flat("pid"), "parallels")
+    return counted_passages(spark, sf_dir).select("kind", *flat("pid"), "parallels")
 
 
 @query()
 def passage_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many passages of each kind have parallels, for every conversation and item."""
-    rows, pairs = passage_links(spark, sf_dir)
-    return similarity.file_counts(rows.withColumnRenamed("id", "pid"), pairs, "pid", "part").select("part.table", "part.key", "verses", "half_verses", "lines")
+    return similarity.file_counts(counted_passages(spark, sf_dir), "part").select("part.table", "part.key", "verses", "half_verses", "lines")
 
 
 @query()
