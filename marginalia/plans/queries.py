@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import bibliography as bib
 from marginalia.functions import structured, text
-from marginalia.operators import axes, catalog, editions, rules, similarity, statistics, upserts, windows
+from marginalia.operators import axes, catalog, editions, postings, rules, similarity, statistics, upserts, windows
+from marginalia.sources import keep
 from marginalia.sources.files import carry_header_state, merge_vocabularies
 from marginalia.sources.nodes import html_nodes
-from marginalia.streaming.feeds import refresh_ticks, sessions
+from marginalia.streaming.feeds import merge_batches, read_merged, refresh_ticks, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +54,17 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page(catalog.with_total(hits.select("doc_id", "lang", "source")), ["doc_id"], 1, 50)
 
 
+@query(f"SELECT doc_id, 'ention AND src1' AS asked FROM documents WHERE contains({SQL_KEY.format('text')}, 'ention') AND contains({SQL_KEY.format('source')}, 'src1') UNION ALL SELECT doc_id, 'nement' FROM documents WHERE contains({SQL_KEY.format('text')}, 'nement') OR contains({SQL_KEY.format('source')}, 'nement')")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches through a stored index of trigrams; it is deleted once they are answered."""
+    path = keep.new_folder(spark)
+    postings.build_index(documents(spark, sf_dir), "doc_id", ["text", "source"], path)
+    ask = lambda clauses, name: postings.search_index(spark, path, "doc_id", clauses, ["text", "source"]).select("doc_id", F.lit(name).alias("asked"))
+    found = keep.kept(ask([("text", "éntion"), ("source", "SRC1")], "ention AND src1").unionByName(ask([(None, "némËnt")], "nement")))
+    keep.delete_folder(spark, path)
+    return found
+
+
 @query(f"SELECT doc_id FROM documents WHERE contains({SQL_KEY.format('text')}, 'nement') OR contains({SQL_KEY.format('source')}, 'nement')")
 def search_any_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog_search(documents(spark, sf_dir), [(None, "némËnt")], ["text", "source"]).select("doc_id")
@@ -541,6 +553,49 @@ def feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.merge_feed(target, events.where("version % 2 = 1"), events.where("key % 10 = 3"), 50)
 
 
+def thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the third of the time between the first and the last that they fall into."""
+    events = table(spark, sf_dir, "events")
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    span = events.agg(F.min(at(F.col("ts"))).alias("_a"), F.max(at(F.col("ts"))).alias("_z"))
+    return events.join(F.broadcast(span), F.lit(True)).withColumn("third", F.least(F.lit(2), F.expr("(unix_micros(cast(ts AS timestamp)) - _a) * 3 DIV greatest(_z - _a, 1)")).cast("int")).drop("_a", "_z")
+
+
+SQL_THIRDS = "t AS (SELECT *, least(2, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 3 // greatest(max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER (), 1))::INTEGER AS third FROM events)"
+
+
+@query(f"""
+WITH {SQL_THIRDS}, a AS (SELECT user_id AS name, max(event_id) AS m FROM t WHERE third < 2 GROUP BY 1), b AS (SELECT user_id AS name, max(event_id) AS m FROM t WHERE third > 0 GROUP BY 1)
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'inserted' WHEN b.name IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM a FULL JOIN b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR b.m > a.m
+""")
+def changes_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the first two thirds of the time against those of the last two: every event is in one of the states at least."""
+    rows = thirds(spark, sf_dir).select(F.col("user_id").alias("name"), "event_id", "third")
+    latest = lambda df: df.groupBy("name").agg(F.max("event_id").alias("mtime"))
+    return upserts.changes(latest(rows.where("third < 2")), latest(rows.where("third > 0")))
+
+
+@query(f"""
+WITH {SQL_THIRDS}, v AS (SELECT user_id AS key, event_id AS version, event_type, third, event_type = 'error' AND value < 10 AS deleted FROM t),
+a AS (SELECT key, max(version) AS version FROM v WHERE third = 0 AND NOT deleted GROUP BY key), a1 AS (SELECT * FROM a WHERE key NOT IN (SELECT key FROM v WHERE third = 0 AND deleted)),
+m1 AS (SELECT greatest(0, max(version)) AS m FROM v WHERE third = 0),
+b AS (SELECT key, max(version) AS version FROM (SELECT * FROM a1 UNION ALL SELECT key, version FROM v, m1 WHERE third = 1 AND NOT deleted AND version > m) GROUP BY key), b1 AS (SELECT * FROM b WHERE key NOT IN (SELECT key FROM v WHERE third = 1 AND deleted)),
+m2 AS (SELECT greatest(m, (SELECT max(version) FROM v WHERE third = 1)) AS m FROM m1),
+c AS (SELECT key, max(version) AS version FROM (SELECT * FROM b1 UNION ALL SELECT key, version FROM v, m2 WHERE third = 2 AND NOT deleted AND version > m) GROUP BY key), c1 AS (SELECT * FROM c WHERE key NOT IN (SELECT key FROM v WHERE third = 2 AND deleted))
+SELECT c1.key, c1.version, v.event_type FROM c1 JOIN v ON v.version = c1.version
+""")
+def merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of versions and tombstones, one a third of the time, merged into a bucketed table."""
+    path = keep.new_folder(spark)
+    rows = thirds(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), ((F.col("event_type") == "error") & (F.col("value") < 10)).alias("deleted"), "event_type", "third")
+    handle = merge_batches(path, 8)
+    for third in range(3):
+        handle(rows.where(F.col("third") == third).drop("third"), third)
+    found = keep.kept(read_merged(spark, path, "key long, version long, event_type string"))
+    keep.delete_folder(spark, path)
+    return found
+
+
 @query("SELECT date_trunc('hour', ts) AS start, count(*) AS notices FROM events GROUP BY 1")
 def hourly_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh_ticks(table(spark, sf_dir, "events"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import axes, catalog, editions, rules, similarity, statistics, upserts, windows
 from marginalia.sources import files
 from marginalia.sources.nodes import html_nodes, parse_failures, xml_nodes
-from marginalia.streaming.feeds import merge_batches, refresh_ticks
+from marginalia.streaming.feeds import merge_batches, read_merged, refresh_ticks
 
 TEI = """<TEI xmlns="http://x"><teiHeader><title>One</title><author>A</author></teiHeader><text><body>
 <div type="edition" lang="san-Latn"><p n="1">ka<lb n="1"/>ra <choice><sic>bad</sic><corr>good</corr></choice> <supplied>lost</supplied><note>n</note></p>
@@ -180,7 +180,7 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = stream.writeStream.foreachBatch(merge_batches(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert [(r.key, r.version) for r in spark.read.parquet(str(tmp_path / "out/table-0")).collect()] == [("a", 3)]
+    assert [(r.key, r.version) for r in read_merged(spark, str(tmp_path / "out"), "key string, version int").collect()] == [("a", 3)]
     events = spark.createDataFrame([("2024-01-01 00:10:00",), ("2024-01-01 00:50:00",), ("2024-01-01 02:00:00",)], "t string").select(F.to_timestamp("t").alias("ts"))
     assert sorted(r.notices for r in refresh_ticks(events).collect()) == [1, 2]
 
