@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +75,17 @@ def stamp(state: DataFrame, batch_id: int, now: F.Column | None = None) -> DataF
     at = (now if now is not None else F.unix_timestamp(F.current_timestamp())).cast("string")
     news = spark.range(1).select(F.explode(F.array(F.struct(F.lit("last_updated").alias("key"), at.alias("value")), F.struct(F.lit("last_batch").alias("key"), F.lit(str(batch_id)).alias("value")))).alias("x")).select("x.*")
     return upsert(state, news, "key")
+
+
+def rebuild_changed(files: DataFrame, stored: DataFrame, parse: Callable[[DataFrame], DataFrame], record: Callable[[DataFrame], DataFrame], rules: str) -> DataFrame:
+    """Derived rows (name, input_hash, rules, …) of all files (name, data), computing only those that are not stored already.
+
+    A stored row counts if its input's hash and the ``rules`` it was made by are what they are now; rows of
+    files that are gone go. ``parse`` makes nodes of files, ``record`` records by doc_id of nodes; what does not
+    parse has a row of nulls, so that it is not tried again."""
+    now = files.select("name", "data", F.sha2(F.coalesce(F.col("data").cast("binary"), F.lit(b"")), 256).alias("input_hash"))
+    valid = stored.where(F.col("rules") == rules).join(now.select("name", "input_hash"), ["name", "input_hash"], "left_semi")
+    todo = now.join(valid.select("name"), "name", "left_anti")
+    made = record(parse(todo.select("name", "data"))).withColumnRenamed("doc_id", "name")
+    fresh = todo.select("name", "input_hash").join(made, "name", "left").withColumn("rules", F.lit(rules))
+    return valid.select(*stored.columns).unionByName(fresh.select(*stored.columns))

@@ -7,9 +7,10 @@ from string import Formatter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import constraints, editions, trees
-from marginalia.plans.editions import SQUEEZED, per_turn, turns
-from marginalia.plans.queries import query
+from marginalia.operators import catalog, constraints, editions, trees, upserts
+from marginalia.plans.editions import SQUEEZED, edition_texts, per_turn, turns
+from marginalia.plans.queries import query, table
+from marginalia.sources import keep, prosody
 from marginalia.sources.nodes import xml_nodes
 
 lit = F.lit
@@ -118,3 +119,49 @@ def markup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     placed = found.withColumn("turn", F.last("turn", ignorenulls=True).over(w)).where("rule_id IS NOT NULL")
     return placed.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+
+
+# nested records and derived rows
+
+
+@query("""
+WITH p AS (SELECT *, string_split(p_name, ' ') AS names, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS entry_id FROM part)
+SELECT p_brand AS brand, entry_id, unnest(names) AS name, p_type AS class, p_size::VARCHAR AS syllables, repeat('⏑–', p_size % 4 + 1) AS pattern, CASE WHEN p_size % 2 = 0 THEN 'Ann ' || p_brand ELSE 'Nobody Known' END AS author, '*†' AS symbols, p_type || '|' || p_size AS ref_notes FROM p
+""")
+def prosody_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as items of lists of metres, written as XML files, a list for each brand, and read back as nested records."""
+    rows, c = table(spark, sf_dir, "part"), F.col
+    size = c("p_size").cast("string")
+    names = F.array_join(F.transform(F.split("p_name", " "), lambda x: F.concat(lit('<name xml:lang="san-Latn">'), x, lit("</name>"))), "")
+    known = F.when(c("p_size") % 2 == 0, F.concat(lit("part:"), F.replace("p_brand", lit("#"), lit("-")))).otherwise("part:stranger")
+    item = F.concat(lit('<item><measure unit="syllable">'), size, lit('</measure><label type="generic" xml:lang="eng">'), "p_type", lit("</label>"), names, lit('<seg type="prosody">'), F.repeat(lit("-+"), c("p_size") % 4 + 1), lit('</seg><seg type="gana">no data available</seg><note resp="'), known, lit('">seen</note>'), lit('<listBibl><bibl><ptr target="bib:K"/><citedRange unit="verse">'), size, lit("</citedRange><note>"), "p_type", lit("</note></bibl><bibl><ptr target=\"bib:L\"/><note>"), size, lit("</note></bibl></listBibl></item>"))
+    lists = rows.groupBy("p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("x")))), lambda r: r["x"]), "").alias("x"))
+    path = keep.new_folder(spark)
+    # one line a list: an XML document each
+    lists.select(F.concat(lit("<TEI><text><list><head>"), "p_brand", lit("</head>"), "x", lit("</list></text></TEI>"))).write.text(path)
+    read = spark.read.text(path).select(F.regexp_extract("value", "<head>([^<]*)", 1).alias("brand"), "value")
+    langs = spark.createDataFrame([("san", "sanskrit", "Sanskrit"), ("eng", "english", "English")], "code string, id string, name string")
+    people = rows.select(F.replace("p_brand", lit("#"), lit("-")).alias("person_id"), F.array(lit("Ann"), "p_brand").alias("name")).unionByName(spark.createDataFrame([("nobody", ["Nobody", "Known"])], "person_id string, name array<string>"))
+    items = keep.kept(prosody.prosody_items(xml_nodes(read, "brand", "value"), langs, people, "nobody"))
+    keep.delete_folder(spark, path)
+    index = prosody.prosody_index(items).select("doc_id", "entry_id", "name", "pattern")
+    whole = items.select("doc_id", "entry_id", F.col("class.text").alias("class"), "syllables", F.col("notes")[0]["authors"][0]["name"].alias("author"), F.array_join(F.transform("refs", lambda x: x["symbols"]), "").alias("symbols"), F.array_join(F.transform("ref_notes", lambda x: x["text"]), "|").alias("ref_notes"))
+    return index.join(whole, ["doc_id", "entry_id"]).select(F.col("doc_id").alias("brand"), F.col("entry_id").cast("long").alias("entry_id"), "name", "class", "syllables", "pattern", "author", "symbols", "ref_notes")
+
+
+@query("""
+WITH n AS (SELECT conv_id, count(*) AS n, min_by(role, turn) = 'system' AS changed FROM conversations GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS name, 'Talk ' || conv_id || CASE WHEN changed THEN ' anew' ELSE '' END AS title, n::INTEGER AS authors, CASE WHEN changed THEN 2 ELSE 1 END AS build FROM n
+""")
+def rebuilt_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of editions, built, and built again after those that a system opens have changed: each with the build that computed it last."""
+    files = edition_texts(spark, sf_dir).select(F.col("doc_id").alias("name"), "data")
+    changed = files.withColumn("data", F.when(F.col("data").contains('resp="part:system"'), F.regexp_replace("data", "(<title>[^<]*)", "$1 anew")).otherwise(F.col("data")))
+    parse = lambda df: xml_nodes(df, "name", "data").where("tag <> '#error'")
+
+    def build(files: DataFrame, stored: DataFrame, n: int) -> DataFrame:
+        record = lambda nodes: catalog.document_record(nodes).select("doc_id", "title", F.size("authors").alias("authors"), lit(n).alias("build"))
+        return keep.kept(upserts.rebuild_changed(files, stored, parse, record, "one"))
+
+    none = spark.createDataFrame([], "name string, input_hash string, rules string, title string, authors int, build int")
+    return build(changed, build(files, none, 1), 2).select("name", "title", "authors", "build")
