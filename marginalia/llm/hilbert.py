@@ -7,9 +7,9 @@ and maximum of every dimension span few cells and files can be skipped on any of
 them. The law is ``rows``: counts of shards differ by one at most.
 Ranks come from counts, not from a total sort in one task: rows are counted by
 (curve index, salt), the counts' running sums give every group's first rank, and
-only rows of one group are numbered together. The salt is made of the text's digest
-first and of the id second: equal texts of one cell are neighbours, and however many
-they are no group holds them all. Identical rows are interchangeable, ties are by id.
+only rows of one group are numbered together. Equal texts share the index of their smallest
+id, and the salt is made of the text's digest first and of the id second: they are
+neighbours, and however many they are no group holds them all. Identical rows are interchangeable, ties are by id.
 A null dimension counts as its smallest value; a null text has no bytes and the
 digest of the empty text. An empty table gives an empty table. A text of any length
 is only measured and digested. Columns beside doc_id, text, lang and source may have
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import settled
+from marginalia.llm.shared import NULL_ID, settled
 
 #: Bits a dimension; the curve over d dimensions has 2**(BITS * d) indexes.
 BITS = 4
@@ -32,6 +32,8 @@ SALTS = 256
 #: Salts by digest and, for each, by id, where equal texts should be neighbours.
 TEXT_SALTS, ID_SALTS = 64, 256
 QUANTILE_ACCURACY = 2000
+#: Groups of equal texts (some 40 bytes each) up to which their table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def hilbert_index(point: Sequence[int], bits: int) -> int:
@@ -124,6 +126,16 @@ def with_rank(df: DataFrame, cell_col: str, salt_col: str, order: Sequence[Colum
     return joined.withColumn(name, F.col("_first") + F.col("_i")).drop("_c", "_s", "_first", "_i"), total
 
 
+def together(placed: DataFrame) -> DataFrame:
+    """Rows of equal texts (by digest and size) take the curve index of the one with the smallest id, whatever their own dimensions."""
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "curve"))
+    groups = placed.groupBy(F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")).agg(F.count("*").alias("_n"), first.alias("_first"))
+    groups = settled(groups.where("_n > 1").select("_crc", "_size", F.col("_first.curve").alias("_own")))
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+    joined = placed.join(groups, (F.col("text_crc32") == F.col("_crc")) & (F.col("size") == F.col("_size")), "left")
+    return joined.withColumn("curve", F.coalesce("_own", "curve")).drop("_crc", "_size", "_own")
+
+
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve) of every row; dimensions: lang, source, size."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -131,7 +143,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), word("lang").alias("_lang"), word("source").alias("_source"))
     placed = with_curve(rows, {"_lang": F.col("_lang"), "_source": F.col("_source"), "size": F.col("size")})
     salt = F.pmod(F.xxhash64("text_crc32"), F.lit(TEXT_SALTS)) * ID_SALTS + F.pmod(F.xxhash64("doc_id"), F.lit(ID_SALTS))
-    placed = placed.select("doc_id", "size", "text_crc32", "curve", salt.cast("int").alias("_salt"))
+    placed = together(settled(placed.select("doc_id", "size", "text_crc32", "curve", salt.cast("int").alias("_salt"))))
     ranked, total = with_rank(placed, "curve", "_salt", [F.col("text_crc32"), F.col("doc_id")])
     # the first `total % shards` shards hold one row more
     small, more = divmod(total, shards)
