@@ -20,7 +20,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -90,38 +90,80 @@ def detect(text: str) -> dict[str, list[Span]]:
 # Characters of other scripts that look like the ASCII letter or digit below them.
 _LOOKS = "АВЕКМНОРСТХУаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονɡⅼ"
 _LIKE_ = "ABEKMHOPCTXYaeopcyxijsdhqwABEZHIKMNOPTYXovgl"
-# Words for the digits.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Words for the digits, in English, French, German and Spanish; a digit may have several.
+_DIGIT_NAMES = {
+    "0": "zero oh zéro null cero", "1": "one un une eins ein uno", "2": "two deux zwei zwo dos", "3": "three trois drei tres", "4": "four quatre vier cuatro",
+    "5": "five cinq fünf fuenf cinco", "6": "six sechs seis", "7": "seven sept sieben siete", "8": "eight huit acht ocho", "9": "nine neuf neun nueve",
+}
+DIGIT_WORDS = {word: digit for digit, words in _DIGIT_NAMES.items() for word in words.split()}
+# Words for @ and for the dot in the same languages.
+_AT_WORDS, _DOT_WORDS = "at|arobase|arobas|arroba|ät", "dot|point|punkt|punto"
 _ZERO_WIDTH = "­​‌‍⁠﻿"
 # Signs that stand for + - . @ and space.
 _SIGNS = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", " ": " ", " ": " ", " ": " "}
 _CHARS = dict(zip(_LOOKS, _LIKE_, strict=True)) | _SIGNS | dict.fromkeys(_ZERO_WIDTH, "")
-for _c in [*range(0xFF01, 0xFF5F), *range(0x2460, 0x2469), *range(0x0660, 0x066A), *range(0x1D7CE, 0x1D800)]:
+# compatibility forms of single ASCII characters: full width, mathematical, letter-like, circled, super- and subscript; digits of other scripts
+for _c in [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0x2100, 0x2150), *range(0x2460, 0x2469), *range(0x24B6, 0x24EA), *range(0x2070, 0x209D), *range(0x0660, 0x066A), *range(0x06F0, 0x06FA), *range(0x0966, 0x0970)]:
     _plain = unicodedata.normalize("NFKC", chr(_c))
-    _CHARS[chr(_c)] = str(unicodedata.digit(chr(_c))) if not _plain.isascii() else _plain
-_ODD = re.compile("[" + re.escape("".join(_CHARS)) + "]")
+    if len(_plain) == 1 and _plain.isascii() and _plain.isprintable():
+        _CHARS.setdefault(chr(_c), _plain)
+    elif (_digit := unicodedata.digit(chr(_c), None)) is not None:
+        _CHARS.setdefault(chr(_c), str(_digit))
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """Characters as ranges inside brackets of a regular expression: single ones above U+FFFF would be tried one by one."""
+    codes = sorted(map(ord, chars))
+    runs = [(c, c) for c in codes[:1]]
+    for c in codes[1:]:
+        runs = [*runs[:-1], (runs[-1][0], c)] if c == runs[-1][1] + 1 else [*runs, (c, c)]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+_ODD = re.compile(f"[{_ranges(_CHARS)}]")
 
 _OPEN, _SHUT = r"[\[({<]\s*+", r"\s*+[\])}>]"
 # white space before a bracket is entered at its start only
 _BEFORE = r"(?<!\s)\s*+"
 # a number word as a word of its own: a set of first letters lets the search skip quickly
-_NUMBER = "[" + "".join(sorted({w[0] + w[0].upper() for w in DIGIT_WORDS})) + "](?<![A-Za-z0-9].)(?:" + "|".join(f"(?<=[{w[0]}{w[0].upper()}])(?i:{w[1:]})" for w in DIGIT_WORDS) + ")(?![A-Za-z0-9])"
+_NUMBER = "[" + "".join(sorted({w[0] + w[0].upper() for w in DIGIT_WORDS})) + "](?<![A-Za-z0-9].)(?:" + "|".join(f"(?<=[{w[0]}{w[0].upper()}])(?i:{w[1:]})" for w in DIGIT_WORDS) + r")(?![^\W_])"
 _NUMBER_WORD = re.compile(_NUMBER, re.S)
 _DIGIT = frozenset("0123456789")
 #: What may stand between two items of a spelled run; the detectors read the first three.
 _GAP = re.compile(r"[\x20.-]|[\x20,.-]{2}|,")
-_AT = re.compile(rf"(?i:{_BEFORE}{_OPEN}(?:at|@){_SHUT}\s*+|(?<=[A-Za-z0-9._%+-])\x20at\x20(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9]))")
-_DOT_FORM = rf"(?i:{_BEFORE}{_OPEN}(?:dot|\.){_SHUT}\s*+|\x20dot\x20)"
+_AT = re.compile(rf"(?i:{_BEFORE}{_OPEN}(?:{_AT_WORDS}|@){_SHUT}\s*+|(?<=[A-Za-z0-9._%+-])(?P<a>[\x20_-])(?:{_AT_WORDS})(?P=a)(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\x20@\x20(?=[A-Za-z0-9]))")
+_DOT_FORM = rf"(?i:{_BEFORE}{_OPEN}(?:{_DOT_WORDS}|\.){_SHUT}\s*+|\x20(?:{_DOT_WORDS})\x20|_(?:{_DOT_WORDS})_|-(?:{_DOT_WORDS})-)"
 _DOT = re.compile(_DOT_FORM)
 #: A domain whose dots are partly words or in brackets.
-_SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT_FORM})[A-Za-z0-9-]++)++")
+_SPELLED_DOMAIN = re.compile(rf"(?:(?!{_DOT_FORM})[A-Za-z0-9-])++(?:(?:\.|{_DOT_FORM})(?:(?!{_DOT_FORM})[A-Za-z0-9-])++)++")
 #: Words and signs of addresses that dots connect; it is entered at its start only.
-_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+@-]++(?:{_DOT_FORM}[A-Za-z0-9._%+@-]++)++")
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+@-])(?:(?!{_DOT_FORM})[A-Za-z0-9._%+@-])++(?:{_DOT_FORM}(?:(?!{_DOT_FORM})[A-Za-z0-9._%+@-])++)++")
+# Longer endings of domains; those of two to four letters need no list.
+_ENDINGS = frozenset("local museum online travel example invalid localhost cloud agency academy digital email network global group media design studio world store support science solutions services systems technology university".split())
 # Words that go on in a sentence after " dot "; none is a top-level domain.
 _NO_ENDING = frozenset("the and that this these those with from was were are not but then than they she his her its our their there who when where what which had has have into some any".split())
-#: What a text must hold for any transducer to change it in a way that can matter: a bracketed or bare
-#: at or dot, or a number word with a digit, a plus sign or another number word beside it.
-_TRIGGERS = [re.compile(rf"{_OPEN}(?i:at|dot|@|\.){_SHUT}"), re.compile(r"\x20(?:@|[Dd][Oo][Tt])\x20"), re.compile(rf"{_NUMBER}[\x20().,-]++(?:[0-9]|{_NUMBER})", re.S), re.compile(rf"[0-9+][\x20().,-]*+{_NUMBER}", re.S)]
+_BRACKETED = re.compile(rf"{_OPEN}(?i:{_AT_WORDS}|{_DOT_WORDS}|@|\.){_SHUT}")
+_BARE_AT = re.compile(r"[A-Za-z0-9]\x20@\x20[A-Za-z0-9]")
+#: Words of a text are runs of letters, digits and bytes above ASCII.
+_SPLIT = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_NUMBERS, _DOTS, _ATS = ({w.encode() for w in words} for words in (DIGIT_WORDS, _DOT_WORDS.split("|"), _AT_WORDS.split("|")))
+
+
+def _may_matter(text: str) -> bool:
+    """Whether any transducer can change a text in a way that matters: a bracketed or bare at or dot that may part an
+    address, or a number word with a digit, a plus sign or another number word beside it. Never false where one can."""
+    if _BRACKETED.search(text) or _BARE_AT.search(text):
+        return True
+    words = text.lower().encode("utf-8", "replace").translate(_SPLIT).split()
+    known = set(words)
+    dots, numbers = known & _DOTS, known & _NUMBERS
+    if dots and ("@" in text or known & _ATS) or numbers and "+" in text:
+        return True
+    if not dots and not numbers:
+        return False
+    number = lambda w: w in _NUMBERS or 48 <= w[0] <= 57 or 48 <= w[-1] <= 57
+    padded = [b"x", *words, b"x"]
+    return any((w in _NUMBERS and (number(padded[i]) or number(padded[i + 2]))) or (w in _DOTS and number(padded[i]) and number(padded[i + 2])) for i, w in enumerate(words) if w in dots or w in numbers)
 
 
 class Traced:
@@ -194,20 +236,34 @@ def _addressed(text: str, at: int) -> bool:
     labels = _DOT.sub(".", m[0]).split(".")
     while labels and labels[-1].lower() in _NO_ENDING:
         labels.pop()
-    return len(labels) > 1 and (len(labels[-1]) > 1 and labels[-1].isalpha() or labels[-1].lower().startswith("xn--"))
+    return len(labels) > 1 and _is_ending(labels[-1])
+
+
+def _is_ending(label: str) -> bool:
+    """Whether a domain may end so where only words say that it is one."""
+    label = label.lower()
+    return label not in _NO_ENDING and (1 < len(label) < 5 and label.isalpha() or label in _ENDINGS or label.startswith("xn--"))
+
+
+_ADDRESS_BEFORE = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
 
 
 def undo_at_dot(t: Traced) -> None:
     """at/dot disguises. A bare `` at `` counts only before a domain with a disguised dot, a bare `` dot ``
     in a chain of words with an ``@`` or between digits."""
-    t.replace([(m.start(), m.end(), "@") for m in _AT.finditer(t.text) if not m[0].strip().isalpha() or _addressed(t.text, m.end())])
+    t.replace([(m.start(), m.end(), "@") for m in _AT.finditer(t.text) if not m[0].strip(" _-").isalpha() or _addressed(t.text, m.end())])
     linked = [m.span() for m in _CHAIN.finditer(t.text) if "@" in m[0]]
     edits, k = [], 0
     for m in _DOT.finditer(t.text):
         a, b = m.span()
         while k < len(linked) and linked[k][1] < b:
             k += 1
-        if not m[0].strip().isalpha() or k < len(linked) and linked[k][0] < a or t.text[a - 1 : a] in _DIGIT and t.text[b : b + 1] in _DIGIT:
+        bare = m[0].strip(" _-").isalpha()
+        # behind an address that is whole a bare word needs an ending to go on
+        if bare and _ADDRESS_BEFORE.search(t.text, max(0, t.text.rfind("@", 0, a)), a) and not ((x := _LABEL.match(t.text, b)) and _is_ending(x[0])):
+            continue
+        if not bare or k < len(linked) and linked[k][0] < a or t.text[a - 1 : a] in _DIGIT and t.text[b : b + 1] in _DIGIT:
             edits.append((a, b, "."))
     t.replace(edits)
 
@@ -221,7 +277,7 @@ def inside(span: Span, others: list[Span]) -> bool:
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the normalised text shows."""
     odd = not text.isascii() and _ODD.search(text) is not None
-    if not odd and not any(x.search(text) for x in _TRIGGERS):
+    if not odd and not _may_matter(text):
         return {k: [] for k in KINDS}
     t = Traced(text)
     if odd:
