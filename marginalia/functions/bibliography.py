@@ -7,10 +7,13 @@ fields of its type; all texts may be null.
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import nfc, sentence_case, squeeze
+from marginalia.functions.text import batched, sentence_case, squeeze
 
 ANONYMOUS = "Anonymous"
 CREATOR = "struct<creatorType:string,firstName:string,lastName:string,name:string>"
@@ -41,10 +44,13 @@ def extra_field(extra: Column, name: str) -> Column:
     return F.nullif(F.btrim(F.regexp_extract(F.coalesce(extra, F.lit("")), rf"(?im)^\s*{name}\s*:\s*(.*?)\s*$", 1)), F.lit(""))
 
 
+def _unescaped(s: str) -> str:
+    return unicodedata.normalize("NFC", html.unescape(s.replace("&nbsp;", " ")))
+
+
 def unescape(c: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Composed text without character references, named or numbered; a hard space is a space."""
+    return batched(_unescaped)(c)
 
 
 def fix_record(df: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def fix_record(df: DataFrame) -> DataFrame:
     out = df
     for field in df.dtypes:
         if field[1] == "string" and field[0] not in ("key", "extra"):
-            out = out.withColumn(field[0], nfc(unescape(F.col(field[0]))))
+            out = out.withColumn(field[0], unescape(F.col(field[0])))
     blank = lambda c, *words: F.when(F.lower(F.btrim(c)).isin(*words), F.lit(None)).otherwise(F.col(c))
     if "pages" in df.columns:
         out = out.withColumn("pages", F.replace("pages", F.lit("–"), F.lit("-")))

@@ -23,7 +23,7 @@ def _fold(s: str) -> str:
     return unicodedata.normalize("NFC", s.replace("œ", "oe").replace("æ", "ae").replace("đ", "d").strip())
 
 
-def _batched(f: Callable[[str], str]) -> Callable[[Column], Column]:
+def batched(f: Callable[[str], str]) -> Callable[[Column], Column]:
     """A text function as an Arrow-batched column function, made when it is first used in a session."""
 
 
@@ -40,12 +40,12 @@ def _compose(s: str) -> str:
 
 def nfc(c: Column) -> Column:
     """Canonical composition."""
-    return _batched(_compose)(c)
+    return batched(_compose)(c)
 
 
 def normalize_text(c: Column) -> Column:
     """The search form of a text: no accents, case-folded, œ æ đ opened; null is empty."""
-    return _batched(_fold)(F.coalesce(c, F.lit("")))
+    return batched(_fold)(F.coalesce(c, F.lit("")))
 
 
 def normalize_list(c: Column) -> Column:
@@ -81,7 +81,7 @@ def _fold_each(s: str) -> str:
 
 def fold_chars(c: Column) -> Column:
     """Case folding of each character by itself, œ æ đ opened; accents stay."""
-    return _batched(_fold_each)(c)
+    return batched(_fold_each)(c)
 
 
 def squeeze(c: Column) -> Column:
@@ -151,7 +151,7 @@ def _names(s: str) -> str:
 
 def character_names(c: Column) -> Column:
     """Names of a cluster's code points, or their numbers."""
-    return _batched(_names)(c)
+    return batched(_names)(c)
 
 
 def sentence_case(c: Column) -> Column:
@@ -253,8 +253,10 @@ def absolute_link(c: Column, base: Column) -> Column:
     return F.when(c.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), c).when(c.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), c)).when(c.startswith("/"), F.concat(root, c)).otherwise(F.concat(folder, F.lit("/"), c))
 
 
-def rewrite_ref(c: Column, own_hosts: Sequence[str], prefix: str = "") -> Column:
-    """A reference as used inside the corpus: own host, prefix and file extension removed; foreign URLs unchanged."""
+def rewrite_ref(c: Column, own_hosts: Sequence[str] | Column, prefix: str = "") -> Column:
+    """A reference as used inside the corpus: own host, prefix and file extension removed; foreign URLs unchanged.
+
+    ``own_hosts`` are the hosts, or a column that says whether the reference's is one."""
     host = F.regexp_extract(c, r"^https?://([^/?#]+)", 1)
     inner = F.regexp_replace(c, r"^https?://[^/?#]+", "")
     inner = F.when(inner.startswith("/"), inner).otherwise(F.concat(F.lit("/"), inner))
@@ -262,7 +264,7 @@ def rewrite_ref(c: Column, own_hosts: Sequence[str], prefix: str = "") -> Column
         inner = F.when(inner.startswith(f"/{prefix}"), F.substring(inner, F.lit(len(prefix) + 2), F.length(inner))).otherwise(inner)
         inner = F.when(inner.startswith("/"), inner).otherwise(F.concat(F.lit("/"), inner))
     inner = F.regexp_replace(inner, r"\.(?:xml|html?)(?=$|[?#])", "")
-    return F.when((host == "") | host.isin(list(own_hosts)), inner).otherwise(c)
+    return F.when((host == "") | (own_hosts if isinstance(own_hosts, Column) else host.isin(list(own_hosts))), inner).otherwise(c)
 
 
 def gap_text(reason: Column, quantity: Column, unit: Column, precision: Column, physical: bool = False, doubtful: Column | None = None) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import to_boolean
+
 
 def number_in_order(df: DataFrame, part: str, order: str, name: str = "n") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(part).orderBy(order)))
@@ -47,6 +49,28 @@ def run_all(df: DataFrame, part: str, order: str, run: str, flag: str) -> DataFr
     return out.withColumn(flag, F.col("_all") | (F.col(run) == first)).drop("_all")
 
 
+def milestone_breaks(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, tag, break): whether each page, line or cell begins between words.
+
+    Milestones of falling rank with nothing but blanks between belong together, and all break a
+    word if one of them says so. The first ones of a document stand between words if no text comes before
+    them, and the last ones if none follows."""
+    rank = F.when(F.col("tag") == "pb", 0).when(F.col("tag") == "lb", 1).when(F.col("tag") == "milestone", 2)
+    blank = (F.col("tag") == "#text") & ~F.col("text").rlike(r"\S")
+    solid = nodes.where(~blank & ~F.col("tag").isin("#comment", "#instruction")).withColumn("_rank", rank)
+    order = Window.partitionBy("doc_id").orderBy("pre")
+    text = (F.col("tag") == "#text").cast("int")
+    before, all_ = F.sum(text).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum(text).over(Window.partitionBy("doc_id"))
+    placed = solid.withColumns({"_last": F.lag("_rank").over(order), "_before": before, "_after": all_ - before})
+    new = F.col("_rank").isNotNull() & (F.col("_last").isNull() | (F.col("_rank") <= F.col("_last")))
+    placed = placed.withColumn("_run", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_rank IS NOT NULL")
+    own = F.coalesce(to_boolean(F.coalesce(F.try_element_at("attrs", F.lit("break")), F.lit("")), True), F.lit(True))
+    run, whole = Window.partitionBy("doc_id", "_run"), Window.partitionBy("doc_id")
+    alike = F.min(own.cast("int")).over(run) == 1
+    edge = ((F.col("_run") == F.min("_run").over(whole)) & (F.col("_before") == 0)) | ((F.col("_run") == F.max("_run").over(whole)) & (F.col("_after") == 0))
+    return placed.select("doc_id", "pre", "tag", (alike | edge).alias("break"))
+
+
 def break_from_previous(df: DataFrame, part: str | Sequence[str], order: str, flag: str = "enjamb", name: str = "break") -> DataFrame:
     """Whether a line begins a word: not if the line before, in the same group, runs on."""
     w = Window.partitionBy(*([part] if isinstance(part, str) else part)).orderBy(order)

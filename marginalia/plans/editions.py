@@ -66,7 +66,7 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person_id, name): the roles but one as people with two names."""
-    return turns(spark, sf_dir).where("role <> 'system'").select(F.col("role").alias("person_id"), F.array(F.initcap("role"), F.lit("Speaker")).alias("name")).distinct()
+    return spark.createDataFrame([(role, [role.capitalize(), "Speaker"]) for role in ("user", "assistant")], "person_id string, name array<string>")
 
 
 C = "SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id) AS n, lag(right(text, 1) <> '.') OVER (PARTITION BY conv_id ORDER BY turn) AS runs_on FROM conversations"
@@ -189,8 +189,8 @@ def nearest_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    langs = turns(spark, sf_dir).select(F.explode(F.array(F.struct(F.lit("san_other").alias("code"), F.lit("sanskrit").alias("id"), F.lit(True).alias("source")), F.struct(F.lit("eng").alias("code"), F.lit("english").alias("id"), F.lit(False).alias("source")))).alias("x")).select("x.*").distinct()
-    scripts = turns(spark, sf_dir).select(F.lit("grantha").alias("code"), F.lit("grantha").alias("id"), F.lit(True).alias("source")).distinct()
+    langs = spark.createDataFrame([("san_other", "sanskrit", True), ("eng", "english", False)], "code string, id string, source boolean")
+    scripts = spark.createDataFrame([("grantha", "grantha", True)], "code string, id string, source boolean")
     return langs, scripts
 
 
@@ -205,7 +205,7 @@ def bubbled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paragraph whose parts all are in one language takes it; its heading does not count."""
     docs = turns(spark, sf_dir).groupBy("conv_id").agg(per_turn(F.lit('<seg lang="fra">'), F.col("xml"), F.lit("</seg>")).alias("x"))
     nodes = xml_nodes(docs.select(F.col("conv_id").cast("string").alias("doc_id"), F.concat(F.lit("<d><p><head>title</head>"), "x", F.lit("</p></d>")).alias("data")), "doc_id", "data")
-    known = turns(spark, sf_dir).select(F.lit("fra").alias("code"), F.lit("french").alias("id"), F.lit(False).alias("source")).distinct()
+    known = spark.createDataFrame([("fra", "french", False)], "code string, id string, source boolean")
     langs = editions.assign_language(nodes, known)
     both = langs.where("tag = 'p'").select("doc_id", "pre", F.col("lang").alias("before")).join(editions.bubble_up(nodes, langs).select("doc_id", "pre", F.col("lang").alias("after")), ["doc_id", "pre"])
     return both.select("doc_id", "before", "after")
@@ -266,6 +266,19 @@ def milestone_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editions.anchor_milestones(page_nodes(spark, sf_dir)).select("doc_id", "tag", F.col("pre").cast("long").alias("pre"), F.col("anchor").cast("long").alias("anchor"))
 
 
+@query("""
+WITH p AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), b AS (SELECT conv_id, role, turn, turn % 2 = 0 OR turn = first AS "break" FROM p)
+SELECT conv_id::VARCHAR AS doc_id, 'lb' AS tag, "break", count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT conv_id::VARCHAR, 'pb', "break", count(*) FROM b WHERE role = 'user' GROUP BY ALL
+UNION ALL SELECT DISTINCT conv_id::VARCHAR, 'milestone', true, 1 FROM b
+""")
+def milestone_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages, lines and cells begin between words or within one; a cell that nothing follows is between."""
+    t = F.col("turn").cast("string")
+    rows = turns(spark, sf_dir).groupBy("conv_id").agg(per_turn(F.when(F.col("role") == "user", "<pb/> ").otherwise(""), F.lit('<lb n="'), t, F.when(F.col("turn") % 2 == 1, '" break="no"/>').otherwise('"/>'), F.col("xml")).alias("x"))
+    nodes = xml_nodes(rows.select(F.col("conv_id").cast("string").alias("doc_id"), F.concat(F.lit("<d>"), "x", F.lit('<milestone break="no"/> </d>')).alias("data")), "doc_id", "data")
+    return windows.milestone_breaks(nodes.where("depth > 0")).groupBy("doc_id", "tag", "break").agg(F.count("*").alias("n"))
+
+
 CLEAN = r"trim(regexp_replace(translate(regexp_replace(translate(replace(regexp_replace(nfc_normalize({0}), '\[\d+.*?\]', '', 'g'), '[]', ''), 'ә_', 'ə '), '[◉◆“”.+\\,|/\"॥।*!]', '', 'g'), '''ʼ', '’’'), '[\s\xA0]+', ' ', 'g'))"
 
 
@@ -302,13 +315,13 @@ def edition_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH f AS (SELECT conv_id, min_by(role, turn) AS first FROM conversations GROUP BY conv_id) SELECT conv_id::VARCHAR AS doc_id, 'edition' AS type, 'Edition' AS heading, 1::BIGINT AS level FROM f UNION ALL SELECT conv_id::VARCHAR, 'translation', 'Translation into English' || CASE WHEN first = 'system' THEN '' ELSE ' by ' || upper(left(first, 1)) || substr(first, 2) || ' Speaker' END, 1 FROM f")
 def edition_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = edition_nodes(spark, sf_dir)
-    names = turns(spark, sf_dir).select(F.lit("eng").alias("code"), F.lit("English").alias("name")).distinct()
+    names = spark.createDataFrame([("eng", "English")], "code string, name string")
     return editions.division_headings(nodes, names, speakers(spark, sf_dir)).join(editions.outline(nodes), ["doc_id", "pre"]).select("doc_id", "type", "heading", "level")
 
 
 @query("SELECT conv_id::VARCHAR AS doc_id, repeat('⏑–', count(*)::INTEGER) AS heading FROM conversations GROUP BY conv_id")
 def edition_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = turns(spark, sf_dir).select(F.col("role").alias("name"), F.lit("-+").alias("pattern")).distinct()
+    known = spark.createDataFrame([("user", "-+"), ("assistant", "-+")], "name string, pattern string")
     return editions.meter_names(edition_nodes(spark, sf_dir), known).select("doc_id", "heading")
 
 

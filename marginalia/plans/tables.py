@@ -75,8 +75,9 @@ SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/?#]*(.*)$', 1),
 def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' addresses as used inside the corpus, and addresses made of their numbers."""
     pages = table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "^https?://([^/?#]*)", 1))
-    hosts = [r[0] for r in pages.select("host").distinct().collect()]
-    return pages.select("page_id", text.rewrite_ref(F.col("url"), hosts).alias("inner_ref"), text.format_url("https://x.org/a b/%d%%", F.col("page_id")).alias("quoted"))
+    hosts = pages.select(F.col("host").alias("_own")).distinct()
+    pages = pages.join(hosts, F.col("host") == F.col("_own"), "left")
+    return pages.select("page_id", text.rewrite_ref(F.col("url"), F.col("_own").isNotNull()).alias("inner_ref"), text.format_url("https://x.org/a b/%d%%", F.col("page_id")).alias("quoted"))
 
 
 @query(r"SELECT doc_id, md5(replace(replace(lower(text), 'œ', 'oe'), 'æ', 'ae').replace('đ', 'd').replace('ß', 'ss')) AS folded, md5(trim(regexp_replace(translate(regexp_replace(translate(replace(regexp_replace(nfc_normalize(text), '\[\d+.*?\]', '', 'g'), '[]', ''), 'ә_', 'ə '), '[◉◆“”.+\\,|/" + '"' + r"॥।*!]', '', 'g'), '''ʼ', '’’'), '[\s\xA0]+', ' ', 'g'))) AS clean FROM documents")

@@ -69,3 +69,23 @@ def test_json(spark):
     assert values(spark, structured.json_type, "[1]", '{"a":1}', '"x"', "1", "1.5", "null", "{") == ["array", "object", "text", "integer", "real", "null", None]
     assert values(spark, structured.json_length, "[1,2]", "{}", "?") == [2, 0, None]
     assert values(spark, lambda c: structured.json_elements(c), '["a","b"]') == [["a", "b"]]
+
+
+def test_references_of_characters(spark):
+    from marginalia.functions import bibliography
+
+    df = spark.createDataFrame([("&lt;i&gt; &amp;lt; &#233;&#xE9; &eacute;&mdash;e&#x301;&nbsp;x &unknown; &",), (None,)], "x string")
+    assert [r[0] for r in df.select(bibliography.unescape(F.col("x"))).collect()] == ["<i> &lt; éé é—é x &unknown; &", None]
+
+
+def test_milestone_breaks(spark):
+    from marginalia.operators import windows
+    from marginalia.sources.nodes import xml_nodes
+
+    texts = ["<d><pb break='no'/> <lb/><milestone/>a<pb/><lb break='no'/>b<lb/><lb break='no'/>c<milestone break='no'/>d<lb break='no'/><milestone break='no'/> </d>", "<d>a<pb break='no'/><hi/><lb/>b<lb break='no'/>c</d>", "<d>x</d>"]
+    nodes = xml_nodes(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "i string, x string"), "i", "x")
+    got = {}
+    for r in windows.milestone_breaks(nodes.where("depth > 0")).orderBy("doc_id", "pre").collect():
+        got.setdefault(r.doc_id, []).append((r.tag, r["break"]))
+    assert got["0"] == [("pb", True), ("lb", True), ("milestone", True), ("pb", False), ("lb", False), ("lb", True), ("lb", False), ("milestone", False), ("lb", True), ("milestone", True)]
+    assert got["1"] == [("pb", False), ("lb", True), ("lb", False)]
