@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalize_list, normalize_text, search_key, squeeze
+from marginalia.sources.keep import kept
 
 UNKNOWN_LANGUAGE = "und"
 RESERVED = ("AND", "OR", "NOT")
@@ -150,16 +151,18 @@ def language_clause(df: DataFrame, langs: DataFrame, codes: DataFrame, text: str
 def match_offsets(df: DataFrame, column: str, needle: str) -> DataFrame:
     """One row for each occurrence, left to right without overlaps: adds ``start`` from 0 and ``length``.
 
-    The pieces between occurrences are exploded and a window sums their lengths."""
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    parts = keyed.select("*", F.posexplode(F.split(F.col(column), F.lit("\\Q" + needle + "\\E"), -1)).alias("_at", "_part"))
+    Only rows that hold the needle are looked at further: the lengths of the pieces between
+    occurrences are exploded and a window sums them."""
+    keyed = df.where(F.contains(F.col(column), F.lit(needle))).withColumn("_row", F.monotonically_increasing_id())
+    lengths = F.transform(F.split(F.col(column), F.lit("\\Q" + needle + "\\E"), -1), lambda part: F.length(part))
+    parts = keyed.select("*", F.posexplode(F.slice(lengths, F.lit(1), F.size(lengths) - 1)).alias("_at", "_n"))
     before = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = parts.withColumn("start", (F.sum(F.length("_part")).over(before) + F.col("_at") * len(needle)).cast("int")).withColumn("_last", F.lead("_at").over(Window.partitionBy("_row").orderBy("_at")).isNull())
-    return placed.where("NOT _last").drop("_row", "_at", "_part", "_last").withColumn("length", F.lit(len(needle)))
+    placed = parts.withColumn("start", (F.sum("_n").over(before) + F.col("_at") * len(needle)).cast("int"))
+    return placed.drop("_row", "_at", "_n").withColumn("length", F.lit(len(needle)))
 
 
-def to_display_offsets(df: DataFrame, column: str, start: str = "start", length: str = "length") -> DataFrame:
-    """Spans of folded text as spans of the text itself: adds ``display_start`` and ``display_length``.
+def to_display_offsets(df: DataFrame, column: str, start: str = "start", length: str = "length", by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Spans of folded text as spans of the text itself: adds ``display_start`` and ``display_length``; ``by`` tells texts apart.
 
     A span that touches a part of what a character folds to takes the whole
     character; spans that would begin inside the one before are dropped. Only
@@ -168,7 +171,7 @@ def to_display_offsets(df: DataFrame, column: str, start: str = "start", length:
     half = "\u0002"
     marked = F.regexp_replace(F.col(column), "[ßœæŒÆẞ]", f"\u0001{half}")
     halves = lambda c: F.length(c) - F.length(F.replace(c, F.lit(half), F.lit("")))
-    order = Window.partitionBy("doc_id").orderBy(start)
+    order = Window.partitionBy(*by).orderBy(start)
     out = df.withColumn("_m", marked).withColumn("_p", F.coalesce(F.lag(start).over(order), F.lit(-1)))
     out = out.withColumn("_n", F.sum(halves(F.substring(F.col("_m"), F.col("_p") + 2, F.col(start) - F.col("_p")))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     inside = halves(F.substring(F.col("_m"), F.col(start) + 2, F.col(length) - 1))
@@ -178,7 +181,8 @@ def to_display_offsets(df: DataFrame, column: str, start: str = "start", length:
 
 
 def with_total(df: DataFrame) -> DataFrame:
-    """Add the number of all rows, for a page beside its total: one aggregate, read once by every task."""
+    """Add the number of all rows, for a page beside its total: the hits are found once and kept, their number is one row."""
+    df = kept(df)
     return df.join(F.broadcast(df.agg(F.count("*").alias("total"))), F.lit(True))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import axes, catalog, editions, marks, rules, similarity, trees, windows
 from marginalia.plans.queries import query, table
+from marginalia.sources.keep import kept
 from marginalia.sources.nodes import parse_failures, xml_nodes
 
 SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -135,7 +136,7 @@ SQL_AXES = " UNION ALL ".join(f"SELECT '{axis}' AS axis, '{tag}' AS tag, sum({n}
 @query(f"WITH c AS (SELECT count(*) AS n FROM conversations GROUP BY conv_id), a AS ({SQL_AXES}) SELECT * FROM a WHERE n > 0")
 def edition_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many elements of each tag stand on each axis of all lines of verses and lists."""
-    nodes = edition_nodes(spark, sf_dir)
+    nodes = kept(edition_nodes(spark, sf_dir))  # read for every axis
     context, out = nodes.where("tag IN ('l', 'list')"), None
     for name in AXES:
         some = axes.axis(axes.elements(nodes), context, name).groupBy("tag").agg(F.count("*").alias("n")).select(F.lit(name).alias("axis"), "tag", "n")
@@ -151,7 +152,7 @@ UNION ALL SELECT 'first-child', 'list', 'label', count(*) FROM c UNION ALL SELEC
 """)
 def edition_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of list entries with nothing but blanks between."""
-    nodes = edition_nodes(spark, sf_dir)
+    nodes = kept(edition_nodes(spark, sf_dir))  # read for every axis
     tags = axes.elements(nodes).select("doc_id", "pre", F.col("tag").alias("other"))
     context, out = nodes.where("tag IN ('label', 'item', 'list')"), None
     for name in ("next", "previous", "first-child", "parent"):
@@ -377,7 +378,7 @@ def edition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("lb-text", "text", "lb", None, None, "empty", 0, None), ("ed-only", "text", "lb", None, None, "empty", 0, "XX"),
     ]
     docs = edition_texts(spark, sf_dir).select("doc_id", F.lit("ED").alias("name"), F.lit("").alias("text"))
-    found = rules.validate(docs, edition_nodes(spark, sf_dir), rules.rule_frame(spark, given))
+    found = rules.validate(docs, kept(edition_nodes(spark, sf_dir)), rules.rule_frame(spark, given))
     return found.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
@@ -389,7 +390,7 @@ def edition_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each edition's worst severity and a rule behind it; what does not parse is not looked at further."""
     docs = with_broken(spark, sf_dir).select("doc_id", F.lit("ED").alias("name"), F.lit("").alias("text"), "data")
     given = rules.rule_frame(spark, [("gap-unit", "requires", "gap", "quantity", "unit", "a counted gap needs a unit", 2, "ED"), ("lb-text", "text", "lb", None, None, "empty", 1, None)])
-    found = rules.validate(docs, xml_nodes(docs, "doc_id", "data"), given)
+    found = rules.validate(docs, kept(xml_nodes(docs, "doc_id", "data")), given)
     worst = found.groupBy("doc_id").agg(F.max_by("rule_id", "severity").alias("worst"))
     return rules.statuses(docs, found).join(worst, "doc_id").select("doc_id", F.col("status").cast("int").alias("status"), "worst")
 

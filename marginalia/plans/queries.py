@@ -89,6 +89,21 @@ def match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("start").cast("long").alias("start"), "length")
 
 
+@query("""
+WITH p AS (SELECT doc_id, string_split(replace(text, 'ss', 'ß'), 'tion') AS parts FROM documents),
+o AS (SELECT doc_id, list_sum(list_transform(parts[1:i], lambda x: length(x))) + 4 * (i - 1) AS start FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM p))
+SELECT doc_id, start::INTEGER AS display_start, 4 AS display_length FROM o
+""")
+def display_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences in folded texts, where one letter may have become two, as spans of the texts themselves."""
+    folded = F.replace("text", F.lit("ß"), F.lit("ss"))
+    for letter, two in (("œ", "oe"), ("æ", "ae"), ("Œ", "OE"), ("Æ", "AE"), ("ẞ", "SS")):
+        folded = F.replace(folded, F.lit(letter), F.lit(two))
+    docs = documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("ss"), F.lit("ß")).alias("text")).withColumn("folded", folded)
+    found = catalog.to_display_offsets(catalog.match_offsets(docs, "folded", "tion"), "text")
+    return found.select("doc_id", "display_start", "display_length")
+
+
 @query("SELECT doc_id, md5(trim(replace(replace(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), 'đ', 'd'))) AS normalized FROM documents")
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("normalized"))
@@ -453,7 +468,7 @@ def html_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def structural_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each pair of tags stands on each axis of a page's lists, and what the lists hold."""
-    nodes = html_nodes(table(spark, sf_dir, "pages"), "page_id", "html")
+    nodes = keep.kept(html_nodes(table(spark, sf_dir, "pages"), "page_id", "html"))
     context = nodes.where("tag = 'ul'")
     out = None
     for name in ("child", "descendant", "ancestor", "following-sibling", "preceding-sibling", "parent"):
@@ -472,7 +487,7 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages checked by rules: how many violations of each, and the worst severity."""
-    nodes = html_nodes(table(spark, sf_dir, "pages"), "page_id", "html")
+    nodes = keep.kept(html_nodes(table(spark, sf_dir, "pages"), "page_id", "html"))
     given = rules.rule_frame(spark, [("img-alt", "requires", "img", "src", "alt", "no alternative text", 1, None), ("li-parent", "parent", "li", "ul ol", None, "item outside a list", 2, None), ("p-text", "text", "p", None, None, "empty paragraph", 1, None), ("one-title", "child", "head", "title", "1", "no title", 2, None), ("href", "pattern", "a", "href", r"^(https?:|/|#|mailto:).*", "odd link", 1, None), ("nested-p", "not-ancestor", "p", "p", None, "paragraph in a paragraph", 1, None)])
     docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("name"), F.col("html").alias("text"))
     return rules.validate(docs, nodes, given).groupBy("rule_id").agg(F.count("*").alias("n"), F.max("severity").alias("worst"))
