@@ -57,12 +57,11 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, 'ention AND src1' AS asked FROM documents WHERE contains({SQL_KEY.format('text')}, 'ention') AND contains({SQL_KEY.format('source')}, 'src1') UNION ALL SELECT doc_id, 'nement' FROM documents WHERE contains({SQL_KEY.format('text')}, 'nement') OR contains({SQL_KEY.format('source')}, 'nement')")
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two searches through a stored index of trigrams; it is deleted once they are answered."""
-    path = keep.new_folder(spark)
-    postings.build_index(documents(spark, sf_dir), "doc_id", ["text", "source"], path)
-    ask = lambda clauses, name: postings.search_index(spark, path, "doc_id", clauses, ["text", "source"]).select("doc_id", F.lit(name).alias("asked"))
-    found = keep.kept(ask([("text", "éntion"), ("source", "SRC1")], "ention AND src1").unionByName(ask([(None, "némËnt")], "nement")))
-    keep.delete_folder(spark, path)
-    return found
+    def read(path: str) -> DataFrame:
+        ask = lambda clauses, name: postings.search_index(spark, path, "doc_id", clauses, ["text", "source"]).select("doc_id", F.lit(name).alias("asked"))
+        return ask([("text", "éntion"), ("source", "SRC1")], "ention AND src1").unionByName(ask([(None, "némËnt")], "nement"))
+
+    return keep.through_files(spark, lambda path: postings.build_index(documents(spark, sf_dir), "doc_id", ["text", "source"], path), read)
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({SQL_KEY.format('text')}, 'nement') OR contains({SQL_KEY.format('source')}, 'nement')")
@@ -601,14 +600,14 @@ SELECT c1.key, c1.version, v.event_type FROM c1 JOIN v ON v.version = c1.version
 """)
 def merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches of versions and tombstones, one a third of the time, merged into a bucketed table."""
-    path = keep.new_folder(spark)
     rows = thirds(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), ((F.col("event_type") == "error") & (F.col("value") < 10)).alias("deleted"), "event_type", "third")
-    handle = merge_batches(path, 8)
-    for third in range(3):
-        handle(rows.where(F.col("third") == third).drop("third"), third)
-    found = keep.kept(read_merged(spark, path, "key long, version long, event_type string"))
-    keep.delete_folder(spark, path)
-    return found
+
+    def write(path: str) -> None:
+        handle = merge_batches(path, 8)
+        for third in range(3):
+            handle(rows.where(F.col("third") == third).drop("third"), third)
+
+    return keep.through_files(spark, write, lambda path: read_merged(spark, path, "key long, version long, event_type string"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, count(*) AS notices FROM events GROUP BY 1")

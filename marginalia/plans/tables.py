@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
@@ -14,16 +11,7 @@ from marginalia.functions import text
 from marginalia.operators import catalog, similarity, statistics, upserts
 from marginalia.plans.queries import comparable, places, query, table
 from marginalia.sources import files
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where Spark is one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-    return f"{folder}/{uuid.uuid4().hex}"
+from marginalia.sources.keep import through_files
 
 
 # texts
@@ -178,49 +166,46 @@ def cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey::VARCHAR AS key, s_name AS name, '' AS note FROM supplier")
 def tsv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A headed TSV with blanks around cells and rows that end early."""
-    path = scratch(spark)
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string"), F.lit("\t"), "s_name", F.lit("  ")).alias("value"))
     header = rows.limit(1).select(F.lit("key\tname\tnote").alias("value"))
-    header.unionByName(rows).coalesce(1).write.text(path)
-    return files.read_tsv(spark, path, ["key", "name", "note"])
+    # the header is the first line of the only file
+    return through_files(spark, header.unionByName(rows).coalesce(1).write.text, lambda path: files.read_tsv(spark, path, ["key", "name", "note"]))
 
 
 @query("SELECT s_suppkey AS key, s_name AS name, s_acctbal > 0 AS textual FROM supplier")
 def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
-    table(spark, sf_dir, "supplier").select(F.concat_ws("\t", F.col("s_suppkey").cast("string"), "s_name", F.when(F.col("s_acctbal") > 0, "Yes").otherwise("no")).alias("value")).write.text(path)
+    rows = table(spark, sf_dir, "supplier").select(F.concat_ws("\t", F.col("s_suppkey").cast("string"), "s_name", F.when(F.col("s_acctbal") > 0, "Yes").otherwise("no")).alias("value"))
     schema = StructType([StructField("key", LongType()), StructField("name", StringType()), StructField("textual", BooleanType())])
-    return files.read_typed_tsv(spark, path, schema, "key")
+    return through_files(spark, rows.write.text, lambda path: files.read_typed_tsv(spark, path, schema, "key"))
 
 
 @query("SELECT v.name, s_name AS text, 'a' || s_suppkey AS description, s_name AS search FROM (SELECT s_suppkey, s_name, unnest(['a' || s_suppkey, 'b' || s_suppkey]) AS name FROM supplier) v WHERE starts_with(v.name, 'a') UNION ALL SELECT v.name, s_name, 'b' || s_suppkey, s_name FROM (SELECT s_suppkey, s_name, unnest(['a' || s_suppkey, 'b' || s_suppkey]) AS name FROM supplier) v WHERE starts_with(v.name, 'b')")
 def symbol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols with two names each; a missing description is the name, a missing search form the text."""
-    path, key = scratch(spark), F.col("s_suppkey").cast("string")
+    key = F.col("s_suppkey").cast("string")
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("a"), key, F.lit(" b"), key, F.lit("\t"), "s_name", F.lit("\t\t")).alias("value"))
-    rows.write.text(path)
-    return files.read_symbols(spark, path)
+    return through_files(spark, rows.write.text, lambda path: files.read_symbols(spark, path))
 
 
 @query("SELECT p_partkey::VARCHAR AS key, p_size::BIGINT AS version, p_name AS title FROM part")
 def bibliography_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as one JSON object a line in the order of keys, and read again."""
-    path = scratch(spark)
     data = book_records(spark, sf_dir).select("key", F.struct("itemType", "shortTitle", "creators", "tags").alias("data"))
     sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_size").cast("long").alias("version"))
-    files.dump_sorted_json(data.join(sizes, "key").select("key", "version", "data"), "key", path)
-    return files.read_bibliography(spark, path).select("key", "version", F.col("data.shortTitle").alias("title"))
+    rows = data.join(sizes, "key").select("key", "version", "data")
+    read = lambda path: files.read_bibliography(spark, path).select("key", "version", F.col("data.shortTitle").alias("title"))
+    return through_files(spark, lambda path: files.dump_sorted_json(rows, "key", path), read)
 
 
 @query("SELECT 'p' || c_custkey AS person_id, c_name || '|' || c_mktsegment AS name, 'x' || c_custkey AS orcid FROM customer")
 def people_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People as XML records."""
-    path, key = scratch(spark), F.col("c_custkey").cast("string")
+    key = F.col("c_custkey").cast("string")
     name = F.struct(F.col("c_name").alias("forename"), F.col("c_mktsegment").alias("surname"))
     ids = F.array(F.struct(F.lit("orcid").alias("_type"), F.concat(F.lit("x"), key).alias("_VALUE")))
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), key).alias("_id"), name.alias("persName"), ids.alias("idno"))
-    rows.write.format("xml").option("rootTag", "listPerson").option("rowTag", "person").save(path)
-    return files.members(spark, path).select("person_id", F.array_join("name", "|").alias("name"), F.col("ids")["orcid"].alias("orcid"))
+    read = lambda path: files.members(spark, path).select("person_id", F.array_join("name", "|").alias("name"), F.col("ids")["orcid"].alias("orcid"))
+    return through_files(spark, rows.write.format("xml").option("rootTag", "listPerson").option("rowTag", "person").save, read)
 
 
 @query("SELECT 'part' AS name, md5(string_agg(n_name, '' ORDER BY n_nationkey)) AS names, count(*) AS n FROM nation GROUP BY n_regionkey")
@@ -228,13 +213,16 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as XML files of their regions, found again below a folder, and read as nodes."""
     from marginalia.sources.nodes import xml_nodes
 
-    path = scratch(spark)
-    table(spark, sf_dir, "nation").repartition(1).sortWithinPartitions("n_nationkey").write.partitionBy("n_regionkey").format("xml").option("rootTag", "nations").option("rowTag", "nation").save(path)
-    found = files.with_file_facts(files.scan_corpus(spark, path, ["part-"], ["backup"]))
-    nodes = xml_nodes(found.select("path", "content"), "path", "content")
-    names = nodes.where("tag = 'n_name'").select("doc_id", F.col("pre").alias("parent"))
-    said = nodes.where("tag = '#text'").join(names, ["doc_id", "parent"]).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("x"), F.count("*").alias("n"))
-    return said.join(found.select(F.col("path").alias("doc_id"), F.substring("name", 1, 4).alias("name")), "doc_id").select("name", F.md5("x").alias("names"), "n")
+    def read(path: str) -> DataFrame:
+        found = files.with_file_facts(files.scan_corpus(spark, path, ["part-"], ["backup"]))
+        nodes = xml_nodes(found.select("path", "content"), "path", "content")
+        names = nodes.where("tag = 'n_name'").select("doc_id", F.col("pre").alias("parent"))
+        said = nodes.where("tag = '#text'").join(names, ["doc_id", "parent"]).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("x"), F.count("*").alias("n"))
+        return said.join(found.select(F.col("path").alias("doc_id"), F.substring("name", 1, 4).alias("name")), "doc_id").select("name", F.md5("x").alias("names"), "n")
+
+    # one file a region, its nations in order
+    rows = table(spark, sf_dir, "nation").repartition(1).sortWithinPartitions("n_nationkey")
+    return through_files(spark, rows.write.partitionBy("n_regionkey").format("xml").option("rootTag", "nations").option("rowTag", "nation").save, read)
 
 
 @query("WITH e AS (SELECT user_id, event_id, event_type, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM events) SELECT event_id, concat_ws('/', v::VARCHAR, event_id::VARCHAR) AS identifier FROM e")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,12 @@ def new_folder(spark: SparkSession) -> str:
 def delete_folder(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def through_files(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What is read from a new shared folder that was written to; the result is kept and the folder deleted."""
+    path = new_folder(spark)
+    write(path)
+    found = kept(read(path))
+    delete_folder(spark, path)
+    return found
