@@ -411,3 +411,15 @@ def parallels_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = similarity.similar_pairs(rows, "id", "grams", "kind", 0.5)
     most = similarity.mirror(pairs).groupBy("id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "id").first()
     return similarity.parallels_of(pairs, rows, "id", most["id"] if most else -1).select("id2", F.round("coeff", 9).alias("coeff"), F.md5("contents").alias("contents"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+e AS (SELECT *, sum(regexp_matches(line, '^[A-M]')::INTEGER) OVER (PARTITION BY doc_id ORDER BY k) AS entry FROM l),
+s AS (SELECT *, sum(regexp_matches(line, '^[N-Z]')::INTEGER) OVER (PARTITION BY doc_id, entry ORDER BY k) AS shut FROM e)
+SELECT doc_id, entry::BIGINT AS entry, md5(string_agg(line, chr(10) ORDER BY k)) AS body FROM s WHERE entry > 0 AND shut = 0 AND NOT regexp_matches(line, '^[A-M]') GROUP BY ALL
+""")
+def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands between a line that begins with one of the first letters and the next one of the last."""
+    found = files.marked_segments(table(spark, sf_dir, "documents"), "doc_id", "text", "^[A-M]", "^[N-Z]")
+    return found.select("doc_id", F.col("entry").cast("long").alias("entry"), F.md5("body").alias("body"))
