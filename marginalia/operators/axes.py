@@ -104,3 +104,25 @@ def text_of(nodes: DataFrame, tag: str | None = None) -> DataFrame:
     text = around(nodes.where("tag = '#text'").select("doc_id", F.col("pre").alias("_pre"), "path", "text").withColumnRenamed("_pre", "pre"), "_up").select("doc_id", F.col("_up"), F.col("pre").alias("_pre"), "text")
     inside = text.withColumnRenamed("_up", "pre").join(outer, ["doc_id", "pre"])
     return inside.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pre", "text"))), lambda x: x["text"]), "").alias("content"))
+
+
+def axis_profile(nodes: DataFrame) -> DataFrame:
+    """(axis, tag, n): how many elements of a tag stand on each of the eleven axes of all elements of their documents.
+
+    No pair is made: where an element stands in its document and among its siblings says how many
+    elements have it on an axis, as post = pre - depth + descendants on elements alone."""
+    whole, siblings = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "parent")
+    placed = elements(nodes).select(
+        "tag", F.col("depth").cast("long").alias("up"), F.row_number().over(whole.orderBy("pre")).alias("pre"), F.row_number().over(whole.orderBy("post")).alias("post"), F.count("*").over(whole).alias("all"),
+        F.when(F.col("parent").isNotNull(), F.row_number().over(siblings.orderBy("pre")) - 1).otherwise(0).alias("earlier"), F.when(F.col("parent").isNotNull(), F.count("*").over(siblings) - 1).otherwise(0).alias("beside"),
+        "doc_id", F.col("pre").alias("_pre"),
+    )
+    children = elements(nodes).where("parent IS NOT NULL").groupBy("doc_id", F.col("parent").alias("_pre")).agg(F.count("*").alias("children"))
+    placed = placed.join(children, ["doc_id", "_pre"], "left").withColumn("down", F.col("post") - F.col("pre") + F.col("up"))
+    counts = {
+        "self": F.lit(1), "child": F.least("up", F.lit(1)), "parent": F.coalesce("children", F.lit(0)), "descendant": F.col("up"), "descendant-or-self": F.col("up") + 1, "ancestor": F.col("down"), "ancestor-or-self": F.col("down") + 1,
+        "following-sibling": F.col("earlier"), "preceding-sibling": F.col("beside") - F.col("earlier"), "following": F.col("pre") - 1 - F.col("up"), "preceding": F.col("all") - F.col("pre") - F.col("down"),
+    }
+    sums = placed.groupBy("tag").agg(*[F.sum(c.cast("long")).alias(name) for name, c in counts.items()])
+    rows = sums.select("tag", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in counts]), F.array(*[F.col(f"`{k}`") for k in counts]))).alias("axis", "n"))
+    return rows.where("n > 0").select("axis", "tag", "n")

@@ -485,6 +485,12 @@ def structural_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(flags)
 
 
+@query()
+def page_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of each tag stand on each axis of all elements of their pages."""
+    return axes.axis_profile(keep.kept(html_nodes(table(spark, sf_dir, "pages"), "page_id", "html")))
+
+
 @query(r"SELECT page_id::VARCHAR AS doc_id, (len(string_split(html, '<h1>')) - 1)::BIGINT AS headings FROM pages WHERE contains(html, '<h1>')")
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = html_nodes(table(spark, sf_dir, "pages"), "page_id", "html")

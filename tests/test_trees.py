@@ -70,3 +70,17 @@ def test_twice(spark):
 def test_empty(spark):
     none = xml_nodes(spark.createDataFrame([], "id string, x string"), "id", "x")
     assert trees.segment(none).count() == 0 and trees.settle_spaces(none).count() == 0
+
+
+def test_axis_profile(spark):
+    """Counts by arithmetic are those of the pairs on each axis."""
+    from collections import Counter
+
+    from marginalia.operators import axes
+
+    texts = ["<a><b>x<c/><c><b/></c></b>\n<b/><d><c/><b><c/></b></d></a>", "<b/>", "<a><a><a/></a><!-- c --><b/>t<b/></a>"]
+    nodes = xml_nodes(spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "id string, x string"), "id", "x").cache()
+    names = ("self", "child", "parent", "descendant", "descendant-or-self", "ancestor", "ancestor-or-self", "following-sibling", "preceding-sibling", "following", "preceding")
+    every = axes.elements(nodes)
+    want = Counter((name, r.tag) for name in names for r in axes.axis(every, every, name).select("tag").collect())
+    assert {(r.axis, r.tag): r.n for r in axes.axis_profile(nodes).collect()} == want
