@@ -186,10 +186,17 @@ def searchable_text(nodes: DataFrame) -> DataFrame:
 
 def document_bibliography(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_id, pre, target, siglum, listed, entry_key): references in order of appearance, the first one of each target; listed ones stand in a listBibl."""
-    bibl = nodes.where("tag = 'bibl'")
-    target = nodes.where("tag = 'ptr'").select("doc_id", F.col("parent").alias("pre"), F.regexp_replace(attr(F.col("attrs"), "target"), "^bib:", "").alias("target"))
-    listed = axis(nodes.where("tag = 'listBibl'"), bibl, "ancestor").select("doc_id", F.col("context").alias("pre"), F.lit(True).alias("listed")).distinct()
-    refs = bibl.select("doc_id", "pre", attr(F.col("attrs"), "n").alias("siglum")).join(target, ["doc_id", "pre"]).join(listed, ["doc_id", "pre"], "left").fillna(False, ["listed"])
+    is_bibl = F.col("tag") == "bibl"
+    # a reference and what it points to meet by its number; all that follows stays with the document
+    parts = nodes.where(F.col("tag").isin("bibl", "ptr")).select(
+        "doc_id",
+        F.when(is_bibl, F.col("pre")).otherwise(F.col("parent")).alias("pre"),
+        F.when(is_bibl, attr(F.col("attrs"), "n")).alias("siglum"),
+        F.when(is_bibl, F.array_contains("names", "listBibl")).alias("listed"),
+        F.when(~is_bibl, F.regexp_replace(attr(F.col("attrs"), "target"), "^bib:", "")).alias("target"),
+    )
+    refs = parts.repartition("doc_id").groupBy("doc_id", "pre").agg(F.max("siglum").alias("siglum"), F.max("listed").alias("listed"), F.collect_list("target").alias("_to"))
+    refs = refs.where("listed IS NOT NULL").select("doc_id", "pre", "siglum", F.explode("_to").alias("target"), "listed")
     first = refs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "target").orderBy(F.col("listed").desc(), "pre"))).where("_n = 1").drop("_n")
     return resolve_reference(first, entries, ITEM_TYPES)
 

@@ -352,7 +352,7 @@ def cited_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as documents that cite the brands of what they ordered: each brand once, with the reason why it is not in the bibliography."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     refs = lines.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set(F.concat(F.lit('<bibl><ptr target="bib:'), "p_brand", F.lit('"/></bibl>')))), "").alias("x"), F.min(F.concat(F.lit('<bibl n="A"><ptr target="bib:'), "p_brand", F.lit('"/></bibl>'))).alias("y"))
-    nodes = xml_nodes(refs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<d>"), "x", F.lit("<listBibl>"), "y", F.lit("</listBibl></d>")).alias("data")), "doc_id", "data")
+    nodes = xml_nodes(refs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<d>"), "x", F.lit("<listBibl>"), "y", F.lit("</listBibl></d>")).alias("data")), "doc_id", "data", ("bibl", "ptr"))
     kind = F.when(F.lower("p_type").endswith("brass"), "book").otherwise("gadget")
     entries = table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("key"), F.col("p_brand").alias("shortTitle"), kind.alias("itemType"))
     return editions.document_bibliography(nodes, entries).select("doc_id", "target", "reason")

@@ -199,3 +199,21 @@ def test_files(spark, tmp_path):
     assert files.read_bibliography(spark, str(tmp_path / "b.jsonl")).count() == 1
     files.dump_sorted_json(spark.createDataFrame([("b", 1), ("a", 2)], "key string, v int"), "key", str(tmp_path / "dump"))
     assert spark.read.text(str(tmp_path / "dump")).count() == 2
+
+
+def test_references_of_documents(spark):
+    """The first reference of each target, listed ones before others, from one reading of the markup."""
+    docs = [
+        ("1", '<d><bibl n="B"><ptr target="bib:a"/></bibl><bibl><ptr target="bib:b"/><ptr target="c"/></bibl><listBibl><p><bibl n="A"><ptr target="bib:a"/><b><ptr target="far"/></b></bibl></p></listBibl><p><ptr target="loose"/></p><bibl><ptr/></bibl></d>'),
+        ("2", '<ptr target="root"/>'), ("3", "<d><bibl/></d>"), ("4", "<d>"), ("5", '<d><listBibl><bibl><bibl n="in"><ptr target="b"/></bibl><ptr target="b"/></bibl></listBibl></d>'),
+    ]
+    nodes = xml_nodes(spark.createDataFrame(docs, "doc_id string, data string"), "doc_id", "data")
+    entries = spark.createDataFrame([("k2", "a", "book"), ("k1", "b", "gadget")], "key string, shortTitle string, itemType string")
+    found = editions.document_bibliography(nodes, entries)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.pre, r.siglum, r.target, r.listed, r.entry_key, r.reason) for r in found.collect()} == {
+        ("1", 9, "A", "a", True, "k2", None), ("1", 4, "", "b", False, "k1", "unsupported type"), ("1", 4, "", "c", False, None, "not in bibliography"),
+        ("1", 15, "", "", False, None, "missing title"), ("5", 3, "", "b", True, "k1", "unsupported type"),
+    }
+    some = xml_nodes(spark.createDataFrame(docs, "doc_id string, data string"), "doc_id", "data", ("bibl", "ptr"))
+    assert sorted(map(tuple, editions.document_bibliography(some, entries).collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
