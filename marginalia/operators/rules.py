@@ -157,8 +157,9 @@ def grapheme_issues(df: DataFrame, column: str = "text") -> DataFrame:
     A single character is expected unless it is Cyrillic; several are if all are of one
     script, or form a known combination. A line ends at each line feed or carriage
     return. ASCII lines are passed over."""
-    lines = df.select("doc_id", F.posexplode(F.split(nfc(F.coalesce(F.col(column), F.lit(""))), "[\r\n]", -1)).alias("line", "_text"))
-    odd = lines.where(F.col("_text").rlike(r"[^\x00-\x7F]"))
+    # composition crosses no line, and leaves ASCII as it is
+    lines = df.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(column), F.lit("")), "[\r\n]", -1)).alias("line", "_text"))
+    odd = lines.where(F.col("_text").rlike(r"[^\x00-\x7F]")).withColumn("_text", nfc(F.col("_text")))
     each = odd.select("doc_id", (F.col("line") + 1).alias("line"), F.posexplode(clusters(F.col("_text"))).alias("place", "cluster"))
     single = (F.length("cluster") == 1) & (~F.col("cluster").rlike(f"[{characters_named('CYRILLIC')}]") | (F.col("cluster") == CYRILLIC_SCHWA))
     several = F.col("cluster").rlike("^(?:" + "|".join(f"[{characters_named(s)}]+" for s in SCRIPTS) + ")$") | F.col("cluster").isin(*COMBINATIONS)

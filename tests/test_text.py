@@ -89,3 +89,19 @@ def test_milestone_breaks(spark):
         got.setdefault(r.doc_id, []).append((r.tag, r["break"]))
     assert got["0"] == [("pb", True), ("lb", True), ("milestone", True), ("pb", False), ("lb", False), ("lb", True), ("lb", False), ("milestone", False), ("lb", True), ("milestone", True)]
     assert got["1"] == [("pb", False), ("lb", True), ("lb", False)]
+
+
+def test_composed_by_line(spark):
+    """Lines, not whole texts, are composed in Python; what becomes ASCII is expected."""
+    from marginalia.functions.text import nfc
+    from marginalia.operators import rules
+
+    given = [(1, "ascii\nб\r\nq̄ é\rK"), (2, None), (3, "̄\ńa" * 300), (4, "plain")]
+    found = rules.grapheme_issues(spark.createDataFrame(given, "doc_id long, text string")).drop("names")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("posexplode(split(")
+    rows = [(r.doc_id, r.line, r.place, r.cluster) for r in found.collect()]
+    assert sorted(rows) == [(1, 2, 0, "б"), (1, 4, 0, "q̄")]
+    texts = [None if i % 7 == 0 else f"é{i}" for i in range(1000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    assert [r[0] for r in df.orderBy("i").select(nfc(F.col("t"))).collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
