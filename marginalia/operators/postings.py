@@ -10,18 +10,23 @@ verifies the candidates on the texts of the segments that have any.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import search_key, trigrams
+from marginalia.functions.text import gram_names, gram_sets, search_key, stretches, trigrams
 from marginalia.operators.catalog import SHORTEST_TERM, clean_terms
 
 BUCKETS = 64
 #: Rows in a segment, in the mean.
 SEGMENT_ROWS = 20_000
+#: Bytes of text whose lists are made at a time.
+STRETCH = 1 << 21
 
 
 def folded(df: DataFrame, fields: Sequence[str]) -> dict[str, Column]:
@@ -40,14 +45,36 @@ def build_index(df: DataFrame, key: str, fields: Sequence[str], path: str, segme
     segment = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
     keys = [c.alias(f"_{f}") for f, c in folded(df, fields).items()]
     texts = df.select(F.col(key), segment.alias("segment"), *keys)
-    texts.repartition("segment").sortWithinPartitions("segment").write.mode("overwrite").parquet(f"{path}/texts")
-    stored = df.sparkSession.read.parquet(f"{path}/texts")
-    postings = None
-    for f in fields:
-        some = stored.select(F.lit(f).alias("field"), "segment", key, F.explode(trigrams(F.col(f"_{f}"))).alias("gram"))
-        postings = some if postings is None else postings.unionByName(some)
-    lists = postings.groupBy("field", "gram", "segment").agg(F.collect_set(key).alias("ids")).withColumn("bucket", bucket_of(F.col("gram")))
-    lists.repartition("bucket", "segment").sortWithinPartitions("field", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # small groups of rows, so that several tasks read a segment
+    texts.repartition("segment").sortWithinPartitions("segment").write.mode("overwrite").option("parquet.block.size", 1 << 23).parquet(f"{path}/texts")
+    lists = listed_grams(df.sparkSession.read.parquet(f"{path}/texts"), key, fields).withColumn("bucket", bucket_of(F.col("gram"))).repartition("bucket", "segment")
+    whole = lists.groupBy("bucket", "segment", "field", "gram").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    whole.select("field", "gram", "segment", "ids", "bucket").sortWithinPartitions("bucket", "field", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def listed_grams(texts: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(field, gram, segment, ids): the rows that hold each gram, in a list for each stretch of rows of one segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segments = batch.column("segment").to_numpy()
+            edges = (np.flatnonzero(np.diff(segments)) + 1).tolist()
+            for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                for f in fields:
+                    mine = batch.slice(a, b - a)
+                    for c, d in stretches(pc.binary_length(mine.column(f"_{f}")).to_numpy(), STRETCH):
+                        yield listed(mine.slice(c, d - c), f)
+
+    def listed(rows: pa.RecordBatch, field: str) -> pa.RecordBatch:
+        row, grams, letters = gram_sets(rows.column(f"_{field}").to_pylist())
+        order = np.argsort(grams, kind="stable")
+        found, first = np.unique(grams[order], return_index=True)
+        ids = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), rows.column(key).take(pa.array(row[order])))
+        columns = [pa.array([field] * len(found), pa.string()), pa.array(gram_names(found, letters), pa.string()), pa.array(np.full(len(found), rows.column("segment")[0].as_py()), pa.int32()), ids]
+        return pa.RecordBatch.from_arrays(columns, ["field", "gram", "segment", "ids"])
+
+    some = texts.select("segment", key, *[f"_{f}" for f in fields])
+    return some.mapInArrow(run, f"field string, gram string, segment int, ids array<{dict(texts.dtypes)[key]}>")
 
 
 def grams_of(spark: SparkSession, needle: str) -> tuple[str, list[tuple[str, int]]]:

@@ -114,3 +114,19 @@ def test_dispatch(spark, tmp_path):
     for name in ("a", "b"):
         own = sorted(t for n, t in found if n == name)
         assert all(y - x >= timedelta(seconds=10) for x, y in zip(own, own[1:]))
+
+
+def test_posting_lists(spark, tmp_path):
+    """Each gram's list holds the rows that have it, whatever their characters; rows meet in lists before any of them moves."""
+    texts = [None if i % 9 == 0 else f"nation{i % 5} 日本語🎈 x{i}" * (i % 4) for i in range(200)]
+    df = spark.createDataFrame([(f"k{i % 190}", t, "tag") for i, t in enumerate(texts)], "id string, text string, tag string").coalesce(1)
+    postings.build_index(df, "id", ["text", "tag"], str(tmp_path), segment_rows=100)
+    stored = spark.read.parquet(f"{tmp_path}/texts")
+    want = {}
+    for r in stored.collect():
+        for f, t in (("text", r._text), ("tag", r._tag)):
+            for j in range(len(t) - 2):
+                want.setdefault((f, t[j : j + 3], r.segment), set()).add(r.id)
+    got = spark.read.parquet(f"{tmp_path}/postings").collect()
+    assert {(r.field, r.gram, r.segment): set(r.ids) for r in got} == want and len(got) == len(want) and all(len(r.ids) == len(set(r.ids)) for r in got)
+    assert postings.listed_grams(stored.coalesce(1), "id", ["text", "tag"]).count() < sum(map(len, want.values())) / 5
