@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import axes, catalog, editions, marks, rules, similarity, trees, windows
 from marginalia.plans.queries import query, table
-from marginalia.sources.keep import kept
+from marginalia.sources.keep import kept, parts_for
 from marginalia.sources.nodes import parse_failures, xml_nodes
 
 SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -231,7 +231,8 @@ UNION ALL SELECT conv_id::VARCHAR, view, 'l', md5({SQUEEZED.format('text')}) FRO
 """)
 def views_of_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three views of editions' paragraphs and verses, in one pass over the nodes."""
-    inside = marks.below(edition_nodes(spark, sf_dir), (F.col("tag") == "div") & (axes.attr(F.col("attrs"), "type") == "edition"))
+    nodes = edition_nodes(spark, sf_dir).repartition(parts_for(table(spark, sf_dir, "conversations"), "text"), "doc_id")
+    inside = marks.below(nodes, (F.col("tag") == "div") & (axes.attr(F.col("attrs"), "type") == "edition"))
     found = editions.edition_views(inside)
     return found.select("doc_id", "view", "kind", F.md5("text").alias("text"))
 
