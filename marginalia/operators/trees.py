@@ -98,20 +98,26 @@ def without_empty(found: DataFrame) -> DataFrame:
     return marked.withColumn("_inside", inside).where("NOT _gone AND NOT _inside").select(*found.columns)
 
 
-def numbered(found: DataFrame) -> DataFrame:
+def dealt(df: DataFrame, parts: int | None) -> DataFrame:
+    """By document, to this many partitions; by default to the session's number where a window asks for it."""
+    return df.repartition(parts, "doc_id") if parts else df
+
+
+def numbered(found: DataFrame, parts: int | None = None) -> DataFrame:
     """The node table of a stream: texts that have come together are one, all numbers and paths are new."""
     text = F.col("what") == "text"
     joined = found.withColumn("_run", so_far(F.when(text, 0).otherwise(1)))
     w = stream("_run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text, F.struct("t", "text"))).over(w)), lambda x: x["text"]), "")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text, F.struct("t", "text"))).over(w)), lambda x: x["text"]), "")
     first = F.min(F.when(text, F.col("t"))).over(w)
-    joined = joined.withColumn("text", F.when(text, parts)).withColumn("_first", first).where(~text | (F.col("t") == F.col("_first")))
+    joined = joined.withColumn("text", F.when(text, whole)).withColumn("_first", first).where(~text | (F.col("t") == F.col("_first")))
     placed = levelled(joined).withColumn("pre", so_far(F.when(F.col("what") == "close", 0).otherwise(1)).cast("int"))
     ends = so_far(F.when(F.col("what") == "open", 0).otherwise(1)).cast("int")
     pairs = Window.partitionBy("doc_id", F.col("what") != "text", "depth").orderBy("t")
     placed = placed.withColumn("_ends", ends).withColumn("post", F.when(F.col("what") == "open", F.lead("_ends").over(pairs)).otherwise(F.col("_ends")))
     placed = kept(placed.where("what <> 'close'").select("doc_id", "t", "what", "tag", "attrs", "text", "line", "col", F.col("depth").cast("int").alias("depth"), "pre", "post"))
     deepest = placed.agg(F.max("depth")).first()[0] or 0
+    placed = dealt(placed, parts)
     # the last element opened on a level is the one around all that is deeper
     order = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     up = [F.last(F.when((F.col("what") == "open") & (F.col("depth") == k), F.struct("pre", "tag")), ignorenulls=True).over(order) for k in range(deepest)]
@@ -150,7 +156,7 @@ def placed_in(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("kind", own).withColumn("_over", over).withColumn("at", descended(F.col("_over"), F.col("kind"), F.col("pre"))).withColumn("_raw_gone", F.col("_over.gone")).drop("_over")
 
 
-def segment(nodes: DataFrame) -> DataFrame:
+def segment(nodes: DataFrame, parts: int | None = None) -> DataFrame:
     """The node table with its blocks in order.
 
     Lists and quotes directly in a paragraph stand beside what is left of it. Blocks inside
@@ -158,8 +164,8 @@ def segment(nodes: DataFrame) -> DataFrame:
     lines are set off by spaces. Loose inlines of divisions, entries, quotes and notes become
     paragraphs, those of verses lines. Where a division has divisions, the blocks between
     them stand in divisions with ``phantom="true"``. What is empty then is left out, also
-    divisions and verses of a heading alone."""
-    n = placed_in(nodes.where(~F.col("tag").isin("#comment", "#instruction", "#error")))
+    divisions and verses of a heading alone. ``parts`` is the number of partitions to work in."""
+    n = placed_in(dealt(nodes, parts).where(~F.col("tag").isin("#comment", "#instruction", "#error")))
     blank = (F.col("tag") == "#text") & ~F.col("text").rlike(r"\S")
     n = n.withColumn("_blank", blank)
     before = Window.partitionBy("doc_id", "parent").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,7 +181,9 @@ def segment(nodes: DataFrame) -> DataFrame:
     # nodes that nothing is lifted for ask for no row; a key of their own spreads them
     n = n.withColumn("_at", F.when(F.col("at.lifted"), F.col("parent")).otherwise(-F.col("pre")))
     n = n.join(para, (F.col("doc_id") == F.col("_pdoc")) & (F.col("_at") == F.col("_p")), "left")
-    t, c, gone = opened(), closed(), F.col("at.gone")
+    # plain columns: the optimizer loses parts of a struct that is dealt
+    n = dealt(n.withColumns({f"_at_{c}": F.col(f"at.{c}") for c in ("gone", "lifted", "up", "up_pre", "header")}).drop("at"), parts)
+    t, c, gone = opened(), closed(), F.col("_at_gone")
 
     def event(t: Column, what: str, tag: Column, attrs: Column, text: Column, kind: Column, until: Column) -> Column:
         return F.struct(t.alias("t"), F.lit(what).alias("what"), tag.alias("tag"), attrs.alias("attrs"), text.alias("text"), kind.alias("kind"), until.alias("until"))
@@ -185,8 +193,8 @@ def segment(nodes: DataFrame) -> DataFrame:
     said = lambda t, text: event(t, "text", F.lit("#text"), no_attrs, text, F.lit("text"), never)
     again = lambda t, what: event(t, what, F.col("_ptag"), F.col("_pattrs"), no_text, F.lit("para"), never)
     made = F.when(F.col("tag") == "#text", F.array(said(t, F.col("text")))).when(gone & F.col("kind").isin("line", "item"), F.array(said(t, F.lit(" ")), said(c, F.lit(" "))))
-    made = made.when(gone, F.filter(F.array(said(t, F.lit(""))), lambda x: F.lit(False))).when(F.col("at.lifted"), F.array(again(t - 4, "close"), own(t, "open"), own(c, "close"), again(c + 4, "open"))).otherwise(F.array(own(t, "open"), own(c, "close")))
-    e = n.select("doc_id", "note", F.col("at.up").alias("up"), F.col("at.up_pre").alias("up_pre"), F.col("at.header").alias("header"), "line", "col", F.explode(made).alias("e")).select("doc_id", "note", "up", "up_pre", "header", "line", "col", "e.*")
+    made = made.when(gone, F.filter(F.array(said(t, F.lit(""))), lambda x: F.lit(False))).when(F.col("_at_lifted"), F.array(again(t - 4, "close"), own(t, "open"), own(c, "close"), again(c + 4, "open"))).otherwise(F.array(own(t, "open"), own(c, "close")))
+    e = n.select("doc_id", "note", F.col("_at_up").alias("up"), F.col("_at_up_pre").alias("up_pre"), F.col("_at_header").alias("header"), "line", "col", F.explode(made).alias("e")).select("doc_id", "note", "up", "up_pre", "header", "line", "col", "e.*")
     # runs of inlines between two blocks
     inline = F.col("kind").isin("text", "inline", "note") & ~((F.col("up") == "verse") & F.col("tag").isin(*MILESTONES))
     e = e.withColumn("_inline", inline).withColumn("_run", so_far((~F.col("_inline")).cast("int"), "note"))
@@ -220,7 +228,7 @@ def segment(nodes: DataFrame) -> DataFrame:
     e = e.withColumn("attrs", F.when(plain, attrs).otherwise(F.col("attrs")))
     some = F.concat(F.array(this), F.when(covers, F.array(phantom(F.col("_a") - 6, "open"), phantom(F.col("_z") + 6, "close"))).otherwise(F.array()))
     e = e.select("doc_id", "line", "col", F.explode(some).alias("e")).select("doc_id", "e.t", "e.what", "e.tag", "e.attrs", "e.text", "line", "col", "e.kind", "e.until")
-    return numbered(without_empty(e))
+    return numbered(without_empty(e), parts)
 
 
 # spaces

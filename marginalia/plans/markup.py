@@ -57,7 +57,7 @@ def marked_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (markup, *_) in enumerate(MARKED):
         shown = F.when(F.col("k") == i, filled(markup, False)) if shown is None else shown.when(F.col("k") == i, filled(markup, False))
     nodes = documents_of(rows, shown, before="<TEI><p>", after="</p></TEI>")
-    return editions.edition_views(nodes).select("doc_id", "view", F.md5("text").alias("text"))
+    return editions.edition_views(nodes.repartition(keep.parts_for(rows, "text"), "doc_id")).select("doc_id", "view", F.md5("text").alias("text"))
 
 
 ESCAPED = "replace(replace({0}, '&', '&amp;'), '<', '&lt;')"
@@ -94,7 +94,7 @@ def segmented_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rows.groupBy("conv_id").agg(per_turn(one).alias("a"), per_turn(two).alias("b"))
     data = F.concat(lit("<TEI><div><head>h</head>"), "a", lit("</div><div>first"), "b", lit("</div></TEI>"))
     nodes = xml_nodes(made.select(F.col("conv_id").cast("string").alias("doc_id"), data.alias("data")), "doc_id", "data")
-    return trees.markup(trees.segment(nodes)).select("doc_id", F.md5("xml").alias("markup"))
+    return trees.markup(trees.segment(nodes, keep.parts_for(rows, "text"))).select("doc_id", F.md5("xml").alias("markup"))
 
 
 # what a turn holds, by (turn + conv_id) % 10, and the rules that it breaks

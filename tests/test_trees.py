@@ -84,3 +84,20 @@ def test_axis_profile(spark):
     every = axes.elements(nodes)
     want = Counter((name, r.tag) for name in names for r in axes.axis(every, every, name).select("tag").collect())
     assert {(r.axis, r.tag): r.n for r in axes.axis_profile(nodes).collect()} == want
+
+
+def test_parts_follow_the_texts(spark, monkeypatch):
+    """What one task sorts does not grow with the input: nodes are dealt by document into parts that follow the texts."""
+    from marginalia.operators import marks
+    from marginalia.sources import keep
+
+    monkeypatch.setattr(keep, "PART_CHARS", 100)
+    texts = spark.createDataFrame([(str(i), "<d><p>" + "x" * 50 + "<list><item>a</item></list>b</p></d>") for i in range(40)], "doc_id string, data string")
+    assert keep.parts_for(texts, "data") >= 30 and keep.parts_for(texts.limit(0), "data") == 4
+    nodes = xml_nodes(texts, "doc_id", "data")
+    parts = keep.parts_for(texts, "data")
+    for found in (trees.markup(trees.segment(nodes, parts)), marks.shown_views(nodes.repartition(parts, "doc_id"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # no window or grouping deals the documents anew
+        assert f", {parts}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted(r.xml for r in trees.markup(trees.segment(nodes, parts)).collect()) == sorted(r.xml for r in trees.markup(trees.segment(nodes)).collect())
